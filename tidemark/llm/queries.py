@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan, sharding
+from . import decontaminate, media, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_secret_scans": secret_scan.op4_secret_scans,
+    "op9_media_columns": media.op9_media_columns,
 }
 
 ORACLES: dict[str, str] = {
     "op2_sharding": sharding.ORACLE,
+    "op3_decontamination": decontaminate.ORACLE,
     "op4_secret_scans": secret_scan.ORACLE,
 }
