@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, secret_scan, sharding
+from . import decontaminate, media, pieces, secret_scan, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_sharding": sharding.op2_sharding,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_secret_scans": secret_scan.op4_secret_scans,
+    "op5_token_files": token_files.op5_token_files,
     "op9_media_columns": media.op9_media_columns,
 }
 
