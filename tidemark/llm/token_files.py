@@ -75,9 +75,8 @@ class WordEncoder:
         out = []
         for t, s in zip(texts, split, strict=True):
             out.append(self.first[s[0]] + b"".join(map(self.later.__getitem__, s[1:])) if s else next(whole) if t else b"")
-        for cache in (self.first, self.later):
-            for w in [w for w in seen if len(w) > CACHE_CHARS] if cache is self.later else ():
-                del cache[w]
+        for w in [w for w in seen if len(w) > CACHE_CHARS]:
+            del self.later[w]
         return out
 
 
@@ -166,10 +165,7 @@ def _counts(ids: DataFrame, width: int, size: int) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"), minlength=size) if len(x.as_buffer()) > size else 0
-                if len(x.as_buffer()) <= size:
-                    np.add.at(total, np.frombuffer(x.as_buffer(), f"<u{width}"), 1)
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), f"<u{width}"), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["t", "n"])
 
