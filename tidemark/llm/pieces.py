@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 import zlib
 
 import ahocorasick
@@ -23,6 +24,22 @@ CACHE_WORDS, CACHE_CHARS = 300_000, 48
 _MODELS: dict[str, "PieceModel"] = {}
 
 
+class _Words(dict):
+    """Ids of words that were seen, of two generations; others are encoded on their first use."""
+
+    def __init__(self, model: "PieceModel", older: dict[str, bytes]) -> None:
+        self.model, self.older = model, older
+
+    def __missing__(self, w: str) -> bytes:
+        out = self.older.get(w)
+        if out is None:
+            ids = self.model.ids(MARK + w)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(w) <= CACHE_CHARS:
+            self[w] = out
+        return out
+
+
 class PieceModel:
     """Encodes and decodes with the pieces of a model file; ids equal those of the sentencepiece library.
 
@@ -59,7 +76,7 @@ class PieceModel:
                 self.automaton.add_word(p, (len(p), i, self.score[i]))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self, {})
         #: No piece has a mark after another character, so words can be encoded apart.
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
 
@@ -104,50 +121,66 @@ class PieceModel:
 
     def path(self, s: str) -> list[int]:
         """Pieces of a word; -1 for a character that no piece has."""
-        if self.kind == BPE and s.startswith(MARK * 2):
-            return self.merged(s)  # runs of marks have one score in common, so that places decide their order
+        if self.kind == BPE:
+            if self.single.issuperset(s):
+                return self._merge_path(s)
+            out, at = [], 0
+            for i, c in enumerate(s):  # nothing merges with a character that has no piece
+                if c not in self.single:
+                    out += [*self._merge_path(s[at:i]), -1]
+                    at = i + 1
+            return out + self._merge_path(s[at:])
         n = len(s)
         last, start, best = [-2] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
-        done = 0
-        single, bpe = self.single, self.kind == BPE
+        last[0], at = -1, 0
 
         def unknowns(to: int) -> None:
-            """Positions up to `to` that a character without a piece ends."""
-            nonlocal done
-            for i in range(done, to):
-                if s[i] not in single and last[i] != -2 or (i == 0 and s[0] not in single):
-                    if not bpe:
-                        score = best[i] + self.unknown_score
-                        if last[i + 1] == -2 or score > best[i + 1]:
-                            last[i + 1], start[i + 1], best[i + 1] = -1, i, score
-                    elif last[i + 1] == -2:
-                        last[i + 1], start[i + 1] = -1, i
-            done = max(done, to)
-
-        last[0] = -1
+            """Relaxes the positions after characters without a piece, up to `to`."""
+            nonlocal at
+            for i in range(at, to):
+                if s[i] not in self.single and last[i] != -2 and (last[i + 1] == -2 or best[i] + self.unknown_score > best[i + 1]):
+                    last[i + 1], start[i + 1], best[i + 1] = -1, i, best[i] + self.unknown_score
+            at = max(at, to)
+
         for end, (size, piece, score) in self.automaton.iter(s):
-            end += 1
-            unknowns(end - 1)
-            a = end - size
-            before = last[a]
-            if before == -2:
-                continue
-            if bpe:
-                if last[end] == -2 and (a == 0 or before == -1 or self._pair(before, piece)):
-                    last[end], start[end] = piece, a
-            elif last[end] == -2 or best[a] + score > best[end]:
+            unknowns(end)
+            a, end = end + 1 - size, end + 1
+            if last[a] != -2 and (last[end] == -2 or best[a] + score > best[end]):
                 last[end], start[end], best[end] = piece, a, best[a] + score
         unknowns(n)
-        out, at = [], n
-        while at > 0:
-            out.append((last[at], start[at], at))
+        out = []
+        while n:
+            out.append(last[n])
+            n = start[n]
+        return out[::-1]
+
+    def _merge_path(self, s: str) -> list[int]:
+        """Pieces of a BPE string all of whose characters are pieces: the first piece that fits its left neighbour stays."""
+        if s.startswith(MARK * 2):
+            return self.merged(s)  # runs of marks have one score in common, so that places decide their order
+        last, start, pairs = [-1] * (len(s) + 1), [0] * (len(s) + 1), self.pairs
+        for end, (size, piece, _) in self.automaton.iter(s):
+            end += 1
+            if last[end] >= 0:
+                continue
+            a = end - size
+            if a:
+                ok = pairs.get((last[a], piece))
+                if not (self._pair(last[a], piece) if ok is None else ok):
+                    continue
+            last[end], start[end] = piece, a
+        out, at = [], len(s)
+        while at:
+            out.append(last[at])
             at = start[at]
         out.reverse()
-        return [p if p >= 0 else -1 for p, _, _ in out]
+        return out
 
     def ids(self, s: str) -> list[int]:
         """Ids of a string whose blanks are marks; unknown characters become bytes, or one unknown id a run."""
         out, at, path = [], 0, self.path(s)
+        if -1 not in path:
+            return path
         for p in path:
             if p >= 0:
                 out.append(p)
@@ -164,16 +197,11 @@ class PieceModel:
         """Ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return b""
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
+        if len(self.words) > CACHE_WORDS:  # what the last generation used again lives on, the rest goes
+            self.words.older = {}
+            self.words = _Words(self, self.words)
         if self.prefix and self.apart and MARK not in text and "  " not in text and text[0] != " ":
-            parts = text.split(" ")
-            try:
-                return b"".join(map(words.__getitem__, parts))
-            except KeyError:
-                pass
-            return b"".join(map(self._word, parts))
+            return b"".join(map(self.words.__getitem__, text.split(" ")))
         s = (MARK if self.prefix else "") + text.replace(" ", MARK)
         parts = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", s) if self.apart else [s]
         flat = [i for x in parts for i in self.ids(x)]
@@ -181,14 +209,6 @@ class PieceModel:
             flat = [i for k, i in enumerate(flat) if not (i == self.unknown and k and flat[k - 1] == i)]
         return np.array(flat, "<u4").tobytes()
 
-    def _word(self, w: str) -> bytes:
-        out = self.words.get(w)
-        if out is None:
-            out = np.array(self.ids(MARK + w), "<u4").tobytes()
-            if len(w) <= CACHE_CHARS:
-                self.words[w] = out
-        return out
-
     def decode(self, packed: bytes) -> str:
         raw = b"".join(map(self.surface.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
         return raw[1:] if self.prefix and raw[:1] == " " else raw
