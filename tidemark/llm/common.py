@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word operators: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tune(spark: SparkSession, rows: int = 2000, mb: int = 8) -> SparkSession:
@@ -33,9 +34,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df through Parquet in the shared folder: cuts the lineage, and a lost executor costs only its own tasks."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, None)
+    # Only for this job, whose plan nobody runs again: its shuffle files go when it ends.
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

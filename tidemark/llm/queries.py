@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, media, near_duplicates, pieces, quality, secret_scan, sharding, token_files
+from . import chat, decontaminate, media, near_duplicates, pieces, quality, secret_scan, sharding, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": secret_scan.op4_secret_scans,
     "op5_token_files": token_files.op5_token_files,
     "op6_jaccard_join": near_duplicates.op6_jaccard_join,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_media_columns": media.op9_media_columns,
     "op10_chat_formatting": chat.op10_chat_formatting,
@@ -24,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op2_sharding": sharding.ORACLE,
     "op3_decontamination": decontaminate.ORACLE,
     "op4_secret_scans": secret_scan.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
 }

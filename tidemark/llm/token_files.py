@@ -32,17 +32,22 @@ class WordEncoder:
     """
 
     ODD = re.compile(r"\s (?:\s|\Z)|\A (?:\s|\Z)| \Z")
+    NEAR = re.compile(r" (?=\s)")  # quick to find, and in every odd text that neither starts nor ends with a blank
+    TOGETHER = 1000  # words that the library sees as one text
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        size = self.tokenizer.get_vocab_size()
+        self.bytes = 2 if size <= 1 << 16 else 4
         self.dtype = f"<u{self.bytes}"
+        #: Bytes of each id: a byte-level piece has one character a byte.
+        self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -53,25 +58,43 @@ class WordEncoder:
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict[str, bytes], words: set[str], before: str) -> None:
-        new = [w for w in words if w not in cache]
-        if new:
-            cache.update(zip(new, self._packed([before + w for w in new]), strict=True))
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words that a blank precedes: many in one text, told apart by the bytes of their ids."""
+        new = words.difference(self.later)
+        again = new.intersection(self.older)
+        self.later.update((w, self.older[w]) for w in again)
+        new -= again
+        plain = [w for w in new if w and not (w[0].isspace() or w[-1].isspace())]
+        new.difference_update(plain)
+        self.later.update(zip(new, self._packed([" " + w for w in new]), strict=True))
+        groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
+        for some, got in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.int64)
+            want = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in some])
+            ends = np.searchsorted(np.cumsum(self.length[ids]), want) + 1
+            raw, at = ids.astype(self.dtype).tobytes(), 0
+            for w, e in zip(some, (ends * self.bytes).tolist(), strict=True):
+                self.later[w] = raw[at:e]
+                at = e
+
+    def _plain(self, t: str | None) -> bool:
+        if not t or any(x in t for x in self.special):
+            return False
+        return not (t[0] == " " or t[-1] == " " or self.NEAR.search(t)) or not self.ODD.search(t)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of `bytes` bytes; null counts as empty."""
-        if len(self.later) > CACHE_WORDS:
-            self.later.clear()
-            self.first.clear()
-        plain = [bool(t) and not self.ODD.search(t) and not (self.special and self.special.search(t)) for t in texts]
-        split = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
-        self._learn(self.first, {s[0] for s in split if s}, "")
+        if len(self.later) > CACHE_WORDS:  # words of the last generation that come again live on
+            self.older, self.later, self.first = self.later, {}, {}
+        split = [t.split(" ") if self._plain(t) else None for t in texts]
+        starts = list({s[0] for s in split if s and s[0] not in self.first})
+        self.first.update(zip(starts, self._packed(starts), strict=True))
         seen: set[str] = set()
         for s in split:
             if s:
                 seen.update(s[1:])
-        self._learn(self.later, seen, " ")
-        whole = iter(self._packed([t for t, p in zip(texts, plain, strict=True) if t and not p]))
+        self._learn(seen)
+        whole = iter(self._packed([t for t, s in zip(texts, split, strict=True) if t and s is None]))
         out = []
         for t, s in zip(texts, split, strict=True):
             out.append(self.first[s[0]] + b"".join(map(self.later.__getitem__, s[1:])) if s else next(whole) if t else b"")
