@@ -74,7 +74,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = money.select("entity", "z.concept", "start", "end", F.col("z.v").alias("val"), "filed", F.when(F.col("lag") == 45, "10-Q").otherwise("10-Q/A").alias("form"), "k")
     balances = c.groupBy(F.col("c_nationkey").alias("entity")).agg(F.round(F.sum("c_acctbal"), 2).alias("val"))
     ends = q.select("entity", "end").distinct()
-    assets = ends.join(balances, "entity").select("entity", F.lit("Assets").alias("concept"), F.lit(None).cast("date").alias("start"), "end", F.round(F.abs("val") * (1 + F.quarter("end") * 0.01), 2).alias("val"), F.date_add("end", 45).alias("filed"), F.lit("10-Q").alias("form"), F.lit(2).alias("k"))
+    assets = ends.join(balances, "entity").select("entity", F.lit("Assets").alias("concept"), F.lit(None).cast("date").alias("start"), "end", F.round(F.abs("val") * (1 + F.quarter("end") * 0.01) + 1e-6, 2).alias("val"), F.date_add("end", 45).alias("filed"), F.lit("10-Q").alias("form"), F.lit(2).alias("k"))
     return money.unionByName(assets)
 
 
@@ -85,7 +85,7 @@ fs AS (SELECT entity, qs AS start, e, v0 AS a, v1 AS b, 0 AS k FROM fc UNION ALL
 ff AS (SELECT entity, start, e, k, round(a, 2) AS val, e + 45 AS filed, '10-Q' AS form FROM fs UNION ALL SELECT entity, start, e, k, round(b, 2), e + 120, '10-Q/A' FROM fs),
 facts AS (SELECT entity, CASE WHEN entity % 5 = 0 THEN 'SalesRevenueNet' ELSE 'Revenues' END AS concept, start, e AS "end", val, filed, form, k FROM ff
   UNION ALL SELECT entity, 'CostOfRevenue', start, e, round(val * 0.6, 2), filed, form, k FROM ff
-  UNION ALL SELECT DISTINCT entity, 'Assets', NULL::DATE, e, round(abs(bal) * (1 + quarter(e) * 0.01), 2), e + 45, '10-Q', 2 FROM fc JOIN (SELECT c_nationkey AS entity, round(sum(c_acctbal), 2) AS bal FROM customer GROUP BY 1) USING (entity))"""
+  UNION ALL SELECT DISTINCT entity, 'Assets', NULL::DATE, e, round(abs(bal) * (1 + quarter(e) * 0.01) + 1e-6, 2), e + 45, '10-Q', 2 FROM fc JOIN (SELECT c_nationkey AS entity, round(sum(c_acctbal), 2) AS bal FROM customer GROUP BY 1) USING (entity))"""
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
