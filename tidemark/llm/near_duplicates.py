@@ -200,7 +200,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     nodes = written(signed.groupBy("node").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(key(F.col("id"), F.col("node"))).alias("key"), F.first("bands").alias("bands")), "classes")
     members = nodes.select(F.explode("bands").alias("band"), "node")
     buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    candidates = components(members.join(buckets, "band").select("a", F.col("node").alias("b")), "candidates")
+    reps = members.join(buckets, "band").groupBy("node").agg(F.array_sort(F.collect_set("a")).alias("reps"))
+    # A text is in as many buckets as there are bands; the least texts of these meet at the least of all.
+    edges = reps.select(F.element_at("reps", 1).alias("a"), F.explode(F.concat("reps", F.array("node"))).alias("b")).distinct()
+    candidates = components(edges, "candidates")
     blocks = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     placed = candidates.join(blocks, "root").select("root", "n", F.col("v").alias("node"), F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("side")).join(nodes.select("node", "key"), "node")
     texts = d.select(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("at"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
