@@ -38,7 +38,7 @@ def check_arguments(name: Column, args: Column, tools: dict) -> Column:
                 out = out.when((name == tool) & absent, F.lit(f"missing {field}"))
             out = out.when((name == tool) & ~absent & ~_kind(v).isin(TYPES[kind]), F.lit(f"type of {field}"))
         known = sorted(schema)
-        extra = F.filter(F.json_object_keys(F.to_json(args)), lambda k, known=known: ~k.isin(known))
+        extra = F.array_except(F.json_object_keys(F.to_json(args)), F.array(*map(F.lit, known)))
         out = out.when((name == tool) & (F.size(extra) > 0), F.concat(F.lit("extra "), F.array_min(extra)))
     return out
 
