@@ -58,13 +58,31 @@ def crc_table() -> list[int]:
     return out
 
 
+def skip_tables(n: int) -> list[list[int]]:
+    """For each byte of a CRC register what it becomes after n zero bytes."""
+    t, out = crc_table(), []
+    for k in range(4):
+        row = []
+        for v in range(256):
+            c = v << (8 * k)
+            for _ in range(n):
+                c = (c >> 8) ^ t[c & 255]
+            row.append(c)
+        out.append(row)
+    return out
+
+
+CHUNK = 64  # DuckDB reduces short lists much faster than long ones: registers of chunks are joined by the CRC's linearity
+_BYTES = "list_transform(range(1, length(b), 2), lambda i: ('0x' || substr(b, i, 2))::BIGINT)"
+_STEP = f"xor(a >> 8, {crc_table()}[xor(a & 255, x) + 1])"
+_SKIP = "xor(xor({}[(a & 255) + 1], {}[((a >> 8) & 255) + 1]), xor({}[((a >> 16) & 255) + 1], {}[(a >> 24) + 1]))".format(*skip_tables(CHUNK))
 ORACLE = f"""
-WITH t AS (SELECT {crc_table()}::BIGINT[] AS crc),
-b AS (SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS no_src, hex(encode(coalesce(text, ''))) AS h, text IS NULL AS no_text FROM documents),
-d AS (SELECT doc_id, src, no_src, length(h) // 2 + 8 AS size,
-  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
-    lambda a, x: xor(a >> 8, t.crc[xor(a & 255, x) + 1]))) AS text_crc32
-  FROM b, t),
+WITH d0 AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(source, '') AS src, source IS NULL AS no_src, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT rid, j, substr(h, j * {2 * CHUNK} + 1, {2 * CHUNK}) AS b FROM (SELECT rid, h, unnest(range(0, length(h) // {2 * CHUNK})) AS j FROM d0)),
+c AS (SELECT rid, j, list_reduce(list_prepend(CASE WHEN j = 0 THEN 4294967295 ELSE 0 END::BIGINT, {_BYTES}), lambda a, x: {_STEP}) AS r FROM k),
+g AS (SELECT rid, list_reduce(list(r ORDER BY j), lambda a, x: xor({_SKIP}, x)) AS r FROM c GROUP BY rid),
+e AS (SELECT d0.*, coalesce(r, 4294967295) AS r, substr(h, length(h) // {2 * CHUNK} * {2 * CHUNK} + 1) AS b FROM d0 LEFT JOIN g USING (rid)),
+d AS (SELECT doc_id, src, no_src, length(h) // 2 + 8 AS size, xor(4294967295, list_reduce(list_prepend(r::BIGINT, {_BYTES}), lambda a, x: {_STEP})) AS text_crc32 FROM e),
 r AS (SELECT *, md5('{SEED}:' || doc_id) AS k, row_number() OVER (PARTITION BY no_src, src ORDER BY md5('{SEED}:' || doc_id), doc_id) AS k_no, count(*) OVER (PARTITION BY no_src, src) AS n FROM d),
 o AS (SELECT *, row_number() OVER (ORDER BY (k_no - 0.5::DOUBLE) / n, CASE WHEN no_src THEN 'n' ELSE 's' || src END, k, doc_id) - 1 AS i, count(*) OVER () AS total FROM r),
 s AS (SELECT *, (i * {SHARDS}) // total AS shard FROM o)
