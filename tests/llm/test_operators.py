@@ -50,6 +50,9 @@ OPERATORS = {
     "words": substring_dedup.repeated_words,
     "near": near_duplicates.near_duplicates,
     "keep": near_duplicates.keep_one,
+    "hits": lambda d: decontaminate.contamination(d, d.sparkSession.createDataFrame([(1, "a b"), (None, "same"), (2, None)], "item_id long, text string")),
+    "quality": lambda d: quality.score_quality(d, quality.fit_quality(d, d.selectExpr("doc_id", "if(doc_id > 4, 1, null) as quality"))),
+    "matches": lambda d: substring_dedup.reference_matches(d, d),
 }
 
 

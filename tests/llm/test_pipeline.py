@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import pieces, quality, queries
@@ -35,6 +36,17 @@ def test_pipeline_keeps_what_the_stages_keep(spark):
     assert all(r["n_tokens"] == len(m.packed(clean[r["doc_id"]])) // 4 for r in got)
 
 
+def test_stages_take_nulls_ties_and_other_columns(spark):
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "a b c d e f", None, "s", 11), (2, "a b c d e f", None, "s", 11), (3, "a b c d e f", "en", None, None), (None, "x password=hunter2hunter2", "en", "s", 3), (4, "long " * 20_000, "en", "s", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("spans", F.lit(1)).withColumn("node", F.lit("n"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, SF)
+        assert out.dtypes == d.dtypes
+        n = {"n-gram Jaccard join": 4, "quality classifier": out.count()}.get(name, len(rows))  # null and empty texts are equal, so are ids 2 and 3
+        assert out.count() == n
+    assert corpus_pipeline.STAGES[-1][1](spark, d, SF).count() == len(rows)
+
+
 def test_stages_return_the_columns_of_documents(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
