@@ -116,13 +116,19 @@ FULL = (*BASE, FILLED, FAC, ME, MFAC)
 RANKED = (*FULL, V.TRAITS, SCORED)
 
 
+def panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly panel, kept once it was computed: a row a ticker and week, whatever the size of the tables below."""
+    return V.panel(spark, sf).persist()
+
+
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    p = V.panel(spark, sf)
+    p = panel(spark, sf)
     return P.align(p, P.calendar(p))
 
 
 def filled(spark: SparkSession, sf: str) -> DataFrame:
-    return P.fill(grid(spark, sf))
+    """The filled panel, kept as well: every factor and ledger starts here."""
+    return P.fill(grid(spark, sf)).persist()
 
 
 def fac(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +136,7 @@ def fac(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ends(spark: SparkSession, sf: str) -> DataFrame:
-    return P.month_ends(P.calendar(V.panel(spark, sf)))
+    return P.month_ends(P.calendar(panel(spark, sf)))
 
 
 def mfac(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +161,7 @@ SELECT d FROM c, t WHERE date_trunc('month', d) < date_trunc('month', t.t)
   OR date_trunc('month', t.t + CASE isodow(t.t) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) > date_trunc('month', t.t)
   OR date_trunc('month', ref + CASE isodow(ref) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END) > date_trunc('month', t.t)""")
 def completed_month_ends(spark, sf):
-    return P.completed_month_ends(P.calendar(V.panel(spark, sf)), "2000-06-26", "2000-07-01")
+    return P.completed_month_ends(P.calendar(panel(spark, sf)), "2000-06-26", "2000-07-01")
 
 
 @query(chain(*BASE) + "SELECT ticker, grp, d, rn, round(raw, 6) AS raw FROM grid")
@@ -183,14 +189,14 @@ def daily_panel_gaps(spark, sf):
 SELECT a.ticker, x.d, x.exec, round(a."full", 6) AS mark, round(b."full", 6) AS fill_px FROM x SEMI JOIN m USING (d) JOIN filled a ON a.d = x.d JOIN filled b ON b.d = x.exec AND b.ticker = a.ticker""")
 def next_fill_date(spark, sf):
     f = filled(spark, sf)
-    x = P.fill_dates(P.calendar(V.panel(spark, sf))).join(ends(spark, sf), "d", "left_semi")
+    x = P.fill_dates(P.calendar(panel(spark, sf))).join(ends(spark, sf), "d", "left_semi")
     marks = f.select("ticker", "d", F.col("full").alias("mark")).join(x, "d")
     return r6(marks.join(f.select("ticker", F.col("d").alias("exec"), F.col("full").alias("fill_px")), ["ticker", "exec"]).select("ticker", "d", "exec", "mark", "fill_px"))
 
 
 @query(chain(V.PANEL) + ", n AS (SELECT d, count(close) AS n FROM panel GROUP BY d) SELECT max(d) AS d FROM n WHERE n * 2 >= (SELECT max(n) FROM n)")
 def asof_half_coverage(spark, sf):
-    return P.asof_day(V.panel(spark, sf))
+    return P.asof_day(panel(spark, sf))
 
 
 @query(chain(*BASE) + """, l AS (SELECT ticker, max(CASE WHEN raw IS NOT NULL AND rn > (SELECT max(rn) FROM cal) - 5 THEN 1 ELSE 0 END) AS fresh FROM grid GROUP BY 1)
@@ -266,7 +272,7 @@ reg AS (SELECT br.d, breadth, coalesce(close > sma, false) AS above, NOT coalesc
 
 @query(chain(*FULL, REGIME) + "SELECT d, round(breadth, 6) AS breadth, above, brake FROM reg")
 def regime_breadth(spark, sf):
-    return r6(FA.regime(mfac(spark, sf), V.benchmark_series(V.panel(spark, sf))).select("d", "breadth", "above", "brake"))
+    return r6(FA.regime(mfac(spark, sf), V.benchmark_series(panel(spark, sf))).select("d", "breadth", "above", "brake"))
 
 
 @query(chain(*FULL) + """, l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY rn DESC) AS k FROM fac), x AS (SELECT *, min(close) OVER p AS lo, max(close) OVER p AS hi2, count(*) OVER p AS n FROM l WHERE k <= 252 WINDOW p AS (PARTITION BY ticker))
@@ -342,7 +348,7 @@ g1 AS (SELECT *, row_number() OVER (PARTITION BY d, {GK} ORDER BY held, composit
 g2 AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY held, composite DESC, ticker) AS pick FROM g1 WHERE gr <= 3)
 SELECT d, ticker, held, pick, round(2500.0 / count(*) OVER (PARTITION BY d), 6) AS dollars FROM g2 WHERE pick <= 10""")
 def rotation_buys(spark, sf):
-    held = V.holdings(spark, sf, V.panel(spark, sf)).select("ticker", F.col("shares").alias("held"))
+    held = V.holdings(spark, sf, panel(spark, sf)).select("ticker", F.col("shares").alias("held"))
     return r6(SE.rotation_buys(scored(spark, sf), held, 2500.0).select("d", "ticker", "held", "pick", "dollars"))
 
 
@@ -359,7 +365,7 @@ def _last_scored(spark, sf):
 
 
 def _positions(spark, sf, s):
-    h = V.holdings(spark, sf, V.panel(spark, sf)).select("ticker", (F.col("shares") * 1000 + F.col("cost")).alias("value"))
+    h = V.holdings(spark, sf, panel(spark, sf)).select("ticker", (F.col("shares") * 1000 + F.col("cost")).alias("value"))
     return h.join(s.select("ticker", "grp"), "ticker", "left")
 
 
@@ -390,7 +396,7 @@ SELECT d, ticker, rule FROM y WHERE rule IS NOT NULL AND d = (SELECT max(d) FROM
 def sell_rules(spark, sf):
     last = ends(spark, sf).agg(F.max("d").alias("d"))
     s = scored(spark, sf).join(FA.below_before(mfac(spark, sf)).select("ticker", "d", "below_prev"), ["ticker", "d"]).join(last, "d", "left_semi")
-    h = V.holdings(spark, sf, V.panel(spark, sf)).join(s.select("ticker", "d", F.col("close").alias("price")), "ticker")
+    h = V.holdings(spark, sf, panel(spark, sf)).join(s.select("ticker", "d", F.col("close").alias("price")), "ticker")
     return SE.sells(h.select("ticker", "cost", "price"), s, "S3").select("ticker", "rule").crossJoin(last).select("d", "ticker", "rule")
 
 
@@ -456,7 +462,7 @@ def pit_growth_and_margin(spark, sf):
 
 @query(chain(V.PANEL, V.HOLDINGS, V.TRAITS) + """SELECT h.ticker, round(CASE WHEN cost * shares > 0 THEN (rev_chg * 100) / (cost * shares) END, 6) AS earnings_yield, coalesce(rev_chg < 0, false) AS speculative, rev_chg IS NULL AND shares IS NULL AS fund_missing FROM holdings h LEFT JOIN traits t USING (ticker)""")
 def fund_factors(spark, sf):
-    h = V.holdings(spark, sf, V.panel(spark, sf)).join(V.traits(spark, sf).select("ticker", (F.col("rev_chg") * 100).alias("net_income_ttm")), "ticker", "left").withColumnRenamed("cost", "close")
+    h = V.holdings(spark, sf, panel(spark, sf)).join(V.traits(spark, sf).select("ticker", (F.col("rev_chg") * 100).alias("net_income_ttm")), "ticker", "left").withColumnRenamed("cost", "close")
     return r6(PIT.fund_factors(h).select("ticker", "earnings_yield", "speculative", "fund_missing"))
 
 
@@ -620,7 +626,7 @@ def status_diff(spark, sf):
 
 @query(chain(V.PANEL) + ", c AS (SELECT 'C' || substr(ticker, 2) AS ticker, d, close FROM panel UNION ALL SELECT ticker, d, close FROM panel) SELECT ticker, min(d) AS first, max(d) AS last FROM c WHERE regexp_matches(ticker, '^C[0-9]+$') AND close IS NOT NULL GROUP BY 1")
 def key_spans(spark, sf):
-    p = V.panel(spark, sf)
+    p = panel(spark, sf)
     return FI.key_spans(p.withColumn("ticker", F.concat(F.lit("C"), F.substring("ticker", 2, 9))).unionByName(p))
 
 
@@ -749,7 +755,7 @@ def insert_if_absent(spark, sf):
 
 @query(chain(V.PANEL) + ", nw AS (SELECT ticker, d, close * 0.5 AS close FROM panel WHERE ticker IN ('S1', 'S7') AND d < DATE '1999-01-01') SELECT ticker, count(*) AS n, round(sum(close), 4) AS total FROM (SELECT ticker, d, close FROM nw UNION ALL SELECT ticker, d, close FROM panel WHERE ticker NOT IN ('S1', 'S7')) GROUP BY 1")
 def replace_history(spark, sf):
-    p = V.panel(spark, sf).select("ticker", "d", "close")
+    p = panel(spark, sf).select("ticker", "d", "close")
     new = p.filter("ticker in ('S1', 'S7') and d < '1999-01-01'").withColumn("close", F.col("close") * 0.5)
     return ST.replace_history(p, new).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("total"))
 
@@ -757,12 +763,12 @@ def replace_history(spark, sf):
 @query(chain(V.PANEL) + "SELECT DISTINCT 'S' || p_size AS ticker FROM part ANTI JOIN (SELECT p_size FROM part JOIN (SELECT DISTINCT ticker FROM panel WHERE d > DATE '2001-10-25') x ON x.ticker = 'S' || p_size) USING (p_size)")
 def download_failures(spark, sf):
     req = V.table(spark, sf, "part").select(F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("ticker"))
-    return ST.failures(req, V.panel(spark, sf).filter("d > '2001-10-25'").select("ticker"))
+    return ST.failures(req, panel(spark, sf).filter("d > '2001-10-25'").select("ticker"))
 
 
 @query(chain(V.PANEL) + ", w AS (SELECT d, ticker, close FROM panel WHERE ticker IN ('S1', 'S2', 'S3')) SELECT ticker, d, round(close, 6) AS close FROM w WHERE close IS NOT NULL")
 def wide_to_long(spark, sf):
-    wide = V.panel(spark, sf).groupBy("d").pivot("ticker", ["S1", "S2", "S3"]).agg(F.first("close"))
+    wide = panel(spark, sf).groupBy("d").pivot("ticker", ["S1", "S2", "S3"]).agg(F.first("close"))
     return r6(ST.unpivot_closes(wide))
 
 
@@ -773,7 +779,7 @@ BENCHM = f"{V.BENCH}, mb2 AS (SELECT d, close AS px FROM bench SEMI JOIN me USIN
 
 
 def _bench_months(spark, sf):
-    p = V.panel(spark, sf)
+    p = panel(spark, sf)
     return V.benchmark_series(p).join(ends(spark, sf), "d", "left_semi").select("d", F.col("close").alias("px"))
 
 
@@ -806,7 +812,7 @@ def ew_hold_closed_form(spark, sf):
 @query(chain(V.PANEL, V.HOLDINGS) + """, b AS (SELECT 'S' || (c_custkey % 30 + 1) AS ticker, 2.0 AS s1, 100 + c_custkey % 7 AS p1 FROM customer WHERE c_custkey BETWEEN 1 AND 30)
 SELECT ticker, coalesce(shares, 0) + coalesce(s1, 0) AS shares, round((coalesce(shares, 0) * coalesce(cost, 0) + coalesce(s1, 0) * coalesce(p1, 0)) / (coalesce(shares, 0) + coalesce(s1, 0)), 6) AS cost FROM holdings FULL JOIN b USING (ticker)""")
 def weighted_cost_merge(spark, sf):
-    h = V.holdings(spark, sf, V.panel(spark, sf))
+    h = V.holdings(spark, sf, panel(spark, sf))
     b = V.table(spark, sf, "customer").filter(F.col("c_custkey").between(1, 30)).select(F.concat(F.lit("S"), (F.col("c_custkey") % 30 + 1).cast("string")).alias("ticker"), F.lit(2.0).alias("shares"), (100 + F.col("c_custkey") % 7).cast("double").alias("price"))
     return r6(L.merge_purchase(h, b))
 
@@ -892,7 +898,7 @@ def coverage_by_year_rollup(spark, sf):
 x AS (SELECT pk.ticker, picked, (SELECT arg_max("full", d) FROM filled f WHERE f.ticker = pk.ticker AND f.d <= picked) AS p0, (SELECT arg_max(close, d) FROM bench b WHERE b.d <= picked) AS b0 FROM pk)
 SELECT x.ticker, picked, round(f."full" / p0 - 1, 6) AS ret, round(b.close / b0 - 1, 6) AS bench_ret FROM x, lastp JOIN filled f ON f.d = lastp.d JOIN bench b ON b.d = lastp.d WHERE f.ticker = x.ticker""")
 def track_record_vs_benchmark(spark, sf):
-    p = V.panel(spark, sf)
+    p = panel(spark, sf)
     f = filled(spark, sf).select("ticker", "d", F.col("full").alias("px"))
     picks = V.holdings(spark, sf, p).select("ticker", F.date_add(F.lit("1997-03-05").cast("date"), (F.col("shares") * 60).cast("int")).alias("picked"))
     b = V.benchmark_series(p).select(F.lit("b").alias("k"), "d", "close")
@@ -905,7 +911,7 @@ def track_record_vs_benchmark(spark, sf):
 
 @query(chain(*BASE, FILLED, V.HOLDINGS) + """, l AS (SELECT ticker, "full" AS px FROM filled WHERE d = (SELECT max(d) FROM cal)) SELECT ticker, round(shares * px, 4) AS value, round(shares * px / sum(shares * px) OVER (), 6) AS weight, round(px / nullif(cost, 0) - 1, 6) AS pl FROM holdings JOIN l USING (ticker)""")
 def holdings_pnl(spark, sf):
-    p = V.panel(spark, sf)
+    p = panel(spark, sf)
     last = P.calendar(p).agg(F.max("d").alias("d"))
     px = filled(spark, sf).join(last, "d").select("ticker", F.col("full").alias("px"))
     h = V.holdings(spark, sf, p).join(px, "ticker").withColumn("v", F.col("shares") * F.col("px"))
@@ -942,7 +948,7 @@ def stress_clones(spark, sf):
     f = fac(spark, sf)
     el = f.join(ends(spark, sf), "d", "left_semi").filter("eligible").select("ticker", "d")
     cl = spark.createDataFrame([(9, 2001, "2001-07-10", True), (10, 2001, "2001-09-12", False)], "cik int, year int, e string, nasdaq boolean").select("cik", "year", F.to_date("e").alias("end"), "nasdaq")
-    d = FI.stress_clones(f.select("ticker", "d", "ret"), el, P.calendar(V.panel(spark, sf)), cl)
+    d = FI.stress_clones(f.select("ticker", "d", "ret"), el, P.calendar(panel(spark, sf)), cl)
     return r6(d.select("ticker", "d", F.log("close").alias("log_close")))
 
 
@@ -951,9 +957,9 @@ def stress_clones(spark, sf):
 
 def context(spark, sf) -> DataFrame:
     """One row a month and ticker with all that a scenario reads; the filled panel is computed once."""
-    p = V.panel(spark, sf)
+    p = panel(spark, sf)
     cal = P.calendar(p)
-    f = P.fill(P.align(p, cal)).persist()
+    f = filled(spark, sf)
     ends_ = P.month_ends(cal)
     m = FA.below_before(FA.factors(f).join(ends_, "d", "left_semi").join(V.traits(spark, sf), "ticker", "left"))
     s = SC.score(m, "W2")
