@@ -208,12 +208,10 @@ def simulate(scenarios: DataFrame, context: DataFrame, tasks: int | None = None)
     is checked: beyond two million rows the caller must cut the universe. Results don't depend on the number of tasks.
     """
     spark = scenarios.sparkSession
-    context = context.persist()
     n = context.count()
     if n > 2_000_000:
         raise ValueError(f"a context of {n} rows is too large to share")
     shared = spark.sparkContext.broadcast(context.toPandas())
-    context.unpersist()
     cache: dict[int, Months] = {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

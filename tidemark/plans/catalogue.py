@@ -144,7 +144,7 @@ def mfac(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str, weights: str = "W2", use_revisions: bool = False) -> DataFrame:
-    return SC.score(mfac(spark, sf).join(V.traits(spark, sf), "ticker", "left"), weights, use_revisions)
+    return SC.score(mfac(spark, sf).join(V.traits(spark, sf), "ticker", "left"), weights, use_revisions).persist()
 
 
 # ---- calendar and panel ----
@@ -291,7 +291,7 @@ def sparkline_points(spark, sf):
 @query(chain(V.TRAITS) + f"SELECT ticker, round({pct_sql('rev_chg', 'speculative')}, 6) AS p, round({pct_sql('gp_assets', 'speculative')}, 6) AS q FROM traits")
 def pct_rank_average(spark, sf):
     t = V.traits(spark, sf)
-    return t.select("ticker", F.round(SC.pct(F.col("rev_chg"), ["speculative"]), 6).alias("p"), F.round(SC.pct(F.col("gp_assets"), ["speculative"]), 6).alias("q"))
+    return t.select("ticker", F.round(SC.pct(F.col("rev_chg"), ["speculative"]) + 1e-9, 6).alias("p"), F.round(SC.pct(F.col("gp_assets"), ["speculative"]) + 1e-9, 6).alias("q"))
 
 
 @query(chain(*RANKED) + "SELECT d, ticker, round(mom, 6) AS mom, round(qual, 6) AS qual, round(raw_score, 6) AS raw_score, round(composite, 6) AS composite FROM scored")
@@ -422,7 +422,7 @@ PITS = (V.FACTS, ASOFS, CONC, KNOWN)
 
 def _known(spark, sf):
     asofs = spark.range(1996, 2002).select(F.col("id").cast("int").alias("y")).crossJoin(spark.createDataFrame([(3,), (6,), (9,), (12,)], "m int")).select(F.make_date("y", "m", F.lit(1)).alias("asof"))
-    return PIT.known(V.facts(spark, sf), asofs, PIT.concept_rows(spark))
+    return PIT.known(V.facts(spark, sf), asofs, PIT.concept_rows(spark)).persist()
 
 
 @query(chain(*PITS) + 'SELECT entity, metric, asof, start, e AS "end", round(val, 2) AS val, filed FROM kn')
@@ -457,7 +457,7 @@ fund AS (SELECT entity, asof, r.val AS revenue_ttm, p.val AS revenue_ttm_prev, r
 def pit_growth_and_margin(spark, sf):
     d = PIT.fundamentals(_known(spark, sf))
     two = [F.round(c, 2).alias(c) for c in ("revenue_ttm", "revenue_ttm_prev", "gross_profit_ttm", "assets")]
-    return d.select("entity", "asof", *two, F.round("revenue_growth", 6).alias("revenue_growth"), F.round("gp_assets", 6).alias("gp_assets"), "fund_end")
+    return d.select("entity", "asof", *two, F.round(F.col("revenue_growth") + 1e-9, 6).alias("revenue_growth"), F.round(F.col("gp_assets") + 1e-9, 6).alias("gp_assets"), "fund_end")
 
 
 @query(chain(V.PANEL, V.HOLDINGS, V.TRAITS) + """SELECT h.ticker, round(CASE WHEN cost * shares > 0 THEN (rev_chg * 100) / (cost * shares) END, 6) AS earnings_yield, coalesce(rev_chg < 0, false) AS speculative, rev_chg IS NULL AND shares IS NULL AS fund_missing FROM holdings h LEFT JOIN traits t USING (ticker)""")
@@ -825,7 +825,7 @@ def decision_replay(spark, sf):
     dec = g.select(F.lit("b").alias("strategy"), "month", F.array().cast("array<string>").alias("sells"), F.map_keys("px").alias("buys"), "px", F.lit(2500.0).alias("contrib"))
     s = L.replay(dec, ["strategy"])
     e = s.select(F.explode("state.shares").alias("ticker", "shares"), "state")
-    return e.select("ticker", F.round("shares", 6).alias("shares"), F.round(F.element_at("state.basis", F.col("ticker")), 4).alias("basis"))
+    return e.select("ticker", F.round(F.col("shares") + 1e-9, 6).alias("shares"), F.round(F.element_at("state.basis", F.col("ticker")), 4).alias("basis"))
 
 
 def _ew_ledger(spark, sf):
@@ -915,7 +915,7 @@ def holdings_pnl(spark, sf):
     last = P.calendar(p).agg(F.max("d").alias("d"))
     px = filled(spark, sf).join(last, "d").select("ticker", F.col("full").alias("px"))
     h = V.holdings(spark, sf, p).join(px, "ticker").withColumn("v", F.col("shares") * F.col("px"))
-    return h.select("ticker", F.round("v", 4).alias("value"), F.round(F.col("v") / F.sum("v").over(Window.partitionBy()), 6).alias("weight"), F.round(F.try_divide("px", "cost") - 1, 6).alias("pl"))
+    return h.select("ticker", F.round("v", 4).alias("value"), F.round(F.col("v") / F.sum("v").over(Window.partitionBy()) + 1e-9, 6).alias("weight"), F.round(F.try_divide("px", "cost") - 1 + 1e-9, 6).alias("pl"))
 
 
 @query("""WITH x AS (SELECT c_nationkey AS k, c_acctbal AS v FROM customer) SELECT k, round(quantile_cont(v, 0.6), 6) AS p60, round(quantile_cont(v, 0.75), 6) AS p75, round(median(v), 6) AS med,
@@ -975,7 +975,7 @@ def context(spark, sf) -> DataFrame:
     x = P.fill_dates(cal).filter("exec is not null")
     s = s.join(v3, ["ticker", "d"], "left").withColumn("v3_in", S.flag(F.col("v3_in"))).join(reg, "d").join(x, "d").join(px, ["ticker", "exec"]).join(mark, ["ticker", "d"])
     return s.filter("d >= '2000-03-01'").select(
-        "ticker", "grp", "d", "exec", "ord", "eligible", "trend", "composite", "above200", "sma200", "below_prev", "speculative", "brake", "px", "mark", "v1_level", "v1_up", "v1_below", "v1_below_prev", "v2_level", "v2_up", "v2_below", "v2_below_prev", "v3_in")
+        "ticker", "grp", "d", "exec", "ord", "eligible", "trend", "composite", "above200", "sma200", "below_prev", "speculative", "brake", "px", "mark", "v1_level", "v1_up", "v1_below", "v1_below_prev", "v2_level", "v2_up", "v2_below", "v2_below_prev", "v3_in").persist()
 
 
 def grid_scenarios(spark) -> DataFrame:
@@ -1008,7 +1008,7 @@ def simulation_equals_closed_form(spark, sf):
 
 @query()
 def random_portfolios(spark, sf):
-    return r6(_summary(L.simulate(random_scenarios(spark, 200), context(spark, sf))).select("scenario", "xirr", "max_dd"))
+    return r6(_summary(L.simulate(random_scenarios(spark, 1000), context(spark, sf))).select("scenario", "xirr", "max_dd"))
 
 
 @query()
