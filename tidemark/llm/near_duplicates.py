@@ -228,6 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     of = groups.join(heads, "root").select(F.col("v").alias("node"), F.col("head.class_id").alias("group_id"), F.col("head.v").alias("head"))
     info = nodes.drop("bands", "key").join(links, "node", "left").join(of, "node", "left")
     info = info.select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("head", "node").alias("head"))
+    # Written, so that the last join stands alone and a class with very many copies may be split.
+    info = written(info, "class-info")
     return signed.select(F.col("id").alias(id_col), "node").join(info, "node").select(id_col, "class_id", "class_size", "n_links", "group_id", "node", "head")
 
 
