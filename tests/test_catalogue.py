@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
+from tidemark.operators import factors, panel
 from tidemark.plans import catalogue, flagship
+from tidemark.sources import views
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SAMPLE = ("month_ends", "ffill_limited", "lag_returns", "composite_score", "group_capped_top10", "sell_rules", "pit_ttm_revenue", "pit_growth_and_margin", "asof_backward", "ticker_mapping", "latest_filing_then_filter", "html_to_text", "upsert_replace", "ew_hold_closed_form", "xirr_bisection")
@@ -32,7 +34,9 @@ def test_entry_has_buys(spark):
 
 
 def test_plans_push_down_and_share_one_window_exchange(spark):
-    d = catalogue.fac(spark, SF)
+    spark.catalog.clearCache()
+    p = views.panel(spark, SF)
+    d = factors.factors(panel.fill(panel.align(p, panel.calendar(p))))
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_extendedprice:double,l_shipdate:timestamp" in plan.replace("timestamp_ntz", "timestamp")
     assert plan.count("hashpartitioning(ticker") <= 5
