@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import scratch, table, tune
 
 END_ID = 0
-LANES, BLOCK = 1024, 1 << 18  # lanes of a block, and tokens after which it ends with the document
+LANES, BLOCK = 2048, 1 << 18  # lanes of a block, and tokens after which it ends with the document
 PRECISION = 18  # bits of the frequency table, more for vocabularies that need them
 LOW = np.uint64(1 << 31)
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
@@ -77,27 +78,30 @@ class WordEncoder:
                 self.later[w] = raw[at:e]
                 at = e
 
-    def _plain(self, t: str | None) -> bool:
-        if not t or any(x in t for x in self.special):
-            return False
-        return not (t[0] == " " or t[-1] == " " or self.NEAR.search(t)) or not self.ODD.search(t)
+    def _split(self, texts: list[str | None]) -> tuple[list[list[str] | None], set[str]]:
+        """Words of each text that can be cut at its blanks, and all words after a blank."""
+        out = [t.split(" ") if t and not any(x in t for x in self.special) else None for t in texts]
+        seen: set[str] = set()
+        for s in out:
+            if s:
+                seen.update(islice(s, 1, None))
+        if any(not w or w[0].isspace() for w in seen) or any(s and not s[0] for s in out):  # else no blank is next to white space
+            out = [None if s and (t[0] == " " or t[-1] == " " or self.NEAR.search(t)) and self.ODD.search(t) else s for t, s in zip(texts, out, strict=True)]
+            seen = {w for s in out if s for w in islice(s, 1, None)}
+        return out, seen
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of `bytes` bytes; null counts as empty."""
         if len(self.later) > CACHE_WORDS:  # words of the last generation that come again live on
             self.older, self.later, self.first = self.later, {}, {}
-        split = [t.split(" ") if self._plain(t) else None for t in texts]
+        split, seen = self._split(texts)
         starts = list({s[0] for s in split if s and s[0] not in self.first})
         self.first.update(zip(starts, self._packed(starts), strict=True))
-        seen: set[str] = set()
-        for s in split:
-            if s:
-                seen.update(s[1:])
         self._learn(seen)
         whole = iter(self._packed([t for t, s in zip(texts, split, strict=True) if t and s is None]))
         out = []
         for t, s in zip(texts, split, strict=True):
-            out.append(self.first[s[0]] + b"".join(map(self.later.__getitem__, s[1:])) if s else next(whole) if t else b"")
+            out.append(self.first[s[0]] + b"".join(map(self.later.__getitem__, islice(s, 1, None))) if s else next(whole) if t else b"")
         for w in [w for w in seen if len(w) > CACHE_CHARS]:
             del self.later[w]
         return out
