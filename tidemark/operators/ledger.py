@@ -204,7 +204,8 @@ def simulate(scenarios: DataFrame, context: DataFrame, tasks: int | None = None)
     """Ledgers of all scenarios: months in sequence, scenarios in parallel.
 
     scenarios: (scenario, pick, sell, gate, buy, seed, sim, n). context: one row a month and ticker, with ord, px (the
-    fill), mark, composite and flags; a few hundred months of some hundred names, which every task gets whole. Its size
+    fill), mark, composite and flags; a few hundred months of some hundred names, which every task gets whole. With a
+    column weights in both, the context holds such rows for each weights and a scenario reads those of its own. Its size
     is checked: beyond two million rows the caller must cut the universe. Results don't depend on the number of tasks.
     """
     spark = scenarios.sparkSession
@@ -212,12 +213,13 @@ def simulate(scenarios: DataFrame, context: DataFrame, tasks: int | None = None)
     if n > 2_000_000:
         raise ValueError(f"a context of {n} rows is too large to share")
     shared = spark.sparkContext.broadcast(context.toPandas())
-    cache: dict[int, Months] = {}
+    keyed = "weights" in context.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ctx = cache.get(0) or Months(shared.value.replace({np.nan: None}).astype(object).where(shared.value.notna(), None))
+        rows = shared.value.replace({np.nan: None}).astype(object).where(shared.value.notna(), None)
+        ctx = {k: Months(g) for k, g in rows.groupby("weights")} if keyed else {None: Months(rows)}
         for b in batches:
-            rows = [x for sc in b.to_dict("records") for x in run_scenario(ctx, sc)]
+            rows = [x for sc in b.to_dict("records") for x in run_scenario(ctx[sc["weights"] if keyed else None], sc)]
             if rows:
                 yield pd.DataFrame(rows)
 

@@ -25,15 +25,17 @@ def mean2(a: Column, b: Column) -> Column:
     return F.coalesce((a + b) / 2, a, b)
 
 
-def score(fac: DataFrame, weights: str = "W1", use_revisions: bool = False, by: tuple[str, ...] = ("d",)) -> DataFrame:
+def score(fac: DataFrame, weights: str | None = "W1", use_revisions: bool = False, by: tuple[str, ...] = ("d",)) -> DataFrame:
     """Adds mom, qual, rev, raw, composite, grades, label and ord (the tie-break order in its group).
 
     Only eligible rows are ranked; others have nulls. A missing quality or revision leaves the weights to the rest.
+    Without weights each row takes those that its column weights names; that column then belongs into by.
     """
     by_ = list(by)
     e = lambda c: F.when(F.col("eligible"), F.col(c))
     d = fac.withColumns({f"__{c}": pct(e(c), by_) for c in ("mom_raw", "hi52", "gp_assets", "rev_growth", "rev_chg", "rev_breadth")})
-    w_mom, w_qual = WEIGHTS[weights]
+    own = lambda i: F.coalesce(*[F.when(F.col("weights") == k, F.lit(w[i])) for k, w in WEIGHTS.items()])
+    w_mom, w_qual = WEIGHTS[weights] if weights else (own(0), own(1))
     d = d.withColumn("mom", 0.7 * F.col("__mom_raw") + 0.3 * F.col("__hi52")).withColumn("qual", mean2(F.col("__gp_assets"), F.col("__rev_growth")))
     d = d.withColumn("rev", mean2(F.col("__rev_chg"), F.col("__rev_breadth")) if use_revisions else F.lit(None).cast("double"))
     raw = F.when(F.col("qual").isNotNull(), w_mom * F.col("mom") + w_qual * F.col("qual")).otherwise(F.col("mom"))

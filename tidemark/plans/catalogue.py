@@ -956,37 +956,37 @@ def stress_clones(spark, sf):
 
 
 def context(spark, sf) -> DataFrame:
-    """One row a month and ticker with all that a scenario reads; the filled panel is computed once."""
+    """One row a month, ticker and weights with all that a scenario reads; the filled panel is computed once."""
     p = panel(spark, sf)
     cal = P.calendar(p)
     f = filled(spark, sf)
     ends_ = P.month_ends(cal)
     m = FA.below_before(FA.factors(f).join(ends_, "d", "left_semi").join(V.traits(spark, sf), "ticker", "left"))
-    s = SC.score(m, "W2")
-    v1 = FA.monthly_sma(s.drop("below")).withColumnsRenamed({"level": "v1_level", "up": "v1_up", "below": "v1_below"})
+    v1 = FA.monthly_sma(m.drop("below")).withColumnsRenamed({"level": "v1_level", "up": "v1_up", "below": "v1_below"})
     v2 = FA.band(v1).withColumnsRenamed({"up": "v2_up", "below": "v2_below"}).withColumn("v2_level", F.col("sma200"))
     w = Window.partitionBy("ticker").orderBy("d")
     s = v2.withColumn("v1_below_prev", S.flag(F.lag("v1_below").over(w))).withColumn("v2_below_prev", S.flag(F.lag("v2_below").over(w)))
     s = s.join(FA.fip(f).select("ticker", "d", "fip"), ["ticker", "d"])
-    v3 = SE.fip_pool(s).select("ticker", "d", F.lit(True).alias("v3_in"))
+    s = SC.score(s.withColumn("weights", F.explode(F.array(*map(F.lit, SC.WEIGHTS)))), None, by=("weights", "d"))
+    v3 = SE.fip_pool(s, ("weights", "d")).select("weights", "ticker", "d", F.lit(True).alias("v3_in"))
     reg = FA.regime(m, V.benchmark_series(p)).select("d", "brake")
     px = f.select("ticker", F.col("d").alias("exec"), F.col("full").alias("px"))
     mark = f.select("ticker", "d", F.col("full").alias("mark"))
     x = P.fill_dates(cal).filter("exec is not null")
-    s = s.join(v3, ["ticker", "d"], "left").withColumn("v3_in", S.flag(F.col("v3_in"))).join(reg, "d").join(x, "d").join(px, ["ticker", "exec"]).join(mark, ["ticker", "d"])
+    s = s.join(v3, ["weights", "ticker", "d"], "left").withColumn("v3_in", S.flag(F.col("v3_in"))).join(reg, "d").join(x, "d").join(px, ["ticker", "exec"]).join(mark, ["ticker", "d"])
     return s.filter("d >= '2000-03-01'").select(
-        "ticker", "grp", "d", "exec", "ord", "eligible", "trend", "composite", "above200", "sma200", "below_prev", "speculative", "brake", "px", "mark", "v1_level", "v1_up", "v1_below", "v1_below_prev", "v2_level", "v2_up", "v2_below", "v2_below_prev", "v3_in").persist()
+        "weights", "ticker", "grp", "d", "exec", "ord", "eligible", "trend", "composite", "above200", "sma200", "below_prev", "speculative", "brake", "px", "mark", "v1_level", "v1_up", "v1_below", "v1_below_prev", "v2_level", "v2_up", "v2_below", "v2_below_prev", "v3_in").persist()
 
 
 def grid_scenarios(spark) -> DataFrame:
     """Thirty-six configurations of sells, gates, buys and weights, and the equal-weight and rotation references."""
-    rows = [(f"{w}-{g}-{s}-{b}", "rank", s, g, b, 0, 0, 0) for w in ("W2",) for g in ("G0", "G1") for s in ("S1", "S2", "S3") for b in ("Nvar", "N3")]
-    rows += [(p, p, "S2", "G1", "B0R", 0, 0, 0) for p in ("ew_all", "ew_trend", "ew_trend10", "b0h", "v1", "v2", "v3")]
-    return spark.createDataFrame(rows, "scenario string, pick string, sell string, gate string, buy string, seed int, sim int, n int")
+    rows = [(f"{w}-{g}-{s}-{b}", "rank", w, s, g, b, 0, 0, 0) for w in SC.WEIGHTS for g in ("G0", "G1") for s in ("S1", "S2", "S3") for b in ("Nvar", "N3")]
+    rows += [(p, p, "W2", "S2", "G1", "B0R", 0, 0, 0) for p in ("ew_all", "ew_trend", "ew_trend10", "b0h", "v1", "v2", "v3")]
+    return spark.createDataFrame(rows, "scenario string, pick string, weights string, sell string, gate string, buy string, seed int, sim int, n int")
 
 
 def random_scenarios(spark, sims: int, seed: int = 11, pick: str = "random_up") -> DataFrame:
-    return spark.range(sims).select(F.concat(F.lit(f"{pick}-"), F.col("id").cast("string")).alias("scenario"), F.lit(pick).alias("pick"), F.lit("S2").alias("sell"), F.lit("G1").alias("gate"), F.lit("B0R").alias("buy"), F.lit(seed).alias("seed"), F.col("id").cast("int").alias("sim"), F.lit(5).alias("n"))
+    return spark.range(sims).select(F.concat(F.lit(f"{pick}-"), F.col("id").cast("string")).alias("scenario"), F.lit(pick).alias("pick"), F.lit("W2").alias("weights"), F.lit("S2").alias("sell"), F.lit("G1").alias("gate"), F.lit("B0R").alias("buy"), F.lit(seed).alias("seed"), F.col("id").cast("int").alias("sim"), F.lit(5).alias("n"))
 
 
 def _summary(led: DataFrame) -> DataFrame:
