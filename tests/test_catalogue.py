@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import factors, panel
 from tidemark.plans import catalogue, flagship
@@ -51,3 +52,17 @@ def test_grid_has_all_weights_each_scored_by_its_own(spark):
         one = {(w, r["ticker"], str(r["d"])): r["composite"] for r in catalogue.scored(spark, SF, w).select("ticker", "d", "composite").collect()}
         mine = {k: v for k, v in got.items() if k[0] == w}
         assert mine and all(one[k] == v for k, v in mine.items())
+
+
+def test_gates_compare_with_all_thousand_draws(spark, monkeypatch):
+    """b0r beats each of the first fifty draws and none of the other 950."""
+
+    def ledger(scenarios, context, *args, **more):
+        value = F.when(F.col("pick") != "random_up", 110.0).when(F.col("sim") < 50, 105.0).otherwise(120.0)
+        at = lambda day, c, v: F.struct(F.lit(day).cast("date").alias("exec"), F.lit(c).alias("contribution"), v.alias("value"), F.lit(5).alias("n_buys"))
+        return scenarios.select("scenario", F.explode(F.array(at("2020-01-01", 100.0, F.lit(100.0)), at("2021-01-01", 0.0, value))).alias("x")).select("scenario", F.col("x.exec").alias("d"), "x.*")
+
+    monkeypatch.setattr(catalogue.L, "simulate", ledger)
+    monkeypatch.setattr(catalogue, "context", lambda spark, sf: None)
+    r = catalogue.QUERIES["gates"](spark, SF).first()
+    assert r["beats_ew"] and r["beats_hold"] and not r["ge_p60_random"] and not r["ship"]

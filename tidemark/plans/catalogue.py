@@ -985,6 +985,10 @@ def grid_scenarios(spark) -> DataFrame:
     return spark.createDataFrame(rows, "scenario string, pick string, weights string, sell string, gate string, buy string, seed int, sim int, n int")
 
 
+#: Random portfolios of a pool, in each query that compares with them.
+DRAWS = 1000
+
+
 def random_scenarios(spark, sims: int, seed: int = 11, pick: str = "random_up") -> DataFrame:
     return spark.range(sims).select(F.concat(F.lit(f"{pick}-"), F.col("id").cast("string")).alias("scenario"), F.lit(pick).alias("pick"), F.lit("W2").alias("weights"), F.lit("S2").alias("sell"), F.lit("G1").alias("gate"), F.lit("B0R").alias("buy"), F.lit(seed).alias("seed"), F.col("id").cast("int").alias("sim"), F.lit(5).alias("n"))
 
@@ -1008,12 +1012,12 @@ def simulation_equals_closed_form(spark, sf):
 
 @query()
 def random_portfolios(spark, sf):
-    return r6(_summary(L.simulate(random_scenarios(spark, 1000), context(spark, sf))).select("scenario", "xirr", "max_dd"))
+    return r6(_summary(L.simulate(random_scenarios(spark, DRAWS), context(spark, sf))).select("scenario", "xirr", "max_dd"))
 
 
 @query()
 def gates(spark, sf):
-    led = L.simulate(grid_scenarios(spark).unionByName(random_scenarios(spark, 50)), context(spark, sf))
+    led = L.simulate(grid_scenarios(spark).unionByName(random_scenarios(spark, DRAWS)), context(spark, sf))
     x = M.ledger_xirr(led, ["scenario"])
     one = lambda s: F.max(F.when(F.col("scenario") == s, F.col("xirr")))
     draws = F.when(F.col("scenario").startswith("random_up"), F.col("xirr"))
