@@ -66,3 +66,35 @@ def test_gates_compare_with_all_thousand_draws(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "context", lambda spark, sf: None)
     r = catalogue.QUERIES["gates"](spark, SF).first()
     assert r["beats_ew"] and r["beats_hold"] and not r["ge_p60_random"] and not r["ship"]
+
+
+def test_random_portfolios_draw_as_many_as_the_compared_scenario_bought(spark, monkeypatch):
+    from test_pit_metrics import context
+
+    ledgers, simulate = [], catalogue.L.simulate
+
+    def keep(*args, **more):
+        ledgers.append(simulate(*args, **more).persist())
+        return ledgers[-1]
+
+    monkeypatch.setattr(catalogue.L, "simulate", keep)
+    monkeypatch.setattr(catalogue, "DRAWS", 3)
+    monkeypatch.setattr(catalogue, "context", lambda spark, sf: context(spark).withColumn("weights", F.lit("W2")))
+    out = {r["scenario"] for r in catalogue.QUERIES["random_portfolios"](spark, SF).collect()}
+    assert out == {f"{p}-{k}" for p in ("random_up", "random", "random_all") for k in range(3)}
+    made = {(r["scenario"], r["d"]): r["n_buys"] for r in ledgers[0].collect()}
+    drawn = [(r["scenario"].rsplit("-", 1)[0], r["d"], r["n_buys"]) for r in ledgers[1].collect()]
+    assert len(set(made.values())) > 1
+    assert all(n <= made[catalogue.COMPARED[p], d] for p, d, n in drawn)
+    assert any(n != 5 for _, _, n in drawn) and {p for p, d, n in drawn if n == made[catalogue.COMPARED[p], d]} == set(catalogue.COMPARED)
+
+
+def test_draws_follow_buys_made_by_month():
+    L = catalogue.L
+    days = ("2020-01-31", "2020-02-29", "2020-03-31")
+    row = lambda k: {"eligible": True, "px": 10.0, "mark": 10.0, "composite": 0.9, "trend": True, "above200": True, "below_prev": False, "sma200": 5.0, "brake": False, "speculative": False, "ord": k}
+    ctx = L.Months.__new__(L.Months)
+    ctx.groups = {f"N{k}": f"g{k}" for k in range(50)}
+    ctx.months = [(d, d, {f"N{k}": row(k) for k in range(50)}) for d in days]
+    sc = {"scenario": "r", "pick": "random_up", "seed": 1, "sim": 0, "n": 5}
+    assert [r["n_buys"] for r in L.run_scenario(ctx, sc, dict(zip(days, (0, 2, 10), strict=True)))] == [0, 2, 10]

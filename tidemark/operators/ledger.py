@@ -163,7 +163,7 @@ def run_scenario(ctx: Months, sc: dict, buys_made: dict | None = None) -> list[d
             names = names[:2] if any(r["brake"] for r in recs.values()) else names
         else:
             pool = up if pick == "random_up" else _uncapped(ranked, recs, held, ctx.groups)
-            n = (buys_made or {}).get(str(d), sc.get("n", 5))
+            n = sc.get("n", 5) if buys_made is None else buys_made[str(d)]
             names = _greedy(_order(sc["seed"], sc["sim"], str(d), pool), ctx.groups, n) if n else []
         for k in [k for k in sold_now if k in px]:
             dollars = shares.pop(k) * px[k]
@@ -200,13 +200,14 @@ def _uncapped(names: list[str], recs: dict, held: dict[str, float], groups: dict
     return [k for k in names if free(k)]
 
 
-def simulate(scenarios: DataFrame, context: DataFrame, tasks: int | None = None) -> DataFrame:
+def simulate(scenarios: DataFrame, context: DataFrame, tasks: int | None = None, buys_made: dict[str, dict[str, int]] | None = None) -> DataFrame:
     """Ledgers of all scenarios: months in sequence, scenarios in parallel.
 
     scenarios: (scenario, pick, sell, gate, buy, seed, sim, n). context: one row a month and ticker, with ord, px (the
     fill), mark, composite and flags; a few hundred months of some hundred names, which every task gets whole. With a
     column weights in both, the context holds such rows for each weights and a scenario reads those of its own. Its size
     is checked: beyond two million rows the caller must cut the universe. Results don't depend on the number of tasks.
+    buys_made: for a random pick, the names to draw in each month; without it n of the scenario in all months.
     """
     spark = scenarios.sparkSession
     n = context.count()
@@ -219,7 +220,7 @@ def simulate(scenarios: DataFrame, context: DataFrame, tasks: int | None = None)
         rows = shared.value.replace({np.nan: None}).astype(object).where(shared.value.notna(), None)
         ctx = {k: Months(g) for k, g in rows.groupby("weights")} if keyed else {None: Months(rows)}
         for b in batches:
-            rows = [x for sc in b.to_dict("records") for x in run_scenario(ctx[sc["weights"] if keyed else None], sc)]
+            rows = [x for sc in b.to_dict("records") for x in run_scenario(ctx[sc["weights"] if keyed else None], sc, (buys_made or {}).get(sc["pick"]))]
             if rows:
                 yield pd.DataFrame(rows)
 

@@ -989,8 +989,22 @@ def grid_scenarios(spark) -> DataFrame:
 DRAWS = 1000
 
 
+#: The scenario that a pool's draws are compared with: they buy as many names a month, and random and random_all follow its sells.
+COMPARED = {"random_up": "ew_trend10", "random": "W2-G1-S3-Nvar", "random_all": "W2-G1-S3-Nvar"}
+
+
 def random_scenarios(spark, sims: int, seed: int = 11, pick: str = "random_up") -> DataFrame:
-    return spark.range(sims).select(F.concat(F.lit(f"{pick}-"), F.col("id").cast("string")).alias("scenario"), F.lit(pick).alias("pick"), F.lit("W2").alias("weights"), F.lit("S2").alias("sell"), F.lit("G1").alias("gate"), F.lit("B0R").alias("buy"), F.lit(seed).alias("seed"), F.col("id").cast("int").alias("sim"), F.lit(5).alias("n"))
+    sell = "S2" if pick == "random_up" else "S3"
+    return spark.range(sims).select(F.concat(F.lit(f"{pick}-"), F.col("id").cast("string")).alias("scenario"), F.lit(pick).alias("pick"), F.lit("W2").alias("weights"), F.lit(sell).alias("sell"), F.lit("G1").alias("gate"), F.lit("B0R").alias("buy"), F.lit(seed).alias("seed"), F.col("id").cast("int").alias("sim"), F.lit(5).alias("n"))
+
+
+def _buys_made(spark, ctx: DataFrame) -> dict[str, dict[str, int]]:
+    """Names bought in each month by the compared scenario of each pool: some hundred months."""
+    led = L.simulate(grid_scenarios(spark).filter(F.col("scenario").isin(*COMPARED.values())), ctx)
+    made: dict[str, dict[str, int]] = {}
+    for r in led.select("scenario", "d", "n_buys").collect():
+        made.setdefault(r["scenario"], {})[str(r["d"])] = r["n_buys"]
+    return {pick: made.get(s, {}) for pick, s in COMPARED.items()}
 
 
 def _summary(led: DataFrame) -> DataFrame:
@@ -1012,12 +1026,15 @@ def simulation_equals_closed_form(spark, sf):
 
 @query()
 def random_portfolios(spark, sf):
-    return r6(_summary(L.simulate(random_scenarios(spark, DRAWS), context(spark, sf))).select("scenario", "xirr", "max_dd"))
+    ctx = context(spark, sf)
+    draws = random_scenarios(spark, DRAWS).unionByName(random_scenarios(spark, DRAWS, pick="random")).unionByName(random_scenarios(spark, DRAWS, 13, "random_all"))
+    return r6(_summary(L.simulate(draws, ctx, buys_made=_buys_made(spark, ctx))).select("scenario", "xirr", "max_dd"))
 
 
 @query()
 def gates(spark, sf):
-    led = L.simulate(grid_scenarios(spark).unionByName(random_scenarios(spark, DRAWS)), context(spark, sf))
+    ctx = context(spark, sf)
+    led = L.simulate(grid_scenarios(spark).unionByName(random_scenarios(spark, DRAWS)), ctx, buys_made=_buys_made(spark, ctx))
     x = M.ledger_xirr(led, ["scenario"])
     one = lambda s: F.max(F.when(F.col("scenario") == s, F.col("xirr")))
     draws = F.when(F.col("scenario").startswith("random_up"), F.col("xirr"))
