@@ -98,3 +98,20 @@ def test_draws_follow_buys_made_by_month():
     ctx.months = [(d, d, {f"N{k}": row(k) for k in range(50)}) for d in days]
     sc = {"scenario": "r", "pick": "random_up", "seed": 1, "sim": 0, "n": 5}
     assert [r["n_buys"] for r in L.run_scenario(ctx, sc, dict(zip(days, (0, 2, 10), strict=True)))] == [0, 2, 10]
+
+
+#: The filter that a registered SQL has and its query has not.
+FILTERS = {
+    **dict.fromkeys(("ticker_mapping", "status_priority", "status_diff", "coverage_by_year_rollup"), (" WHERE o_orderkey % 7 = 0", "")),
+    "member_revenue_floor": (" WHERE c_nationkey % 3 <> 0", ""),
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_query_equals_sql_without_filters(spark, name):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS FROM read_parquet('{p}')")
+    whole = catalogue.ORACLES[name].replace(*FILTERS[name])
+    assert rows(catalogue.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(whole).df())

@@ -469,7 +469,7 @@ def fund_factors(spark, sf):
 @query(chain(*PITS, ttm_sql("ttm", "kn")) + ", ey AS (SELECT DISTINCT c_nationkey AS entity, year(o_orderdate) + 1 AS year FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 3 <> 0) SELECT entity, asof FROM ttm JOIN ey ON ey.entity = ttm.entity AND ey.year = year(asof) WHERE metric = 'revenue' AND val >= 1000000".replace("SELECT entity, asof FROM", "SELECT ttm.entity, asof FROM"))
 def member_revenue_floor(spark, sf):
     o, c = V.table(spark, sf, "orders"), V.table(spark, sf, "customer")
-    years = o.join(c, o.o_custkey == c.c_custkey).filter("c_nationkey % 3 <> 0").select(F.col("c_nationkey").alias("entity"), (F.year("o_orderdate") + 1).alias("year")).distinct()
+    years = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("entity"), (F.year("o_orderdate") + 1).alias("year")).distinct()
     return PIT.members(years, PIT.ttm(_known(spark, sf)).filter("metric = 'revenue'"), 1e6)
 
 
@@ -583,7 +583,7 @@ def resumable_todo(spark, sf):
 
 def _elig(spark, sf):
     o = V.table(spark, sf, "orders")
-    return o.filter("o_orderkey % 7 = 0").groupBy(F.year("o_orderdate").alias("year"), (F.col("o_custkey") % 97).alias("cik")).agg(F.to_date(F.max("o_orderdate")).alias("filed"))
+    return o.groupBy(F.year("o_orderdate").alias("year"), (F.col("o_custkey") % 97).alias("cik")).agg(F.to_date(F.max("o_orderdate")).alias("filed"))
 
 
 ELIG = "el AS (SELECT year(o_orderdate)::INT AS year, o_custkey % 97 AS cik, max(o_orderdate)::DATE AS filed FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"
