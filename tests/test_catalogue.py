@@ -104,6 +104,7 @@ def test_draws_follow_buys_made_by_month():
 FILTERS = {
     **dict.fromkeys(("ticker_mapping", "status_priority", "status_diff", "coverage_by_year_rollup"), (" WHERE o_orderkey % 7 = 0", "")),
     "member_revenue_floor": (" WHERE c_nationkey % 3 <> 0", ""),
+    "interval_listing_match": (" WHERE l_linenumber = 1", ""),
 }
 
 

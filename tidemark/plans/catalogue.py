@@ -523,7 +523,7 @@ def asof_membership(spark, sf):
 j AS (SELECT cl.claim, cl.ticker, l.start, l."end" AS e, l.owner, l.exchange, row_number() OVER (PARTITION BY cl.claim, cl.ticker ORDER BY l."end" DESC NULLS LAST, l.start DESC, l.owner) AS r FROM cl LEFT JOIN listings l ON l.ticker = cl.ticker AND l.start <= d1 AND l."end" >= d0)
 SELECT claim, ticker, start AS l_start, e AS l_end, owner, exchange FROM j WHERE r = 1""")
 def interval_listing_match(spark, sf):
-    li = V.table(spark, sf, "lineitem").filter("l_linenumber = 1")
+    li = V.table(spark, sf, "lineitem")
     c = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim"), F.concat(F.lit("T"), (F.col("l_partkey") % 200).cast("string")).alias("ticker"), F.to_date("l_shipdate").alias("d0"), F.date_add(F.to_date("l_shipdate"), 5).alias("d1"))
     return FI.match_listing(c, V.listings(spark, sf)).select("claim", "ticker", "l_start", "l_end", "owner", "exchange")
 
