@@ -105,6 +105,9 @@ FILTERS = {
     **dict.fromkeys(("ticker_mapping", "status_priority", "status_diff", "coverage_by_year_rollup"), (" WHERE o_orderkey % 7 = 0", "")),
     "member_revenue_floor": (" WHERE c_nationkey % 3 <> 0", ""),
     "interval_listing_match": (" WHERE l_linenumber = 1", ""),
+    "wide_to_long": (" WHERE ticker IN ('S1', 'S2', 'S3')", ""),
+    "category_rows": ("SELECT 'S' || i AS ticker, i % 4 AS c FROM range(1, 13) t(i)", "SELECT DISTINCT 'S' || p_size AS ticker, p_size % 4 AS c FROM part"),
+    "weighted_cost_merge": ("2.0 AS s1, 100 + c_custkey % 7 AS p1 FROM customer WHERE c_custkey BETWEEN 1 AND 30", "sum(2.0) AS s1, avg(100 + c_custkey % 7) AS p1 FROM customer GROUP BY 1"),
 }
 
 

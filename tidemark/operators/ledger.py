@@ -53,7 +53,7 @@ def state_value(state: Column, px: Column) -> Column:
 
 def merge_purchase(held: DataFrame, bought: DataFrame) -> DataFrame:
     """Holdings after purchases (ticker, shares, price): average cost by shares; purchases without a price are skipped."""
-    b = bought.filter(F.col("price") > 0).select("ticker", F.col("shares").alias("s1"), F.col("price").alias("p1"))
+    b = bought.filter(F.col("price") > 0).groupBy("ticker").agg(F.sum("shares").alias("s1"), F.try_divide(F.sum(F.col("shares") * F.col("price")), F.sum("shares")).alias("p1"))
     d = held.select("ticker", F.col("shares").alias("s0"), F.col("cost").alias("c0")).join(b, "ticker", "full")
     s0, s1 = F.coalesce("s0", F.lit(0.0)), F.coalesce("s1", F.lit(0.0))
     return d.select("ticker", (s0 + s1).alias("shares"), F.try_divide(s0 * F.coalesce("c0", F.lit(0.0)) + s1 * F.coalesce("p1", F.lit(0.0)), s0 + s1).alias("cost"))

@@ -768,7 +768,7 @@ def download_failures(spark, sf):
 
 @query(chain(V.PANEL) + ", w AS (SELECT d, ticker, close FROM panel WHERE ticker IN ('S1', 'S2', 'S3')) SELECT ticker, d, round(close, 6) AS close FROM w WHERE close IS NOT NULL")
 def wide_to_long(spark, sf):
-    wide = panel(spark, sf).groupBy("d").pivot("ticker", ["S1", "S2", "S3"]).agg(F.first("close"))
+    wide = panel(spark, sf).groupBy("d").pivot("ticker").agg(F.first("close"))
     return r6(ST.unpivot_closes(wide))
 
 
@@ -813,7 +813,7 @@ def ew_hold_closed_form(spark, sf):
 SELECT ticker, coalesce(shares, 0) + coalesce(s1, 0) AS shares, round((coalesce(shares, 0) * coalesce(cost, 0) + coalesce(s1, 0) * coalesce(p1, 0)) / (coalesce(shares, 0) + coalesce(s1, 0)), 6) AS cost FROM holdings FULL JOIN b USING (ticker)""")
 def weighted_cost_merge(spark, sf):
     h = V.holdings(spark, sf, panel(spark, sf))
-    b = V.table(spark, sf, "customer").filter(F.col("c_custkey").between(1, 30)).select(F.concat(F.lit("S"), (F.col("c_custkey") % 30 + 1).cast("string")).alias("ticker"), F.lit(2.0).alias("shares"), (100 + F.col("c_custkey") % 7).cast("double").alias("price"))
+    b = V.table(spark, sf, "customer").select(F.concat(F.lit("S"), (F.col("c_custkey") % 30 + 1).cast("string")).alias("ticker"), F.lit(2.0).alias("shares"), (100 + F.col("c_custkey") % 7).cast("double").alias("price"))
     return r6(L.merge_purchase(h, b))
 
 
@@ -1072,6 +1072,6 @@ def shadow_due(spark, sf):
 
 @query(chain(V.TRAITS) + ", u AS (SELECT 'S' || i AS ticker, i % 4 AS c FROM range(1, 13) t(i)) SELECT c, arg_min(u.ticker, rk) FILTER (gp_assets IS NOT NULL) AS best, count(*) FILTER (rev_chg > 0) AS up, count(*) AS n FROM (SELECT u.*, gp_assets, rev_chg, row_number() OVER (ORDER BY gp_assets DESC NULLS LAST, u.ticker) AS rk FROM u LEFT JOIN traits USING (ticker)) u GROUP BY c")
 def category_rows(spark, sf):
-    u = spark.range(1, 13).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("ticker"), (F.col("id") % 4).alias("c"))
+    u = V.table(spark, sf, "part").select(F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("ticker"), (F.col("p_size") % 4).cast("long").alias("c")).distinct()
     d = u.join(V.traits(spark, sf), "ticker", "left").withColumn("rk", F.row_number().over(Window.orderBy(F.col("gp_assets").desc_nulls_last(), "ticker")))
     return d.groupBy("c").agg(F.min_by("ticker", F.when(F.col("gp_assets").isNotNull(), F.col("rk"))).alias("best"), F.count_if(F.col("rev_chg") > 0).alias("up"), F.count(F.lit(1)).alias("n"))
