@@ -53,6 +53,7 @@ OPERATORS = {
     "hits": lambda d: decontaminate.contamination(d, d.sparkSession.createDataFrame([(1, "a b"), (None, "same"), (2, None)], "item_id long, text string")),
     "quality": lambda d: quality.score_quality(d, quality.fit_quality(d, d.selectExpr("doc_id", "if(doc_id > 4, 1, null) as quality"))),
     "matches": lambda d: substring_dedup.reference_matches(d, d),
+    "tokens": lambda d: token_rows(d),
 }
 
 
@@ -184,8 +185,9 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 500)
     path, texts = public_tokenizers.path("byte_bpe_50k.json"), corpus() + ["a  b", " \n x", "tail ", "<|endoftext|> x", "\n\n y"]
     ids = random.Random(1).sample(range(1000), len(texts))
-    r = token_files.write_token_files(docs(spark, texts, ids=ids), path, f"file://{tmp_path}/f", work=f"file://{tmp_path}/w")
-    got = {x["doc_id"]: x for x in token_files.read_token_files(spark, f"file://{tmp_path}/f", r, with_ids=True).collect()}
+    token_files.write_token_files(docs(spark, texts, ids=ids), path, f"file://{tmp_path}/f", work=f"file://{tmp_path}/w")
+    # Read in another session, which has nothing but the files.
+    got = {x["doc_id"]: x for x in token_files.read_token_files(spark.newSession(), f"file://{tmp_path}/f", with_ids=True).collect()}
     at, t = 0, token_files.WordEncoder.of(path).tokenizer
     for i, text in sorted(zip(ids, texts, strict=True)):
         want = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -205,10 +207,46 @@ def test_range_coder(spark):
     p = np.bincount(ids) / len(ids)
     p = p[p > 0]
     assert len(t.encode(ids, 64)) * 8 < len(ids) * -(p * np.log2(p)).sum() * 1.01 + 64 * 64 + 64
-    damaged = bytearray(t.encode(ids))
+    data = t.encode(ids, 64, 640)
+    for a, e in ((0, 5000), (0, 1), (639, 641), (640, 1280), (1281, 1300), (4999, 5000), (4990, 9000), (7, 7)):
+        assert (t.decode(data, a, e) == ids[a:e]).all() and len(t.decode(data, a, e)) == len(ids[a:e])
+    same = token_files.RangeTable.of(t.freq)
+    assert (same.decode(data) == ids).all()
+    damaged = bytearray(data)
     damaged[-1] ^= 1
     with pytest.raises(ValueError):
-        assert (t.decode(bytes(damaged)) == ids).all() or (_ for _ in ()).throw(ValueError)
+        t.decode(bytes(damaged))
+
+
+def test_damaged_token_files_fail(spark, tmp_path):
+    import public_tokenizers
+
+    token_files.write_token_files(docs(spark, ["some words", "more of them"]), public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/f")
+    blocks = spark.read.parquet(f"file://{tmp_path}/f/blocks")
+    for k, bad in enumerate((blocks.withColumn("data_crc32", F.col("data_crc32") + 1), blocks.withColumn("ids_crc32", F.col("ids_crc32") + 1))):
+        bad.write.parquet(f"file://{tmp_path}/{k}/blocks")
+        spark.read.parquet(f"file://{tmp_path}/f/table").write.parquet(f"file://{tmp_path}/{k}/table")
+        with pytest.raises(Exception, match="checksum is wrong"):
+            token_files.read_token_files(spark, f"file://{tmp_path}/{k}").collect()
+
+
+def token_rows(d, id_col="doc_id"):
+    import tempfile
+
+    import public_tokenizers
+
+    path = "file://" + tempfile.mkdtemp()
+    token_files.write_token_files(d, public_tokenizers.path("byte_bpe_50k.json"), path + "/f", id_col)
+    return token_files.read_token_files(d.sparkSession, path + "/f", id_col, with_ids=True)
+
+
+def test_token_files_of_odd_ids_and_rows(spark):
+    texts = ["x", None, "", "same", "same", "long " * 200_000, "y"]
+    d = spark.createDataFrame([(i, t, "clash") for i, t in zip([None, None, "a", "b", "b", "", "Z"], texts, strict=True)], "name string, text string, ids string").withColumn("start", F.lit(1))
+    got = sorted(token_rows(d, "name").collect(), key=lambda r: r["start"])
+    assert [r["name"] for r in got] == [None, None, "", "Z", "a", "b", "b"]
+    assert [r["n_tokens"] for r in got[2:]] == [len(got[2]["ids"]), 2, 1, 2, 2] and got[5]["ids"] == got[6]["ids"]
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(7)]
 
 
 # ---- 6 ----

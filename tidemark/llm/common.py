@@ -25,15 +25,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for files that all executors must see, under spark.checkpoint.dir (set here only where it is unset)."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
+        # One process is driver and executor alike: its own temporary folder is shared by all there are.
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df through Parquet in the shared folder: cuts the lineage, and a lost executor costs only its own tasks."""
+    """df through Parquet in the shared folder: cuts the lineage, and a lost executor costs only its own tasks.
+
+    Its attribute `folder` is where it lies; `forget` deletes that.
+    """
     spark = df.sparkSession
     path, before = scratch(spark, name), spark.conf.get(CLEANUP, None)
     # Only for this job, whose plan nobody runs again: its shuffle files go when it ends.
@@ -42,7 +48,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def forget(spark: SparkSession, *frames: DataFrame | str) -> None:
+    """Deletes folders of the shared folder, or those of frames that `written` gave, once nothing reads them any more."""
+    for f in frames:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f if isinstance(f, str) else f.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of consecutive Arrow batches as one, of at least `size` bytes where there are so many."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
