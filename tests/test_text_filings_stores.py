@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import filings as FI
+from tidemark.operators import names as N
 from tidemark.operators import textops as T
 from tidemark.sources import stores as ST
 from tidemark.streaming import shadow
@@ -46,8 +47,20 @@ def test_excerpt_and_anonymous(spark):
     body = "word " * 150
     assert T.business_section(f"Item 1. Business 5 Item 1A. Item 1. Business {body}Item 1A. Risk")[1] == "item1"
     assert T.business_section("see Item 1. Business nothing") == ("see Item 1. Business nothing", "cover")
-    assert T.anonymous("Acme Holdings, Inc. and ACME now trade as NOW; now.", ["Acme Holdings Inc"], ["NOW"]) == "the Company and the Company now trade as the Company; now."
-    assert T.name_variants(["Acme Holdings Inc /DE/"]) == ["Acme Holdings Inc", "Acme Holdings", "Acme"]
+    toc = "Item 1. Business 3 Item 1A. Risk Factors 12 ITEM 1. BUSINESS Overview " + "sell switches " * 60 + "see \u201cItem 1A. Risk Factors,\u201d " + "we sell " * 60 + "ITEM 1A. RISK FACTORS may fall. For more see Item 1. Business. " + "text " * 900
+    out, method = T.business_section(toc)
+    assert method == "item1" and out.startswith("Overview sell") and out.count("we sell") == 60 and "RISK FACTORS" not in out
+    assert len(T.business_section("Item 1. Business " + "w " * 3000 + "Item 2.")[0].split()) == 1500
+    assert T.business_section("FORM 10-K Indicate by check mark whether yes. We sell.") == ("whether yes. We sell.", "cover")
+    assert N.masked("Acme Holdings, Inc. and ACME now trade as NOW; now.", ["Acme Holdings Inc"], ["NOW"]) == "the Company and the Company now trade as the Company; now."
+    assert N.name_variants(["Acme Holdings Inc /DE/"]) == ["Acme Holdings Inc", "Acme Holdings", "Acme"]
+    # Expected values of the behaviour to match.
+    names = ["NVIDIA CORP/CA", "Mellanox Technologies, Ltd.", "ACTIVE POWER INC (2000-07-03..2016-11-29)", None, ""]
+    text = "NVIDIA Corporation and Nvidia sell GPUs. Mellanox Technologies, Ltd. and Mellanox  Technologies merged. Active Power, Inc. sells UPS. Shares trade as NVDA and MLNX. Invidia and nvidias stay; now is fine; powerful active power supplies."
+    assert N.masked(text, names, ["NVDA", "MLNX", "NOW", "A", ""]) == "the Company and the Company sell GPUs. the Company. and the Company merged. the Company sells UPS. Shares trade as the Company and the Company. Invidia and nvidias stay; now is fine; powerful active power supplies."
+    assert {"APPLIED MATERIALS INC", "APPLIED MATERIALS", "Corporate Office Properties", "Salesforce"} <= set(N.name_variants(["APPLIED MATERIALS INC /DE", "Corporate Office Properties, L.P.", "Salesforce, Inc."]))
+    d = spark.createDataFrame([("Acme L.P. is ACME, Co.", ["Acme, L.P."], ["X"]), (None, None, None), ("Yahoo! Inc. and Yahoo", ["Yahoo! Inc"], None)], "text string, names array<string>, tickers array<string>")
+    assert [r["text"] for r in N.anonymize(d).collect()] == ["the Company is the Company", "", "the Company. and Yahoo"]
 
 
 def test_grounding(spark):
