@@ -31,12 +31,22 @@ def latest_of_year(scores: DataFrame, year: int) -> DataFrame:
 def match_listing(claims: DataFrame, listings: DataFrame) -> DataFrame:
     """claims (claim, ticker, d0, d1) with the latest-ending listing of the ticker that overlaps d0..d1, or nulls.
 
-    An equi-join on the ticker with the interval as residual; ties by start.
+    Ties go to the later start, then the least owner. A sweep, not a range join: distinct intervals and listings of a
+    ticker in one order of time, and the running greatest (end, start) of what began by d1 is the match if it ends at d0
+    or later. What is swept is bounded by the calendar, however many claims or listings repeat an interval; claims meet
+    their interval in an equi-join that adaptive execution may split. Null tickers and days match nothing. Of rows with
+    one claim and ticker the best match stays.
     """
-    l = listings.select(F.col("ticker").alias("__t"), F.col("start").alias("l_start"), F.col("end").alias("l_end"), "owner", "exchange")  # noqa: E741
-    j = claims.join(l, (F.col("ticker") == F.col("__t")) & (F.col("l_start") <= F.col("d1")) & (F.col("l_end") >= F.col("d0")), "left").drop("__t")
+    spans = listings.filter("ticker is not null and start is not null and `end` is not null").groupBy("ticker", "start", "end").agg(F.min(F.struct("owner", "exchange")).alias("x"))
+    best = F.struct("end", "start", F.col("x.owner").alias("owner"), F.col("x.exchange").alias("exchange"))
+    spans = spans.select("ticker", F.lit(None).cast("date").alias("d0"), F.col("start").alias("d1"), F.lit(0).alias("side"), best.alias("l"))
+    asked = claims.select("ticker", "d0", "d1").filter("ticker is not null and d0 is not null and d1 is not null").distinct()
+    asked = asked.select("ticker", "d0", "d1", F.lit(1).alias("side"), F.lit(None).cast(spans.schema["l"].dataType).alias("l"))
+    w = Window.partitionBy("ticker").orderBy("d1", "side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = spans.unionByName(asked).withColumn("l", F.max("l").over(w)).filter((F.col("side") == 1) & (F.col("l.end") >= F.col("d0")))
+    found = swept.select("ticker", "d0", "d1", F.col("l.start").alias("l_start"), F.col("l.end").alias("l_end"), "l.owner", "l.exchange")
     w = Window.partitionBy("claim", "ticker").orderBy(F.col("l_end").desc_nulls_last(), F.col("l_start").desc(), "owner")
-    return j.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    return claims.join(found, ["ticker", "d0", "d1"], "left").withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
 def map_tickers(elig: DataFrame, own: DataFrame, stated: DataFrame, listings: DataFrame, listed_from: str = LISTED_FROM) -> DataFrame:

@@ -466,7 +466,7 @@ def fund_factors(spark, sf):
     return r6(PIT.fund_factors(h).select("ticker", "earnings_yield", "speculative", "fund_missing"))
 
 
-@query(chain(*PITS, ttm_sql("ttm", "kn")) + ", ey AS (SELECT DISTINCT c_nationkey AS entity, year(o_orderdate) + 1 AS year FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 3 <> 0) SELECT entity, asof FROM ttm JOIN ey ON ey.entity = ttm.entity AND ey.year = year(asof) WHERE metric = 'revenue' AND val >= 1000000".replace("SELECT entity, asof FROM", "SELECT ttm.entity, asof FROM"))
+@query(chain(*PITS, ttm_sql("ttm", "kn")) + ", ey AS (SELECT DISTINCT c_nationkey AS entity, year(o_orderdate) + 1 AS year FROM orders JOIN customer ON o_custkey = c_custkey) SELECT entity, asof FROM ttm JOIN ey ON ey.entity = ttm.entity AND ey.year = year(asof) WHERE metric = 'revenue' AND val >= 1000000".replace("SELECT entity, asof FROM", "SELECT ttm.entity, asof FROM"))
 def member_revenue_floor(spark, sf):
     o, c = V.table(spark, sf, "orders"), V.table(spark, sf, "customer")
     years = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("entity"), (F.year("o_orderdate") + 1).alias("year")).distinct()
@@ -519,7 +519,7 @@ def asof_membership(spark, sf):
     return j.groupBy("asof").agg(F.count(F.lit(1)).alias("orders"), F.count("m").alias("member_orders"))
 
 
-@query(chain(V.LISTINGS) + """, cl AS (SELECT l_orderkey * 10 + l_linenumber AS claim, 'T' || (l_partkey % 200) AS ticker, l_shipdate::DATE AS d0, l_shipdate::DATE + 5 AS d1 FROM lineitem WHERE l_linenumber = 1),
+@query(chain(V.LISTINGS) + """, cl AS (SELECT l_orderkey * 10 + l_linenumber AS claim, 'T' || (l_partkey % 200) AS ticker, l_shipdate::DATE AS d0, l_shipdate::DATE + 5 AS d1 FROM lineitem),
 j AS (SELECT cl.claim, cl.ticker, l.start, l."end" AS e, l.owner, l.exchange, row_number() OVER (PARTITION BY cl.claim, cl.ticker ORDER BY l."end" DESC NULLS LAST, l.start DESC, l.owner) AS r FROM cl LEFT JOIN listings l ON l.ticker = cl.ticker AND l.start <= d1 AND l."end" >= d0)
 SELECT claim, ticker, start AS l_start, e AS l_end, owner, exchange FROM j WHERE r = 1""")
 def interval_listing_match(spark, sf):
@@ -586,8 +586,8 @@ def _elig(spark, sf):
     return o.groupBy(F.year("o_orderdate").alias("year"), (F.col("o_custkey") % 97).alias("cik")).agg(F.to_date(F.max("o_orderdate")).alias("filed"))
 
 
-ELIG = "el AS (SELECT year(o_orderdate)::INT AS year, o_custkey % 97 AS cik, max(o_orderdate)::DATE AS filed FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"
-OWN = "own AS (SELECT s_suppkey AS cik, 0 AS pos, 'T' || (s_suppkey * 3 % 200) AS ticker FROM supplier WHERE s_suppkey < 97)"
+ELIG = "el AS (SELECT year(o_orderdate)::INT AS year, o_custkey % 97 AS cik, max(o_orderdate)::DATE AS filed FROM orders GROUP BY 1, 2)"
+OWN = "own AS (SELECT s_suppkey AS cik, 0 AS pos, 'T' || (s_suppkey * 3 % 200) AS ticker FROM supplier)"
 STATED = "stated AS (SELECT cik, 0 AS pos, filed, 'T' || (cik * 5 % 200) AS ticker FROM el)"
 CLAIMS = """cl AS (SELECT el.year, el.cik, 0 AS tier, 0 AS near, '' AS said, pos, ticker, DATE '2001-06-01' AS d0, DATE '9999-12-31' AS d1, NULL::DATE AS alive, make_date(el.year::BIGINT, 12, 31) AS y1 FROM el JOIN own USING (cik)
   UNION ALL SELECT el.year, el.cik, 1, CASE WHEN s.filed = el.filed THEN -1 ELSE abs(year(s.filed) - el.year + 1) END, s.filed::VARCHAR, pos, t, s.filed, s.filed, el.filed, make_date(el.year::BIGINT, 12, 31) FROM el JOIN stated s USING (cik), LATERAL (SELECT unnest([s.ticker, s.ticker || 'Q']) AS t)),
@@ -600,7 +600,7 @@ mapped AS (SELECT el.year, el.cik, ticker, start, e AS "end", exchange, coalesce
 
 def _mapped(spark, sf):
     e = _elig(spark, sf)
-    own = V.table(spark, sf, "supplier").filter("s_suppkey < 97").select(F.col("s_suppkey").alias("cik"), F.lit(0).alias("pos"), F.concat(F.lit("T"), (F.col("s_suppkey") * 3 % 200).cast("string")).alias("ticker"))
+    own = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cik"), F.lit(0).alias("pos"), F.concat(F.lit("T"), (F.col("s_suppkey") * 3 % 200).cast("string")).alias("ticker"))
     stated = e.select("cik", F.lit(0).alias("pos"), "filed", F.concat(F.lit("T"), (F.col("cik") * 5 % 200).cast("string")).alias("ticker"))
     return FI.map_tickers(e, own, stated, V.listings(spark, sf), "2001-06-01")
 
@@ -766,7 +766,7 @@ def download_failures(spark, sf):
     return ST.failures(req, panel(spark, sf).filter("d > '2001-10-25'").select("ticker"))
 
 
-@query(chain(V.PANEL) + ", w AS (SELECT d, ticker, close FROM panel WHERE ticker IN ('S1', 'S2', 'S3')) SELECT ticker, d, round(close, 6) AS close FROM w WHERE close IS NOT NULL")
+@query(chain(V.PANEL) + ", w AS (SELECT d, ticker, close FROM panel) SELECT ticker, d, round(close, 6) AS close FROM w WHERE close IS NOT NULL")
 def wide_to_long(spark, sf):
     wide = panel(spark, sf).groupBy("d").pivot("ticker").agg(F.first("close"))
     return r6(ST.unpivot_closes(wide))
@@ -809,7 +809,7 @@ def ew_hold_closed_form(spark, sf):
     return L.ew_hold(_ew_prices(spark, sf)).select("d", F.round("value", 4).alias("value"))
 
 
-@query(chain(V.PANEL, V.HOLDINGS) + """, b AS (SELECT 'S' || (c_custkey % 30 + 1) AS ticker, 2.0 AS s1, 100 + c_custkey % 7 AS p1 FROM customer WHERE c_custkey BETWEEN 1 AND 30)
+@query(chain(V.PANEL, V.HOLDINGS) + """, b AS (SELECT 'S' || (c_custkey % 30 + 1) AS ticker, sum(2.0) AS s1, avg(100 + c_custkey % 7) AS p1 FROM customer GROUP BY 1)
 SELECT ticker, coalesce(shares, 0) + coalesce(s1, 0) AS shares, round((coalesce(shares, 0) * coalesce(cost, 0) + coalesce(s1, 0) * coalesce(p1, 0)) / (coalesce(shares, 0) + coalesce(s1, 0)), 6) AS cost FROM holdings FULL JOIN b USING (ticker)""")
 def weighted_cost_merge(spark, sf):
     h = V.holdings(spark, sf, panel(spark, sf))
@@ -1070,7 +1070,7 @@ def shadow_due(spark, sf):
     return shadow.due(p, p.filter("month < '2024-01-10'"), "2024-01-25").select("strategy", "month", "fill_date")
 
 
-@query(chain(V.TRAITS) + ", u AS (SELECT 'S' || i AS ticker, i % 4 AS c FROM range(1, 13) t(i)) SELECT c, arg_min(u.ticker, rk) FILTER (gp_assets IS NOT NULL) AS best, count(*) FILTER (rev_chg > 0) AS up, count(*) AS n FROM (SELECT u.*, gp_assets, rev_chg, row_number() OVER (ORDER BY gp_assets DESC NULLS LAST, u.ticker) AS rk FROM u LEFT JOIN traits USING (ticker)) u GROUP BY c")
+@query(chain(V.TRAITS) + ", u AS (SELECT DISTINCT 'S' || p_size AS ticker, p_size % 4 AS c FROM part) SELECT c, arg_min(u.ticker, rk) FILTER (gp_assets IS NOT NULL) AS best, count(*) FILTER (rev_chg > 0) AS up, count(*) AS n FROM (SELECT u.*, gp_assets, rev_chg, row_number() OVER (ORDER BY gp_assets DESC NULLS LAST, u.ticker) AS rk FROM u LEFT JOIN traits USING (ticker)) u GROUP BY c")
 def category_rows(spark, sf):
     u = V.table(spark, sf, "part").select(F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("ticker"), (F.col("p_size") % 4).cast("long").alias("c")).distinct()
     d = u.join(V.traits(spark, sf), "ticker", "left").withColumn("rk", F.row_number().over(Window.orderBy(F.col("gp_assets").desc_nulls_last(), "ticker")))
