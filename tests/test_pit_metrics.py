@@ -130,6 +130,39 @@ def test_stop_sells_next_day(spark):
     assert [r["n_sells"] for r in out] == [0, 1, 0]
 
 
+def test_a_holding_without_a_context_row_is_still_stopped(spark):
+    """N00 is bought in the first month, unknown in the second, and back at 30 % of its price: the stop doesn't need a score."""
+    ctx = context(spark, months=3).filter("not (month(d) = 2 and ticker = 'N00')")
+    ctx = ctx.withColumn("eligible", F.col("eligible") & ((F.month("d") == 1) | (F.col("ticker") != "N00"))).withColumn("composite", F.when((F.month("d") == 1) | (F.col("ticker") != "N00"), F.col("composite")))
+    ctx = ctx.withColumn("mark", F.when((F.month("d") == 3) & (F.col("ticker") == "N00"), 15.0).otherwise(F.col("mark")))
+    t = L.simulate(spark.createDataFrame([("a", "ew_trend", "S2", "G1", "B0R", 1, 0, 0)], SCEN), ctx, trades=True)
+    assert [(r["ticker"], r["rule"], r["d"].month) for r in t.filter("side = 'sell'").collect()] == [("N00", "-35% stop", 3)]
+    assert t.filter("side = 'buy' and ticker = 'N00'").count() == 1
+
+
+def test_trades_add_up_to_the_ledger(spark):
+    sc = spark.createDataFrame([(p, p, "S3", "G1", "Nvar", 1, 0, 3) for p in L.PICKS], SCEN)
+    ctx = context(spark, flat=False).withColumn("below_prev", F.col("ticker") < "N09").withColumn("above200", F.col("ticker") >= "N05")
+    led, t = L.simulate(sc, ctx), L.simulate(sc, ctx, trades=True)
+    n = t.groupBy("scenario", "d").agg(F.sum(F.when(F.col("side") == "buy", 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("side") == "sell", 1).otherwise(0)).alias("s"), F.sum("dollars").alias("x"))
+    j = led.join(n, ["scenario", "d"], "left").fillna(0)
+    assert j.count() == len(L.PICKS) * 12 and j.filter("b <> n_buys or s <> n_sells or abs(x / value - turnover) > 1e-9").count() == 0 and j.agg(F.sum("s")).first()[0] > 0
+
+
+def test_picks_of_a_month_equal_the_selection_operators(spark):
+    """The fold's first purchases are those of the DataFrame operators on the same month."""
+    from tidemark.operators import select as SE
+
+    ctx = context(spark, months=1).withColumn("composite", F.round(F.abs(F.hash("ticker")) % 1000 / 1000.0, 3)).withColumn("trend", F.hash("ticker") % 3 != 0)
+    ctx = ctx.withColumn("ord", F.expr("row_number() over (order by composite desc, ticker)"))
+    sc = spark.createDataFrame([("rank", "rank", "S3", "G1", "Nvar", 1, 0, 3), ("three", "rank", "S3", "G0", "N3", 1, 0, 3), ("spin", "ew_trend10", "S2", "G1", "B0R", 1, 0, 3)], SCEN)
+    got = {k: {r["ticker"] for r in L.simulate(sc, ctx, trades=True).filter(F.col("scenario") == k).collect()} for k in ("rank", "three", "spin")}
+    none = spark.createDataFrame([], "ticker string, value double, grp string")
+    held = spark.createDataFrame([], "ticker string, held double")
+    names = lambda d: {r["ticker"] for r in d.collect()}
+    assert got == {"rank": names(SE.ranked_buys(ctx, none)), "three": names(SE.ranked_buys(ctx, none, "N3", "G0")), "spin": names(SE.rotation_buys(ctx, held, 1.0))}
+
+
 def test_replay_is_split_proof(spark):
     d = [("s", "2020-01", [], ["A", "B"], {"A": 10.0, "B": 20.0}, 100.0), ("s", "2020-02", ["A"], ["B"], {"A": 20.0, "B": 20.0}, 100.0)]
     half = [(*x[:4], {k: v / (2 if k == "B" else 1) for k, v in x[4].items()}, x[5]) for x in d]

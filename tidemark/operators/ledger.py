@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.score import BUY, HOLD
+from tidemark.operators.select import BRAKED, CAP_GROUP, CAP_POSITION, CAP_SPEC, CAP_SPEC_TOTAL, CAPS_FROM, MAX_NAMES, ROTATE, STOP
+
 CONTRIB, COST = 2500.0, 0.0015
 MIN_SCORED = 40
-STOP, BUY, HOLD = 0.65, 0.85, 0.70
 PICKS = ("rank", "ew_all", "ew_trend", "ew_trend10", "b0h", "random", "random_all", "random_up", "v1", "v2", "v3")
 STATE = "struct<shares:map<string,double>,basis:map<string,double>,cash:double>"
 
@@ -71,157 +73,220 @@ def ew_hold(prices: DataFrame, contrib: float = CONTRIB, cost: float = COST) ->
 # ---- path-dependent scenarios ----
 
 LEDGER = "scenario string, d date, exec date, contribution double, value double, cash double, n_buys int, n_sells int, turnover double, eligible int, unscored boolean"
+TRADES = "scenario string, d date, exec date, ticker string, side string, dollars double, price double, rule string"
+SCENARIO = ("scenario", "pick", "weights", "sell", "gate", "buy", "seed", "sim", "n")
+FLAGS = ("eligible", "trend", "above200", "below_prev", "speculative", "brake", "v1_up", "v1_below", "v1_below_prev", "v2_up", "v2_below", "v2_below_prev", "v3_in")
+NUMBERS = ("ord", "composite", "sma200", "px", "mark", "v1_level", "v2_level")
+LINES = {"v1": ("v1_level", "v1_below", "v1_below_prev"), "v2": ("v2_level", "v2_below", "v2_below_prev")}
+RULES = ("-35% stop", "2 month-ends below 200DMA", "rank fell below 70th pct")
 
 
-def _order(seed: int, sim: int, month: str, names: list[str]) -> list[str]:
-    """A shuffle that SQL can repeat: by md5 of seed, simulation, month and name."""
+def shuffled(seed: int, sim: int, month: str, names: list[str]) -> list[int]:
+    """A shuffle that SQL can repeat: places by md5 of seed, simulation, month and name."""
     import hashlib
 
-    return sorted(names, key=lambda k: (hashlib.md5(f"{seed}:{sim}:{month}:{k}".encode()).hexdigest(), k))
-
-
-def _greedy(names: list[str], groups: dict[str, str], limit: int, per_group: int = 3) -> list[str]:
-    out, used = [], {}
-    for k in names:
-        g = groups.get(k) or f"\x00{k}"
-        if used.get(g, 0) < per_group:
-            used[g] = used.get(g, 0) + 1
-            out.append(k)
-        if len(out) == limit:
-            break
-    return out
-
-
-class Months:
-    """The context of all months as arrays by ticker; some hundred kB, shared by every scenario of a worker."""
-
-    def __init__(self, rows: pd.DataFrame) -> None:
-        rows = rows.sort_values(["d", "ord", "ticker"])
-        self.groups = dict(zip(rows["ticker"], rows["grp"], strict=True))
-        self.months = []
-        for d, g in rows.groupby("d", sort=True):
-            recs = {r["ticker"]: r for r in g.to_dict("records")}
-            self.months.append((d, g["exec"].iloc[0], recs))
-
-
-def run_scenario(ctx: Months, sc: dict, buys_made: dict | None = None) -> list[dict]:
-    """The ledger of one scenario: pick, sell, gate, rule, weights (of the context), seed and sim.
-
-    Sells come first and leave the positions; buys follow; both fill at the next day's price. Names sold this month
-    may be bought again except where the pick takes all eligible names (`exclude_sold` in both cases there).
-    """
-    shares: dict[str, float] = {}
-    basis: dict[str, float] = {}
-    cash, out, prev_px = 0.0, [], {}
-    ok = lambda v: v is not None and v == v
-    for d, exec_, recs in ctx.months:
-        elig = [k for k, r in recs.items() if r["eligible"]]
-        px = {k: r["px"] for k, r in recs.items() if ok(r["px"])}
-        unscored = len(elig) < sc.get("min_scored", MIN_SCORED)
-        pick = sc["pick"]
-        rule = "S1" if pick == "ew_all" else sc.get("sell", "S1") if pick in ("rank", "random", "random_all") else "S2"
-        if unscored and rule == "S3":
-            rule = "S2"
-        sold_now, proceeds, sold = [], 0.0, 0.0
-        for k in list(shares):
-            r = recs.get(k)
-            if rule == "S1" or r is None:
-                continue
-            mark = r["mark"] if ok(r["mark"]) else px.get(k)
-            line, below, was = r["sma200"], not r["above200"], r["below_prev"]
-            if pick in ("v1", "v2"):
-                line, below, was = r[f"{pick}_level"], r[f"{pick}_below"], r[f"{pick}_below_prev"]
-            if ok(mark) and mark <= STOP * basis[k] / shares[k]:
-                why = "stop"
-            elif ok(line) and below and was:
-                why = "trend"
-            elif rule == "S3" and ok(r["composite"]) and r["composite"] < HOLD:
-                why = "rank"
-            else:
-                continue
-            if pick == "b0h" and why != "stop":
-                continue
-            sold_now.append(k)
-        held = {k: s * (recs[k]["mark"] if k in recs and ok(recs[k]["mark"]) else px.get(k, prev_px.get(k, 0.0))) for k, s in shares.items() if k not in sold_now}
-        up = [k for k, r in recs.items() if r["eligible"] and ok(r["composite"]) and r["trend"]]
-        rotate = lambda names: _greedy(sorted(names, key=lambda k: (held.get(k, 0.0), -recs[k]["composite"], k)), ctx.groups, 10)
-        ranked = [k for k, r in recs.items() if r["eligible"] and ok(r["composite"]) and (r["trend"] or sc.get("gate") == "G0" or pick == "random_all")]
-        if unscored or pick == "ew_all":
-            names = [k for k in elig if k not in sold_now]
-        elif pick == "ew_trend":
-            names = [k for k in elig if recs[k]["trend"]]
-        elif pick in ("ew_trend10", "b0h"):
-            names = rotate(up)
-        elif pick in ("v1", "v2"):
-            names = rotate([k for k, r in recs.items() if r["eligible"] and ok(r["composite"]) and r[f"{pick}_up"]])
-        elif pick == "v3":
-            names = rotate([k for k, r in recs.items() if r["eligible"] and ok(r["composite"]) and r["v3_in"]])
-        elif pick == "rank":
-            pool = sorted(_uncapped(ranked, recs, held, ctx.groups), key=lambda k: recs[k]["ord"])
-            pool = [k for k in pool if recs[k]["composite"] >= BUY] if sc.get("buy", "Nvar") == "Nvar" else pool
-            names = _greedy(pool, ctx.groups, 10 if sc.get("buy", "Nvar") == "Nvar" else 3)
-            names = names[:2] if any(r["brake"] for r in recs.values()) else names
-        else:
-            pool = up if pick == "random_up" else _uncapped(ranked, recs, held, ctx.groups)
-            n = sc.get("n", 5) if buys_made is None else buys_made[str(d)]
-            names = _greedy(_order(sc["seed"], sc["sim"], str(d), pool), ctx.groups, n) if n else []
-        for k in [k for k in sold_now if k in px]:
-            dollars = shares.pop(k) * px[k]
-            basis.pop(k)
-            sold += dollars
-            proceeds += dollars * (1 - sc.get("cost", COST))
-        budget, names = CONTRIB + cash + proceeds, [k for k in names if px.get(k, 0) > 0]
-        for k in names:
-            part = budget / len(names)
-            shares[k] = shares.get(k, 0.0) + part * (1 - sc.get("cost", COST)) / px[k]
-            basis[k] = basis.get(k, 0.0) + part
-        cash = 0.0 if names else budget
-        prev_px = {**prev_px, **px}
-        value = sum(s * prev_px.get(k, 0.0) for k, s in shares.items()) + cash
-        spent = budget if names else 0.0
-        out.append({
-            "scenario": sc["scenario"], "d": d, "exec": exec_, "contribution": CONTRIB, "value": value, "cash": cash, "n_buys": len(names), "n_sells": len(sold_now),
-            "turnover": (sold + spent) / value if value else 0.0, "eligible": len(elig), "unscored": unscored,
-        })
+    keys = [hashlib.md5(f"{seed}:{sim}:{month}:{k}".encode()).digest() for k in names]
+    return sorted(range(len(names)), key=lambda i: (keys[i], names[i]))
+
+
+def first_by_group(mask: np.ndarray, order: np.ndarray, groups: np.ndarray, limit: np.ndarray, per_group: int = 3) -> np.ndarray:
+    """Of each row's marked columns, walked in the row's order, the first `limit` with at most per_group of a group."""
+    rows = np.arange(len(mask))[:, None]
+    m, g = mask[rows, order], groups[order]
+    ids, n = np.unique(groups, return_counts=True)
+    for i in ids[n > per_group]:
+        mine = m & (g == i)
+        m &= ~(mine & (np.cumsum(mine, axis=1) > per_group))
+    m &= np.cumsum(m, axis=1) <= limit[:, None]
+    out = np.zeros_like(mask)
+    out[rows, order] = m
     return out
 
 
-def _uncapped(names: list[str], recs: dict, held: dict[str, float], groups: dict[str, str]) -> list[str]:
-    port = sum(held.values())
-    if port < 25_000:
+class Book:
+    """The ledgers of scenarios of one weighting side by side: rows are scenarios, columns tickers; months come in turn."""
+
+    def __init__(self, scenarios: list[dict], buys_made: dict[str, dict[str, int]] | None = None, min_scored: int = MIN_SCORED, cost: float = COST) -> None:
+        self.sc, self.made, self.min_scored, self.cost = scenarios, buys_made or {}, min_scored, cost
+        field = lambda f: np.array([s[f] for s in scenarios], object)
+        self.pick, chosen = field("pick"), np.array([s["sell"] or "S1" for s in scenarios], object)
+        if wrong := set(self.pick) - set(PICKS):
+            raise ValueError(f"unknown picks {sorted(wrong)}")
+        self.rule = np.where(self.pick == "ew_all", "S1", np.where(np.isin(self.pick, ("rank", "random", "random_all")), chosen, "S2"))
+        self.open_gate, self.three = (field("gate") == "G0") | (self.pick == "random_all"), field("buy") == "N3"
+        self.names: list[str] = []
+        self.column: dict[str, int] = {}
+        self.group: dict[str, str] = {}
+        self.shares = self.basis = np.zeros((len(scenarios), 0))
+        self.last, self.cash = np.zeros(0), np.zeros(len(scenarios))
+
+    def _columns(self, tickers: list[str], groups: list[str | None]) -> np.ndarray:
+        """Places of the month's tickers; new ones get columns at the end. An empty group is the ticker's own."""
+        new = [t for t in tickers if t not in self.column]
+        self.column.update((t, len(self.names) + k) for k, t in enumerate(new))
+        self.names += new
+        self.group.update((t, f"g:{g}" if g else f"t:{t}") for t, g in zip(tickers, groups, strict=True))
+        self.shares, self.basis = (np.pad(x, ((0, 0), (0, len(new)))) for x in (self.shares, self.basis))
+        self.last = np.pad(self.last, (0, len(new)), constant_values=np.nan)
+        return np.array([self.column[t] for t in tickers], np.int64)
+
+    def _sells(self, m: dict, mark: np.ndarray, unscored: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(sold, which of RULES) of all holdings: the stop looks at every one, the other rules at this month's names."""
+        held = self.shares > 0
+        rule = np.where((self.rule == "S3") & unscored, "S2", self.rule)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            stop = held & (mark <= STOP * self.basis / self.shares)
+        below = np.broadcast_to(~np.isnan(m["sma200"]) & ~m["above200"] & m["below_prev"] & m["here"], held.shape).copy()
+        for pick, (level, under, before) in LINES.items():
+            below[self.pick == pick] = ~np.isnan(m[level]) & m[under] & m[before]
+        below &= held & (self.pick != "b0h")[:, None]
+        late = held & (m["composite"] < HOLD) & (rule == "S3")[:, None]
+        return (stop | below | late) & (rule != "S1")[:, None], np.where(stop, 0, np.where(below, 1, 2))
+
+    def _capped(self, held: np.ndarray, groups: np.ndarray, spec: np.ndarray) -> np.ndarray:
+        """Names that get no new money, once a portfolio is worth 25,000."""
+        port = held.sum(axis=1, keepdims=True)
+        in_group = (held @ (groups[:, None] == np.arange(groups.max(initial=0) + 1)))[:, groups]
+        hit = (held >= CAP_POSITION * port) | (in_group >= CAP_GROUP * port) | (spec & ((held >= CAP_SPEC * port) | ((held @ spec)[:, None] >= CAP_SPEC_TOTAL * port)))
+        return hit & (port >= CAPS_FROM)
+
+    def _buys(self, d, m: dict, held: np.ndarray, sold: np.ndarray, groups: np.ndarray, unscored: bool) -> np.ndarray:
+        pick, names = self.pick, np.zeros(held.shape, bool)
+        elig, comp, trend = m["eligible"], m["composite"], m["trend"]
+        scored = elig & ~np.isnan(comp)
+        whole = (pick == "ew_all") | unscored
+        names[whole] = elig & ~sold[whole]
+        names[(pick == "ew_trend") & ~whole] = elig & trend
+        spin = np.isin(pick, ("ew_trend10", "b0h", "v1", "v2", "v3")) & ~whole
+        if spin.any():
+            gates = {"v1": m["v1_up"], "v2": m["v2_up"], "v3": m["v3_in"]}
+            mask = np.array([scored & gates.get(p, trend) for p in pick[spin]])
+            order = np.argsort(np.array(self.names, object), kind="stable")
+            order = order[np.argsort(-np.nan_to_num(comp[order], nan=-1.0), kind="stable")]
+            order = order[np.argsort(held[spin][:, order], axis=1, kind="stable")]
+            names[spin] = first_by_group(mask, order, groups, np.full(len(mask), ROTATE))
+        free = scored & (trend | self.open_gate[:, None]) & ~self._capped(held, groups, m["speculative"])
+        ranked = (pick == "rank") & ~whole
+        if ranked.any():
+            mask = free[ranked] & ((comp >= BUY) | self.three[ranked][:, None])
+            limit = np.where(self.three[ranked], 3, MAX_NAMES)
+            order = np.argsort(np.nan_to_num(m["ord"], nan=np.inf), kind="stable")
+            names[ranked] = first_by_group(mask, np.broadcast_to(order, mask.shape), groups, np.minimum(limit, BRAKED) if m["brake"].any() else limit)
+        for i in np.flatnonzero(np.isin(pick, ("random", "random_all", "random_up")) & ~whole).tolist():
+            s = self.sc[i]
+            n = self.made[s["pick"]].get(str(d), 0) if s["pick"] in self.made else s["n"]
+            pool = np.flatnonzero(scored & trend if s["pick"] == "random_up" else free[i])
+            if n and len(pool):
+                order = pool[shuffled(s["seed"], s["sim"], str(d), [self.names[k] for k in pool.tolist()])]
+                some = first_by_group(np.ones((1, len(order)), bool), np.arange(len(order))[None, :], groups[order], np.array([n]))[0]
+                names[i, order[some]] = True
         return names
-    spec = lambda k: bool(recs.get(k, {}).get("speculative"))
-    own = lambda k: groups.get(k) or f"\x00{k}"
-    group: dict[str, float] = {}
-    for k, v in held.items():
-        group[own(k)] = group.get(own(k), 0.0) + v
-    risky = sum(v for k, v in held.items() if spec(k))
-    free = lambda k: held.get(k, 0.0) < 0.10 * port and group.get(own(k), 0.0) < 0.30 * port and not (spec(k) and (held.get(k, 0.0) >= 0.03 * port or risky >= 0.10 * port))
-    return [k for k in names if free(k)]
 
-
-def simulate(scenarios: DataFrame, context: DataFrame, tasks: int | None = None, buys_made: dict[str, dict[str, int]] | None = None) -> DataFrame:
-    """Ledgers of all scenarios: months in sequence, scenarios in parallel.
+    def step(self, d, exec_, month: dict) -> tuple[dict, dict]:
+        """One month: ledger rows of all scenarios, and their trades. month: columns by name, a row a ticker.
+
+        Sells come first and leave the positions; buys follow; both fill at the next day's price. Names sold this month
+        may be bought again except where a pick takes all eligible names. A holding that the month doesn't know keeps
+        its last price, and is sold only by the stop, and only when a price to sell at exists.
+        """
+        c = self._columns(month["ticker"], month["grp"])
+        m = {}
+        for name in (*NUMBERS, *FLAGS):
+            m[name] = np.full(len(self.names), np.nan) if name in NUMBERS else np.zeros(len(self.names), bool)
+            m[name][c] = month[name]
+        m["here"] = np.zeros(len(self.names), bool)
+        m["here"][c] = True
+        codes: dict[str, int] = {}
+        groups = np.array([codes.setdefault(self.group[t], len(codes)) for t in self.names], np.int64)
+        px = m["px"]
+        mark = np.where(np.isnan(m["mark"]), np.where(np.isnan(px), self.last, px), m["mark"])
+        n_elig = int(m["eligible"].sum())
+        unscored = n_elig < self.min_scored
+        sold, why = self._sells(m, mark, unscored)
+        held = np.where(sold, 0.0, self.shares * np.nan_to_num(mark))
+        names = self._buys(d, m, held, sold, groups, unscored) & (px > 0)
+        out = sold & ~np.isnan(px)
+        worth = np.where(out, self.shares * np.nan_to_num(px), 0.0)
+        budget, n = CONTRIB + self.cash + worth.sum(axis=1) * (1 - self.cost), names.sum(axis=1)
+        dollars = np.where(names, (budget / np.maximum(n, 1))[:, None], 0.0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.shares = np.where(out, 0.0, self.shares) + np.where(names, dollars * (1 - self.cost) / px, 0.0)
+        self.basis, self.cash = np.where(out, 0.0, self.basis) + dollars, np.where(n > 0, 0.0, budget)
+        self.last = np.where(np.isnan(px), self.last, px)
+        value = (self.shares * np.nan_to_num(self.last)).sum(axis=1) + self.cash
+        moved = worth.sum(axis=1) + dollars.sum(axis=1)
+        label = np.array([s["scenario"] for s in self.sc], object)
+        ledger = {
+            "scenario": label, "d": d, "exec": exec_, "contribution": CONTRIB, "value": value, "cash": self.cash, "n_buys": n, "n_sells": sold.sum(axis=1),
+            "turnover": np.divide(moved, value, out=np.zeros(len(value)), where=value != 0), "eligible": n_elig, "unscored": unscored}
+        (i, k), (j, b) = np.nonzero(out), np.nonzero(names)
+        col = np.concatenate([k, b])
+        trades = {
+            "scenario": label[np.concatenate([i, j])], "d": d, "exec": exec_, "ticker": np.array(self.names, object)[col], "side": ["sell"] * len(i) + ["buy"] * len(j),
+            "dollars": np.concatenate([worth[i, k], dollars[j, b]]), "price": px[col], "rule": [*np.array(RULES, object)[why[i, k]], *self.pick[j]]}
+        return ledger, trades
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows that agree in the first `keys` columns, whatever batches they come in."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = list(zip(*(b.column(k).to_pylist() for k in range(keys)), strict=True))
+        cuts = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
+        for a, e in zip(cuts, cuts[1:], strict=False):
+            if held and rows[a] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = rows[a]
+            held.append(b.slice(a, e - a))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def simulate(scenarios: DataFrame, context: DataFrame, tasks: int | None = None, buys_made: dict[str, dict[str, int]] | None = None, trades: bool = False) -> DataFrame:
+    """Ledgers of all scenarios, or their trades: months in sequence, scenarios in parallel.
 
     scenarios: (scenario, pick, sell, gate, buy, seed, sim, n). context: one row a month and ticker, with ord, px (the
-    fill), mark, composite and flags; a few hundred months of some hundred names, which every task gets whole. With a
-    column weights in both, the context holds such rows for each weights and a scenario reads those of its own. Its size
-    is checked: beyond two million rows the caller must cut the universe. Results don't depend on the number of tasks.
-    buys_made: for a random pick, the names to draw in each month; without it n of the scenario in all months.
+    fill), mark, composite and flags. With a column weights in both, a scenario reads the context's rows of its own.
+    Scenarios are dealt into `tasks` parts; each part gets the context's rows in order of time through the shuffle and
+    holds one month of them, so neither the driver nor a task holds the context, however long or wide it is. Results
+    don't depend on the number of tasks. buys_made: for a random pick, the names to draw in each month (none in months
+    that it lacks); without it n of the scenario in all months. Null flags are false; a pick of another name fails.
     """
     spark = scenarios.sparkSession
-    n = context.count()
-    if n > 2_000_000:
-        raise ValueError(f"a context of {n} rows is too large to share")
-    shared = spark.sparkContext.broadcast(context.toPandas())
+    parts = tasks or spark.sparkContext.defaultParallelism
     keyed = "weights" in context.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = shared.value.replace({np.nan: None}).astype(object).where(shared.value.notna(), None)
-        ctx = {k: Months(g) for k, g in rows.groupby("weights")} if keyed else {None: Months(rows)}
-        for b in batches:
-            rows = [x for sc in b.to_dict("records") for x in run_scenario(ctx[sc["weights"] if keyed else None], sc, (buys_made or {}).get(sc["pick"]))]
-            if rows:
-                yield pd.DataFrame(rows)
-
-    return scenarios.repartition(tasks or spark.sparkContext.defaultParallelism, "scenario").mapInPandas(run, LEDGER)
+    weight = lambda d: F.coalesce(F.col("weights"), F.lit("")) if keyed else F.lit("")
+    kinds = dict(scenarios.dtypes)
+    own = [F.col(c).cast("int" if c in ("seed", "sim", "n") else "string").alias(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in SCENARIO if c != "weights"]
+    sc = scenarios.select(F.pmod(F.xxhash64("scenario"), F.lit(parts)).cast("int").alias("part"), F.lit(None).cast("date").alias("d"), weight(scenarios).alias("weights"), *own)
+    rows = context.select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "d", weight(context).alias("weights"), "exec", "ticker", "grp",
+        *[F.col(c).cast("double").alias(c) for c in NUMBERS], *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in FLAGS]).filter("d is not null")
+    both = sc.unionByName(rows, allowMissingColumns=True).select("part", "d", "weights", "exec", "ticker", "grp", *[c for c in SCENARIO if c != "weights"], *NUMBERS, *FLAGS)
+    schema = TRADES if trades else LEDGER
+    types = {"string": pa.string(), "date": pa.date32(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [tuple(x.split()) for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, books = None, {}
+        for (at, d, w), t in _runs(batches, 3):
+            if at != part:
+                part, books = at, {}
+            if d is None:
+                books[w] = Book(t.select(["scenario", "pick", "sell", "gate", "buy", "seed", "sim", "n"]).to_pylist(), buys_made)
+            elif w in books:
+                m = {c: t.column(c).to_pylist() for c in ("ticker", "grp")}
+                m |= {c: t.column(c).to_numpy().astype(float) for c in NUMBERS} | {c: t.column(c).to_numpy().astype(bool) for c in FLAGS}
+                got = books[w].step(d, t.column("exec")[0].as_py(), m)[trades]
+                size = len(got["scenario"])
+                if size:
+                    cols = [pa.array([v] * size if np.isscalar(v) or not hasattr(v, "__len__") else list(v), types[k]) for v, k in ((got[name], kind) for name, kind in fields)]
+                    yield pa.RecordBatch.from_arrays(cols, names=[name for name, _ in fields])
+
+    # Scenarios have no day and come first; a part's months follow in order.
+    placed = both.repartitionByRange(parts, "part").sortWithinPartitions("part", F.col("d").asc_nulls_first(), "weights", "ticker")
+    return placed.mapInArrow(run, schema)
