@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
+import pickle
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, tune
+from .common import forget, map_texts, table, tune, written
 
 WINDOW, COVERAGE = 13, 20  # words of a window; contaminated if at least one word in COVERAGE is hit
-#: Words of benchmark text that one automaton holds; a larger benchmark is split over several, each of which is streamed.
-MAX_WORDS = 2_000_000
+#: Words of benchmark text that one automaton holds (some 600 bytes each in a worker); a larger benchmark is split over several.
+MAX_WORDS = 250_000
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # as words_of finds them, before lower-casing
 # Bytes that end a word; all others, with A-Z lower-cased, belong to words.
 BREAKS = bytes(0x20 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
@@ -134,15 +137,89 @@ class ItemAutomaton:
         return spans, items
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
-    """The benchmark in parts whose words are bounded, by a hash of the item."""
-    b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    size = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-size // (2 * MAX_WORDS)))  # a word and its blank have two bytes at least
-    return [b] if n == 1 else [b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
+class Automata:
+    """The automata of a benchmark's shards. Tasks build them and write them to the shared folder; the driver holds the
+    packed bytes of one shard at a time, and workers unpack what they need, whatever the benchmark's size."""
 
+    PIECE = 16 << 20
 
-SCHEMA = "id string, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", split=words_of, max_words: int | None = None) -> None:
+        b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t <> ''").distinct()
+        size = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        self.count = max(1, -(-size // (2 * (max_words or MAX_WORDS))))  # a word and its blank have two bytes at least
+        piece = self.PIECE
+
+        def build(key: tuple, rows: pa.Table) -> pa.Table:
+            data = pickle.dumps(ItemAutomaton(zip(rows.column("i").to_pylist(), map(split, rows.column("t").to_pylist()), strict=True), window), 5)
+            parts = [data[k : k + piece] for k in range(0, len(data), piece)]
+            return pa.table({"shard": pa.array([key[0].as_py()] * len(parts), pa.int32()), "at": pa.array(range(len(parts)), pa.int32()), "data": pa.array(parts, pa.binary())})
+
+        parts = b.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(self.count)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, at int, data binary")
+        self.files, self.window = written(parts, "automata"), window
+
+    def shard(self, k: int) -> "Shared":
+        rows = self.files.filter(F.col("shard") == k).orderBy("at").collect()
+        data = b"".join(r["data"] for r in rows) or pickle.dumps(ItemAutomaton((), self.window), 5)
+        return Shared(self.files.sparkSession.sparkContext.broadcast(data))
+
+
+_UNPACKED: dict[str, ItemAutomaton] = {}
+
+
+class Shared:
+    """A broadcast automaton; a worker unpacks it once and keeps the one it used last."""
+
+    def __init__(self, broadcast) -> None:
+        self.broadcast, self.key = broadcast, uuid.uuid4().hex
+
+    @property
+    def automaton(self) -> ItemAutomaton:
+        if self.key not in _UNPACKED:
+            _UNPACKED.clear()
+            _UNPACKED[self.key] = pickle.loads(self.broadcast.value)
+        return _UNPACKED[self.key]
+
+
+def text_key(text_col: str) -> F.Column:
+    """Digest of a text, null as empty: rows of one text have the same hits."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+
+
+MERGED = "array<struct<s:int,e:int>>"
+
+
+def merged(spans: F.Column) -> F.Column:
+    """Runs [s, e) in any order as sorted runs without overlap."""
+    last = lambda a: F.element_at(a, -1)
+    grow = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["s"].alias("s"), F.greatest(last(a)["e"], x["e"]).alias("e"))))
+    add = lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["e"] >= x["s"]), grow(a, x)).otherwise(F.concat(a, F.array(x)))
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), F.array().cast(MERGED), add)).otherwise(spans)
+
+
+def text_hits(docs: DataFrame, automata: Automata, text_col: str = "text") -> DataFrame:
+    """(h, spans, items) of each text with a hit: shards stream past the documents one after the other, each pass is
+    written, and its automaton is released before the next one's."""
+    passes = []
+    for k in range(automata.count):
+        shared = automata.shard(k)
+
+        def scan(keys: list, texts: list, shared=shared) -> dict:
+            a, out = shared.automaton, {"h": [], "spans": [], "items": []}
+            for h, t in zip(keys, texts, strict=True):
+                spans, items = a.scan(words_of(t))
+                if spans:
+                    out["h"].append(h)
+                    out["spans"].append([{"s": s, "e": e} for s, e in spans])
+                    out["items"].append(sorted(i for i in items if i is not None))
+            return _typed(out)
+
+        keyed = docs.select(text_key(text_col).alias("__h"), F.col(text_col))
+        passes.append(written(map_texts(keyed, scan, f"h string, spans {MERGED}, items array<string>", "__h", text_col).dropDuplicates(["h"]), "hits"))
+        shared.broadcast.destroy()
+    every = reduce(DataFrame.unionByName, passes).groupBy("h").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = written(every.withColumn("spans", merged(F.col("spans"))), "text-hits")
+    forget(docs.sparkSession, automata.files, *passes)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -151,44 +228,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     A window is `window` consecutive words of an item, or a whole shorter item; a word inside any occurrence of a
     window is hit. Null and empty texts have no words and no hits; null, empty and repeated items add nothing;
     items with a null id count by their words and are not listed. Only the two named columns of docs are read.
+    A benchmark of more than MAX_WORDS words is cut into shards, which stream past the documents one after the other;
+    their hits meet by the text's digest.
     """
     kind = dict(docs.dtypes)[id_col]
-    parts = []
-    shards = _shards(benchmark, item_col, item_text)
-    for shard in shards:
-        automaton = ItemAutomaton(((r["i"], words_of(r["t"])) for r in shard.toLocalIterator()), window)
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        schema = SCHEMA.replace("id string", f"{id_col} {kind}") + (", h string" if len(shards) > 1 else "")
-
-        def scan(ids: list, texts: list, shared=shared, many=len(shards) > 1) -> dict:
-            a, out = shared.value, {id_col: ids, "n_words": [], "spans": [], "items": []}
-            for x in texts:
-                w = words_of(x)
-                spans, items = a.scan(w)
-                out["n_words"].append(len(w))
-                out["spans"].append([{"s": s, "e": e} for s, e in spans])
-                out["items"].append(sorted(i for i in items if i is not None))
-            if many:
-                out["h"] = [hashlib.sha256((x or "").encode()).hexdigest() for x in texts]
-            return _typed(out, id_col, kind)
-
-        parts.append(map_texts(docs, scan, schema, id_col, text_col))
-    if len(parts) == 1:
-        return parts[0]
-    # Rows of one id and text have the same spans, so the parts of all automata meet by id and digest.
-    every = reduce(DataFrame.unionByName, parts).withColumn("part", F.lit(1))
-    g = every.groupBy(id_col, "h").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("part").alias("n"))
-    merged = F.aggregate(F.array_sort("spans"), F.array().cast("array<struct<s:int,e:int>>"), lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["e"] >= x["s"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(a, F.array(x))))
-    merged = F.when(F.size("spans") > 0, merged).otherwise(F.col("spans"))
-    copies = F.explode(F.array_repeat(F.lit(0), (F.col("n") / len(parts)).cast("int")))
-    return g.withColumn("spans", merged).withColumn("__copy", copies).select(id_col, "n_words", "spans", "items")
-
-
-def _typed(columns: dict, id_col: str, kind: str) -> dict:
-    import pyarrow as pa
-
+    automata = Automata(benchmark, window, item_col, item_text)
+    if automata.count > 1:
+        d = docs.select(F.col(id_col), text_key(text_col).alias("h"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+        d = d.join(text_hits(docs, automata, text_col), "h", "left")
+        return d.select(id_col, "n_words", F.coalesce("spans", F.array().cast(MERGED)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    shared = automata.shard(0)
+
+    def scan(ids: list, texts: list) -> dict:
+        a, out = shared.automaton, {id_col: ids, "n_words": [], "spans": [], "items": []}
+        for x in texts:
+            w = words_of(x)
+            spans, items = a.scan(w)
+            out["n_words"].append(len(w))
+            out["spans"].append([{"s": s, "e": e} for s, e in spans])
+            out["items"].append(sorted(i for i in items if i is not None))
+        return _typed(out, id_col, kind)
+
+    forget(docs.sparkSession, automata.files)
+    return map_texts(docs, scan, f"{id_col} {kind}, n_words long, spans {MERGED}, items array<string>", id_col, text_col)
+
+
+def _typed(columns: dict, id_col: str = "", kind: str = "") -> dict:
     spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-    types = {"n_words": pa.int64(), "spans": spans, "items": pa.list_(pa.string()), id_col: {"bigint": pa.int64(), "int": pa.int32()}.get(kind)}
+    types = {"h": pa.string(), "n_words": pa.int64(), "spans": spans, "items": pa.list_(pa.string()), id_col: {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)}
     return {k: pa.array(v, types.get(k)) for k, v in columns.items()}
 
 
@@ -208,31 +275,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     fate only through their texts. An empty benchmark keeps all; empty docs give an empty table.
     In `cut`, what remains of a text are its bytes outside the hit words, the breaks beside them included.
     """
-    import pyarrow as pa
-
-    shards = _shards(benchmark, item_col, item_text)
-    automata = [ItemAutomaton(((r["i"], words_of(r["t"])) for r in s.toLocalIterator()), window) for s in shards]
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata]
-    at = docs.columns.index(text_col)
-
-    def judge(text: str | None) -> tuple[bool, list[tuple[int, int]]]:
-        w = words_of(text)
-        hit: set[int] = set()
-        for a in shared:
-            for s, e in a.value.scan(w)[0]:
-                hit.update(range(s, e))
-        return bool(hit) and len(hit) * coverage >= len(w), hit
+    automata = Automata(benchmark, window, item_col, item_text)
+    many, at, spark = automata.count > 1, docs.columns.index(text_col), docs.sparkSession
+    if many:
+        hits = text_hits(docs, automata, text_col).select(F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+        rows = docs.select("*", text_key(text_col).alias("__h")).join(hits, "__h", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    else:
+        rows, shared = docs, automata.shard(0)
+        forget(spark, automata.files)
 
     def run(batches):
         for b in batches:
-            judged = [judge(t) for t in b.column(at).to_pylist()]
+            texts = b.column(at).to_pylist()
+            found = [[(x["s"], x["e"]) for x in r or ()] for r in b.column(b.num_columns - 1).to_pylist()] if many else [shared.automaton.scan(words_of(t))[0] for t in texts]
+            n_hit = [sum(e - s for s, e in r) for r in found]
+            bad = [n > 0 and n * coverage >= len(words_of(t)) for t, n in zip(texts, n_hit, strict=True)]
+            b = b.select(range(len(docs_schema)))
             if mode == "drop":
-                yield b.filter(pa.array([not bad for bad, _ in judged], pa.bool_()))
+                yield b.filter(pa.array([not x for x in bad], pa.bool_()))
             else:
-                texts = [cut(t, hit) if bad else t for t, (bad, hit) in zip(b.column(at).to_pylist(), judged, strict=True)]
-                yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                left = [cut(t, {k for s, e in r for k in range(s, e)}) if x else t for t, r, x in zip(texts, found, bad, strict=True)]
+                yield b.set_column(at, b.schema.field(at), pa.array(left, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    docs_schema = docs.columns
+    return rows.mapInArrow(run, docs.schema)
 
 
 def cut(text: str, hit: set[int]) -> str:

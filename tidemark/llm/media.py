@@ -6,12 +6,14 @@ import hashlib
 import math
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, tune
+from .common import table, tune
 
 UNIT, WIDTH, FILL = 576, 24, 255  # payloads are multiples of UNIT = 24 x 24 samples; rows have WIDTH
 SIDE, LOW = 32, 8  # the hash: SIDE x SIDE means, LOW x LOW lowest frequencies
@@ -91,6 +93,8 @@ def decode_png(data: bytes) -> np.ndarray:
             raise BadImage("checksum")
         at += 12 + n
         if kind == b"IHDR":
+            if n != 13:
+                raise BadImage("header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             parts.append(body)
@@ -101,7 +105,10 @@ def decode_png(data: bytes) -> np.ndarray:
     if not head or head[2:] != (8, 0, 0, 0, 0):
         raise BadImage("kind of image")
     width, height = head[:2]
-    lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
+    if not width or not height:
+        raise BadImage("no samples")
+    # One byte more than fits is enough to see that there is too much.
+    lines = np.frombuffer(zlib.decompressobj().decompress(b"".join(parts), height * (width + 1) + 1), np.uint8)
     if lines.size != height * (width + 1):
         raise BadImage("size")
     return unfilter(lines.reshape(height, width + 1))
@@ -135,56 +142,54 @@ def cosine_hash(rows: np.ndarray) -> str:
 def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes and media: the text's UTF-8 bytes, filled with 255 to a positive multiple of 576, as PNG.
 
-    Null texts count as empty; equal texts give equal media. Rows stay one to one, repeated rows and null ids included.
+    Null texts count as empty; equal texts give equal media. Rows stay one to one, repeated rows and null ids included;
+    ids may be of any type. Other columns aren't read, and an empty table gives an empty one.
     """
     kind = dict(docs.dtypes)[id_col]
 
-    def run(ids: list, texts: list) -> dict:
-        return {id_col: _ids(ids, kind), "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "media": [encode_png(payload_of(t)) for t in texts]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([encode_png(payload_of(t)) for t in texts], pa.binary())], [id_col, "n_bytes", "media"])
 
-    return map_texts(docs, run, f"{id_col} {kind}, n_bytes long, media binary", id_col, text_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Reads media back: payload length, digests and the cosine hash; a damaged or null image has nulls and its error."""
-    import pyarrow as pa
+FEATURES = (("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string()), ("error", "string", pa.string()))
 
-    kind = dict(media.dtypes)[id_col]
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
-    schema = f"{id_col} {kind}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
-    def one(m: bytes | None) -> tuple:
-        if m is None:
-            return (None,) * 6 + ("null",)
-        stored = (len(m), hashlib.sha256(m).hexdigest())
-        try:
-            rows = decode_png(m)
-        except (BadImage, zlib.error, struct.error) as e:
-            return (None, None, None, *stored, None, str(e))
-        p = rows.tobytes()
-        return (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), *stored, cosine_hash(rows), None)
+def image_features(m: bytes | None) -> tuple:
+    """FEATURES of one stored image; a damaged one, one without samples and null have nulls and an error."""
+    if m is None:
+        return (None,) * 6 + ("null",)
+    stored = (len(m), hashlib.sha256(m).hexdigest())
+    try:
+        rows = decode_png(m)
+    except (BadImage, zlib.error, struct.error) as e:
+        return (None, None, None, *stored, None, str(e))
+    p = rows.tobytes()
+    return (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), *stored, cosine_hash(rows), None)
 
-    def run(ids: list, blobs: list) -> dict:
-        cols = list(zip(*map(one, blobs), strict=True))
-        return {id_col: _ids(ids, kind)} | {n: pa.array(list(c), t) for n, c, t in zip(names, cols, types, strict=True)}
 
-    return map_texts(media, run, schema, id_col, media_col)
+def media_features(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Reads media back: the columns `keep`, of any types, and FEATURES: payload length, digests, cosine hash and error.
 
+    Rows stay one to one; a damaged or null image, and one of no samples, has nulls and its error.
+    """
+    kinds = dict(media.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{n} {k}" for n, k, _ in FEATURES])
 
-def _ids(ids: list, kind: str):
-    import pyarrow as pa
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [image_features(m) for m in b.column(b.num_columns - 1).to_pylist()]
+            found = [pa.array([r[k] for r in rows], t) for k, (_, _, t) in enumerate(FEATURES)]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + found, [*keep, *(n for n, _, _ in FEATURES)])
 
-    return pa.array(ids, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind))
+    return media.select(*[F.col(f"`{c}`") for c in keep], F.col(media_col)).mapInArrow(run, schema)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as PNG, read back: the image and its features are made in one pass over the texts."""
     tune(spark)
-    stored = texts_to_media(table(spark, sf_dir, "documents"))
-    # The length travels in the id, so that features come from the stored bytes without a join.
-    key = stored.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "n_bytes").alias("key"), "media")
-    f = media_features(key, "key")
-    part = F.split("key", ":")
-    doc = F.when(part[0] != "", part[0].cast("long"))
-    return f.select(doc.alias("doc_id"), part[1].cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media_features(texts_to_media(table(spark, sf_dir, "documents")), keep=("doc_id", "n_bytes")).drop("error")

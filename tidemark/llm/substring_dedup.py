@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, tune, written
-from .decontaminate import ItemAutomaton
+from .common import forget, table, tune, written
+from .decontaminate import Automata
 from .near_duplicates import _HASHES, VOCABULARY
 
 WINDOW, GRAM = 35, 5
@@ -176,25 +176,30 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 def reference_matches(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", ref_text: str = "text", shard_words: int = 1_000_000) -> DataFrame:
     """id_col, shard and spans (word runs [s, e)) of docs that a reference table has, by suffix automata of its shards.
 
-    The reference is cut by hash into shards of about shard_words words; each shard's automaton is broadcast and all
-    documents stream past it, so that a position's matching length of at least `window` words marks a span. One row a
-    row of docs and shard. Use it where the reference is bounded. Nulls on either side have no words.
+    The reference is cut by hash into shards of about shard_words words, whose automata tasks build; each is broadcast
+    and all documents stream past it, so that a position's matching length of at least `window` words marks a span. One
+    row a row of docs and shard, repeated rows included. Use it where the reference is bounded. Nulls on either side have
+    no words, repeated reference rows count once, and an empty reference gives empty spans. Of several shards each pass
+    is written before the next one's automaton is loaded.
     """
-    r = reference.select(F.col(ref_text).alias("t"))
-    size = r.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n, kind, out = max(1, -(-size // (2 * shard_words))), dict(docs.dtypes)[id_col], None
-    for k in range(n):
-        part = r.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
-        # Only whole windows count: items shorter than one can't match.
-        items = ((i, w) for i, x in enumerate(part.toLocalIterator()) if len(w := words_of(x["t"])) >= window)
-        shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(items, window))
-
-        def run(ids: list, texts: list, shared=shared, k=k) -> dict:
-            spans = [[{"s": s, "e": e} for s, e in shared.value.scan(words_of(t))[0]] for t in texts]
-            return {id_col: ids, "shard": pa.array([k] * len(ids), pa.int32()), "spans": pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))}
-
-        one = map_texts(docs, run, f"{id_col} {kind}, shard int, spans array<struct<s:int,e:int>>", id_col, text_col)
+    r = reference.select(F.lit(None).cast("string").alias("i"), F.col(ref_text).alias("t"))
+    # Only whole windows count: items shorter than one can't match.
+    automata = Automata(r, window, "i", "t", split=lambda t: w if len(w := words_of(t)) >= window else [], max_words=shard_words)
+    kind, out = dict(docs.dtypes)[id_col], None
+    for k in range(automata.count):
+        shared = automata.shard(k)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                spans = [[{"s": s, "e": e} for s, e in shared.automaton.scan(words_of(t))[0]] for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k] * b.num_rows, pa.int32()), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], [id_col, "shard", "spans"])
+
+        one = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, shard int, spans array<struct<s:int,e:int>>")
+        if automata.count > 1:
+            one = written(one, "matches")
+            shared.broadcast.destroy()
         out = one if out is None else out.unionByName(one)
+    forget(docs.sparkSession, automata.files)
     return out
 
 

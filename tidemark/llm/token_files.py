@@ -358,7 +358,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
     dtype, size, kind = probe.dtype, max(probe.tokenizer.get_vocab_size(), END_ID + 1), dict(docs.dtypes)[id_col]
     raw = work or scratch(spark, "token-ids")
     encoded = _encoded(docs, tokenizer, size, id_col, text_col)
-    encoded.write.option("compression", "snappy").parquet(raw)
+    encoded.write.option("compression", "zstd").parquet(raw)
     encoded = spark.read.schema(encoded.schema).parquet(raw)
     ranges = RangeTable(_counts(encoded), size)
     table_ = [(i, int(ranges.freq[i])) for i in np.flatnonzero(ranges.freq).tolist()]
