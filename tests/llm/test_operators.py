@@ -116,7 +116,11 @@ def test_shards_follow_the_mixture(spark):
 # ---- 3 ----
 
 
-def contaminated(text, items):
+def hit_positions(text, items):
+    return contaminated(text, items, True)
+
+
+def contaminated(text, items, places=False):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     hit, found = set(), set()
     for k, t in items:
@@ -127,7 +131,7 @@ def contaminated(text, items):
                 if w[i : i + m] == v[a : a + m]:
                     hit.update(range(i, i + m))
                     found.add(str(k))
-    return len(w), len(hit), sorted(found)
+    return hit if places else (len(w), len(hit), sorted(found))
 
 
 def test_contamination_equals_brute_force(spark, monkeypatch):
@@ -138,11 +142,18 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     for words in (decontaminate.MAX_WORDS, 60):  # one automaton, and several
         monkeypatch.setattr(decontaminate, "MAX_WORDS", words)
+        assert (decontaminate.Automata(b).count > 1) == (words == 60)
         got = {r["doc_id"]: (r["n_words"], sum(s["e"] - s["s"] for s in r["spans"]), sorted(r["items"])) for r in decontaminate.contamination(docs(spark, texts), b).collect()}
         assert got == {i: contaminated(t, items) for i, t in enumerate(texts)}
-    kept = decontaminate.decontaminate(docs(spark, texts, extra=1), b)
     want = [i for i, t in enumerate(texts) if not ((c := contaminated(t, items))[1] and 20 * c[1] >= c[0])]
-    assert sorted(r["doc_id"] for r in kept.collect()) == want and "extra" in kept.columns
+    for words in (decontaminate.MAX_WORDS, 250_000):
+        monkeypatch.setattr(decontaminate, "MAX_WORDS", words)
+        kept = decontaminate.decontaminate(docs(spark, texts, extra=1), b)
+        assert sorted(r["doc_id"] for r in kept.collect()) == want and "extra" in kept.columns
+        left = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs(spark, texts), b, mode="cut").collect()}
+        assert len(left) == len(texts) and all(left[i] == texts[i] for i in want)
+        for i in set(range(len(texts))) - set(want):
+            assert decontaminate.words_of(left[i]) == [w for k, w in enumerate(decontaminate.words_of(texts[i])) if k not in hit_positions(texts[i], items)]
     assert decontaminate.decontaminate(docs(spark, texts), b.limit(0)).count() == len(texts)
     assert decontaminate.cut("One, two three!", {1}) == "One,  three!"
 
@@ -287,6 +298,30 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert kept == {r["group_id"] for r in got.values()}
 
 
+def test_a_chain_of_copies_is_compared_by_buckets(spark, monkeypatch):
+    """Each text shares most words with the next one only: one component, whose buckets hold few pairs."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 10)
+    monkeypatch.setattr(near_duplicates, "HOT", 5)
+    rng = random.Random(3)
+    base = [f"c{rng.randint(0, 10**6)}" for _ in range(400)]
+    texts = [" ".join(base[4 * k : 4 * k + 120]) for k in range(70)] + [" ".join(base[:120])] * 3 + [" ".join(base[:119] + [f"e{k}"]) for k in range(30)]
+    links = brute_links(texts)
+    ids = defaultdict(list)
+    for i, t in enumerate(texts):
+        ids[t].append(i)
+    got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(docs(spark, texts)).collect()}
+    want = {i: len(links[t]) for i, t in enumerate(texts)}
+    assert {i: r["n_links"] for i, r in got.items()} == want and len({r["group_id"] for r in got.values()}) == 1 and max(want.values()) > 30
+
+
+def test_groups_without_ids(spark):
+    say = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3
+    d = spark.createDataFrame([(None, say), (7, say + "end"), (None, say + "fin"), (3, "else")], "doc_id long, text string")
+    got = {(r["doc_id"], r["class_id"]): (r["group_id"], r["n_links"]) for r in near_duplicates.near_duplicates(d).collect()}
+    assert got == {(None, None): (7, 2), (7, 7): (7, 2), (3, 3): (3, 0)}
+    assert sorted(str(r["doc_id"]) for r in near_duplicates.keep_one(d).collect()) == ["3", "7"]
+
+
 def test_bands_reach_the_recall():
     b, r = near_duplicates.choose_bands()
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= near_duplicates.HASHES
@@ -379,6 +414,24 @@ def test_png(spark):
             media.decode_png(data[:i] + bytes([data[i] ^ 1]) + data[i + 1 :])
     d = media.media_features(spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data[:-5])), (3, None)], "doc_id long, media binary"))
     assert [r["error"] is None for r in d.orderBy("doc_id").collect()] == [True, False, False]
+    none = [media.SIGNATURE + media._chunk(b"IHDR", media.struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(b"")) + media._chunk(b"IEND", b"") for w, h in ((0, 5), (5, 0), (0, 0))]
+    bomb = media.SIGNATURE + media._chunk(b"IHDR", media.struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(bytes(1 << 20))) + media._chunk(b"IEND", b"")
+    d = media.media_features(spark.createDataFrame([(str(k), bytearray(x)) for k, x in enumerate([*none, bomb])], "name string, media binary"), keep=("name",))
+    assert [(r["name"], r["error"], r["feature"]) for r in d.orderBy("name").collect()] == [("0", "no samples", None), ("1", "no samples", None), ("2", "no samples", None), ("3", "size", None)]
+
+
+def test_cosine_hash_equals_a_plain_transform():
+    """Bit k: the k-th of 8 x 8 cosine terms of a 32 x 32 grid of means is above the median of all but the first."""
+    rng = np.random.default_rng(7)
+    for h, w in ((24, 24), (1, 24), (200, 24), (33, 5), (32, 32), (64, 96)):
+        img = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        cut = lambda n, i: min(i * n // 32, n - 1)
+        span = lambda n, i: range(cut(n, i), max(cut(n, i) + 1, cut(n, i + 1) if i < 31 else n))
+        grid = [[sum(int(img[y, x]) for y in span(h, i) for x in span(w, j)) / (len(span(h, i)) * len(span(w, j))) for j in range(32)] for i in range(32)]
+        cos = [[np.cos(np.pi * k * (2 * i + 1) / 64) for i in range(32)] for k in range(8)]
+        terms = [round(sum(grid[i][j] * cos[u][i] * cos[v][j] for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+        bits = "".join("1" if t > np.median(terms[1:]) else "0" for t in terms)
+        assert media.cosine_hash(img) == f"{int(bits, 2):016x}"
 
 
 def test_media_query_columns(spark, tmp_path):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tune, written
+from .common import forget, table, tune, written
 
 WORDS, SIMILARITY = 5, 0.8
 RECALL, HASHES = 0.999, 128
@@ -84,24 +84,51 @@ class MinHash:
         return key.view(np.int64).tolist()
 
 
+HOT, SALTS = 1000, 32  # rows of a key from which a lookup splits it, and into how many parts
+
+
+def salt(*cols: str) -> F.Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
+
+
+def salted(d: DataFrame) -> DataFrame:
+    """Each row of d once for every salt."""
+    return d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(v, root) for every vertex of edges (a, b): root is the least vertex of its component.
 
     Rounds of least neighbour's label and of the label's label; labels are written to the shared folder each round,
     so that the plan stays short and lost executors cost one round's tasks. Rounds grow with the log of the diameter.
+    A vertex of many edges and a label of many vertices are looked up in parts: edges of one with over a thousand are
+    dealt by salt and its label is copied to all salts; labels that change, few after the first round, are as well.
     """
+    spark = edges.sparkSession
     e = edges.filter("a <> b").select("a", "b")
     both = written(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    hubs = written(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("b"), f"{name}-hubs")
+    dealt = both.withColumn("salt", salt("a")).join(salted(hubs.withColumn("hub", F.lit(True))), ["b", "salt"], "left")
+    dealt = written(dealt.select("a", "b", F.when(F.col("hub"), F.col("salt")).otherwise(0).alias("salt")), f"{name}-dealt")
+    # Neighbours of the least label: every vertex has one edge at least.
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")), f"{name}-0")
+    forget(spark, both)
     step = 0
     while True:
         step += 1
-        near = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        sent = labels.select(F.col("v").alias("b"), "root").join(hubs.withColumn("hub", F.lit(True)), "b", "left")
+        sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hub"), SALTS - 1).otherwise(0)))).drop("hub")
+        near = dealt.join(sent, ["b", "salt"]).groupBy("a").agg(F.min("root").alias("m"))
         new = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        up = labels.select(F.col("v").alias("root"), F.col("root").alias("top"))
-        new = written(new.join(up, "root").select("v", "old", F.least("root", "top").alias("root")), f"{name}-{step}")
+        up = labels.filter("v <> root").select(F.col("v").alias("root"), F.col("root").alias("top"))
+        up = new.select("root").distinct().join(up, "root")
+        new = new.withColumn("salt", salt("v")).join(salted(up), ["root", "salt"], "left").select("v", "old", F.least("root", "top").alias("root"))
+        before, new = labels, written(new, f"{name}-{step}")
+        forget(spark, before)
         labels = new.select("v", "root")
+        labels.folder = new.folder
         if new.filter("old <> root").limit(1).count() == 0:
+            forget(spark, hubs, dealt)
             return labels
 
 
@@ -120,8 +147,9 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, node string, bands array<bigint>")
 
 
-def compare(nodes: list[str], texts: list[str], side: list[int], left: int, right: int, words: int, similarity: float) -> tuple[list[str], list[int], list[str]]:
-    """Of the texts of two blocks (or of one, if left is right): nodes with links, how many, and the least node of their local component."""
+def compare(nodes: list, texts: list[str], side: list[int], left: int, right: int, words: int, similarity: float, bands: np.ndarray | None = None, band: int = 0) -> tuple[list, list[int], list]:
+    """Of the texts of two blocks (or of one, if left is right): nodes with links, how many, and the least node of their
+    local component. With bands (a row a text) only pairs that meet here for the first time count: `band` is their first common one."""
     sets = [np.unique(shingles(t, words)) for t in texts]
     size = np.array([len(s) for s in sets], np.int64)
     side_ = np.array(side)
@@ -164,6 +192,11 @@ def compare(nodes: list[str], texts: list[str], side: list[int], left: int, righ
         hit = (common > 0) & (common >= similarity * union - 1e-6)
         if left == right:
             np.fill_diagonal(hit, False)
+        if bands is not None:
+            i, j = np.nonzero(hit)
+            same = bands[a[i]] == bands[b[j]]
+            hit[i, j] = bands[a[i], same.argmax(axis=1)] == band
+        if left == right:
             links[a] += hit.sum(1)
         else:
             links[a] += hit.sum(1)
@@ -190,53 +223,80 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     take part in the least ids. Only the two named columns are read. An empty table gives an empty table.
 
     Bands are chosen for a recall of 0.999 a pair at the threshold. Texts that share a band meet as edges to the least
-    text of the bucket, never as pairs; each connected group of candidates is then compared completely on full
-    sets, in pairs of blocks of 400 texts where it is large, and only counts of links and edges of a spanning forest
-    come out. Thus buckets and groups of any size are done whole, spread over tasks, without emitting pairs.
+    text of the bucket, never as pairs. A connected group of candidates is compared completely on full sets, in pairs of
+    blocks of 400 texts where it is large; but where its buckets hold fewer pairs than the group, as in a long chain of
+    candidates, texts are compared within buckets, and a pair counts in its first common one. Only counts of links and
+    edges of a spanning forest come out. Thus buckets and groups of any size are done whole, spread over tasks, without
+    emitting pairs, and a group costs no more than its buckets.
     """
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     d = docs.select(F.col(id_col), F.col(text_col))
     signed = written(_signed(d, id_col, text_col, words, similarity), "signatures")
     key = lambda i, node: F.coalesce(i.cast("string"), F.concat(F.lit("~"), node))
     nodes = written(signed.groupBy("node").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(key(F.col("id"), F.col("node"))).alias("key"), F.first("bands").alias("bands")), "classes")
     members = nodes.select(F.explode("bands").alias("band"), "node")
-    buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    reps = members.join(buckets, "band").groupBy("node").agg(F.array_sort(F.collect_set("a")).alias("reps"))
+    buckets = written(members.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
+    shared = written(members.join(buckets, "band").select("node", "band", "a", "k"), "memberships")
+    reps = shared.groupBy("node").agg(F.array_sort(F.collect_set("a")).alias("reps"))
     # A text is in as many buckets as there are bands; the least texts of these meet at the least of all.
     edges = reps.select(F.element_at("reps", 1).alias("a"), F.explode(F.concat("reps", F.array("node"))).alias("b")).distinct()
     candidates = components(edges, "candidates")
-    blocks = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    placed = candidates.join(blocks, "root").select("root", "n", F.col("v").alias("node"), F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("side")).join(nodes.select("node", "key"), "node")
+    # Groups of more than one block are compared in the cheaper way: all pairs of the group, or those of its buckets.
+    pairs = buckets.join(candidates, F.col("a") == F.col("v")).groupBy("root").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("pairs"))
+    big = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).join(pairs, "root")
+    big = big.select("root", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"), (F.col("pairs") < F.col("m").cast("double") * F.col("m")).alias("by_bucket"))
+    placed = candidates.withColumn("salt", salt("v")).join(salted(big), ["root", "salt"], "left")
+    placed = written(placed.select("root", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("by_bucket", F.lit(False)).alias("by_bucket"), F.col("v").alias("node")), "placed")
+    side = lambda: F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("side")
+    whole = placed.filter("not by_bucket").select("node", F.col("root").alias("g"), F.lit(None).cast("long").alias("band"), "n", side())
+    inside = shared.join(placed.filter("by_bucket").select("node"), "node").withColumn("n", F.ceil(F.col("k") / BLOCK).cast("int"))
+    inside = inside.select("node", F.col("band").cast("string").alias("g"), "band", "n", side())
+    tasks = whole.unionByName(inside).select("node", "g", "band", "side", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    tasks = tasks.groupBy("node").agg(F.collect_list(F.struct("g", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")).alias("tasks"))
+    tasks = tasks.join(nodes.select("node", "key", "class_id", "bands"), "node")
     texts = d.select(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("at"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("key", key(F.col("id"), F.col("at")))
-    dealt = texts.join(placed, "key").filter("at = node").select("root", "node", "text", "side", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    dealt = dealt.select("root", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "text")
+    dealt = texts.join(tasks, "key").filter("at = node").select("node", "class_id", "text", "bands", F.explode("tasks").alias("x"))
+    dealt = dealt.select("x.g", "x.band", "x.i", "x.j", "x.side", vertex("class_id", "node").alias("vertex"), "text", F.when(F.col("x.band").isNotNull(), F.col("bands")).alias("bands"))
+    names, vertex_type = ("none", "id", "node"), f"struct<none:boolean,id:{kind},node:string>"
 
     def run(key_: tuple, rows: pa.Table) -> pa.Table:
-        _, left, right = (x.as_py() for x in key_)
-        seen: dict[str, tuple[str, int]] = {}
-        for node, side, text in zip(rows.column("node").to_pylist(), rows.column("side").to_pylist(), rows.column("text").to_pylist(), strict=True):
-            seen[node] = (text, side)
-        names = sorted(seen)
-        found = compare(names, [seen[n][0] for n in names], [seen[n][1] for n in names], left, right, words, similarity)
-        return pa.table({"node": pa.array(found[0], pa.string()), "links": pa.array(found[1], pa.int64()), "b": pa.array(found[2], pa.string())})
-
-    verified = written(dealt.groupBy("root", "i", "j").applyInArrow(run, "node string, links long, b string"), "verified")
-    links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
-    groups = components(verified.select(F.col("node").alias("a"), "b"), "groups")
-    least = groups.join(nodes.select(F.col("node").alias("v"), "class_id"), "v")
-    heads = least.groupBy("root").agg(F.min(F.struct("class_id", "v")).alias("head"))
-    of = groups.join(heads, "root").select(F.col("v").alias("node"), F.col("head.class_id").alias("group_id"), F.col("head.v").alias("head"))
+        _, band, left, right = (x.as_py() for x in key_)
+        seen: dict[tuple, tuple] = {}
+        for v, at, text, own in zip(*(rows.column(c).to_pylist() for c in ("vertex", "side", "text", "bands")), strict=True):
+            # A missing id sorts behind all others, as in the table.
+            seen[tuple(v[n] if v[n] is not None or n != "id" else "" for n in names)] = (v, text, at, own)
+        order = sorted(seen, key=lambda k: (k[0], k[1] if not k[0] else 0, k[2]))
+        got = [seen[k] for k in order]
+        bands = np.array([r[3] for r in got], np.int64) if band is not None else None
+        found = compare(list(range(len(got))), [r[1] for r in got], [r[2] for r in got], left, right, words, similarity, bands, band or 0)
+        kinds = pa.struct([("none", pa.bool_()), ("id", rows.schema.field("vertex").type.field("id").type), ("node", pa.string())])
+        return pa.table({"a": pa.array([got[i][0] for i in found[0]], kinds), "links": pa.array(found[1], pa.int64()), "b": pa.array([got[i][0] for i in found[2]], kinds)})
+
+    verified = written(dealt.groupBy("g", "band", "i", "j").applyInArrow(run, f"a {vertex_type}, links long, b {vertex_type}"), "verified")
+    links = verified.groupBy(F.col("a.node").alias("node")).agg(F.sum("links").alias("n_links"))
+    # Vertices sort by their least id, so that a component's root is the group's head itself.
+    groups = components(verified.select("a", "b"), "groups")
+    of = groups.select(F.col("v.node").alias("node"), F.col("root.id").alias("group_id"), F.col("root.node").alias("head"))
     info = nodes.drop("bands", "key").join(links, "node", "left").join(of, "node", "left")
     info = info.select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("head", "node").alias("head"))
     # Written, so that the last join stands alone and a class with very many copies may be split.
     info = written(info, "class-info")
+    forget(spark, nodes, buckets, shared, candidates, placed, verified, groups)
     return signed.select(F.col("id").alias(id_col), "node").join(info, "node").select(id_col, "class_id", "class_size", "n_links", "group_id", "node", "head")
 
 
+def vertex(class_id: str, node: str) -> F.Column:
+    """A class as a vertex: ordered by its least id, one without ids last."""
+    return F.struct(F.col(class_id).isNull().alias("none"), F.col(class_id).alias("id"), F.col(node).alias("node"))
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near_duplicates: the one with its least id; all columns stay as they are.
 
-    Among rows of one id and text any one stays. A group without any id keeps one row all the same.
+    Among rows of one id and text any one stays. A group without any id keeps one row all the same. Null, empty and blank
+    texts have no near copies, so each such text keeps one row for all its equals; an empty table stays empty, and
+    columns of any name pass through.
     """
     found = near_duplicates(docs, words, similarity, id_col, text_col)
     heads = found.filter("node = head").groupBy("node").agg(F.min("class_id").alias("__id")).select(F.col("node").alias("__node"), "__id")
