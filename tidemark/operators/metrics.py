@@ -34,8 +34,8 @@ def ledger_xirr(ledger: DataFrame, by: list[str], date: str = "exec") -> DataFra
 
 
 def twr(ledger: DataFrame, by: list[str], date: str = "exec") -> DataFrame:
-    """Adds r = (value - contribution) / previous value - 1; null in a ledger's first month."""
-    return ledger.withColumn("r", (F.col("value") - F.col("contribution")) / F.lag("value").over(Window.partitionBy(*by).orderBy(date)) - 1)
+    """Adds r = (value - contribution) / previous value - 1; null in a ledger's first month and after a value of zero."""
+    return ledger.withColumn("r", F.try_divide(F.col("value") - F.col("contribution"), F.lag("value").over(Window.partitionBy(*by).orderBy(date))) - 1)
 
 
 def yearly(returns: DataFrame, by: list[str], date: str = "exec") -> DataFrame:

@@ -18,6 +18,7 @@ from tidemark.operators import pit as PIT
 from tidemark.operators import score as SC
 from tidemark.operators import select as SE
 from tidemark.operators import textops as T
+from tidemark.plans import ledger_sql as LS
 from tidemark.sources import stores as ST
 from tidemark.sources import views as V
 
@@ -978,11 +979,14 @@ def context(spark, sf) -> DataFrame:
         "weights", "ticker", "grp", "d", "exec", "ord", "eligible", "trend", "composite", "above200", "sma200", "below_prev", "speculative", "brake", "px", "mark", "v1_level", "v1_up", "v1_below", "v1_below_prev", "v2_level", "v2_up", "v2_below", "v2_below_prev", "v3_in").persist()
 
 
-def grid_scenarios(spark) -> DataFrame:
+def grid_rows() -> list[tuple]:
     """Thirty-six configurations of sells, gates, buys and weights, and the equal-weight and rotation references."""
     rows = [(f"{w}-{g}-{s}-{b}", "rank", w, s, g, b, 0, 0, 0) for w in SC.WEIGHTS for g in ("G0", "G1") for s in ("S1", "S2", "S3") for b in ("Nvar", "N3")]
-    rows += [(p, p, "W2", "S2", "G1", "B0R", 0, 0, 0) for p in ("ew_all", "ew_trend", "ew_trend10", "b0h", "v1", "v2", "v3")]
-    return spark.createDataFrame(rows, "scenario string, pick string, weights string, sell string, gate string, buy string, seed int, sim int, n int")
+    return rows + [(p, p, "W2", "S2", "G1", "B0R", 0, 0, 0) for p in ("ew_all", "ew_trend", "ew_trend10", "b0h", "v1", "v2", "v3")]
+
+
+def grid_scenarios(spark) -> DataFrame:
+    return spark.createDataFrame(grid_rows(), "scenario string, pick string, weights string, sell string, gate string, buy string, seed int, sim int, n int")
 
 
 #: Random portfolios of a pool, in each query that compares with them.
@@ -1012,7 +1016,24 @@ def _summary(led: DataFrame) -> DataFrame:
     return M.ledger_xirr(led, ["scenario"]).join(M.growth(r, ["scenario"]), "scenario", "left").join(M.drawdown(r, ["scenario"]), "scenario", "left")
 
 
-@query()
+CONTEXT_SQL = (*FULL, V.TRAITS, REGIME, LS.context_sql(pct_sql))
+GRID_SQL = f"gsc AS {LS.values([r[:8] for r in grid_rows()])}"
+POOLS = {"random_up": ("S2", 11), "random": ("S3", 11), "random_all": ("S3", 13)}
+
+
+def draws_sql(pools: tuple[str, ...]) -> str:
+    """rsc: the random scenarios of some pools; made: what the scenario that each is compared with bought, from the ledgers of stg."""
+    each = " UNION ALL ".join(f"SELECT '{p}-' || i AS scenario, '{p}' AS pick, 'W2' AS weights, '{POOLS[p][0]}' AS sell, 'G1' AS gate, 'B0R' AS buy, {POOLS[p][1]} AS seed, i AS sim FROM range({DRAWS}) t(i)" for p in pools)
+    made = " UNION ALL ".join(f"SELECT '{p}' AS pick, k, n_buys AS n FROM stg_led WHERE scenario = '{COMPARED[p]}'" for p in pools)
+    return f"rsc AS ({each}), made AS ({made})"
+
+
+def chain_r(*parts: str) -> str:
+    return chain(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(chain_r(*CONTEXT_SQL, GRID_SQL, LS.fold_sql("stg", "gsc"), LS.returns_sql("stg_led")) + """SELECT xr.scenario, round(xirr, 6) AS xirr, n, round(cagr, 6) AS cagr, round(vol, 6) AS vol, round(sharpe, 6) AS sharpe, round(max_dd, 6) AS max_dd
+FROM xr LEFT JOIN gw USING (scenario) LEFT JOIN dd USING (scenario)""")
 def rule_simulation(spark, sf):
     return r6(_summary(L.simulate(grid_scenarios(spark), context(spark, sf))))
 
@@ -1024,14 +1045,16 @@ def simulation_equals_closed_form(spark, sf):
     return L.simulate(one, context(spark, sf)).select("exec", F.round("value", 4).alias("value"))
 
 
-@query()
+@query(chain_r(*CONTEXT_SQL, GRID_SQL, LS.fold_sql("stg", "gsc"), draws_sql(tuple(POOLS)), LS.fold_sql("str", "rsc", "made"), LS.returns_sql("str_led")) + "SELECT xr.scenario, round(xirr, 6) AS xirr, round(max_dd, 6) AS max_dd FROM xr LEFT JOIN dd USING (scenario)")
 def random_portfolios(spark, sf):
     ctx = context(spark, sf)
     draws = random_scenarios(spark, DRAWS).unionByName(random_scenarios(spark, DRAWS, pick="random")).unionByName(random_scenarios(spark, DRAWS, 13, "random_all"))
     return r6(_summary(L.simulate(draws, ctx, buys_made=_buys_made(spark, ctx))).select("scenario", "xirr", "max_dd"))
 
 
-@query()
+@query(chain_r(*CONTEXT_SQL, GRID_SQL, LS.fold_sql("stg", "gsc"), draws_sql(("random_up",)), LS.fold_sql("str", "rsc", "made"), "all_led AS (SELECT * FROM stg_led UNION ALL SELECT * FROM str_led)", LS.returns_sql("all_led")) + """
+, g AS (SELECT max(xirr) FILTER (scenario = 'ew_trend10') AS b0r, max(xirr) FILTER (scenario = 'ew_all') AS ew, max(xirr) FILTER (scenario = 'b0h') AS b0h, quantile_cont(xirr, 0.6) FILTER (scenario LIKE 'random_up%') AS p60 FROM xr)
+SELECT b0r >= ew AS beats_ew, b0r >= p60 AS ge_p60_random, b0r >= b0h AS beats_hold, b0r >= ew AND b0r >= p60 AND b0r >= b0h AS ship FROM g""")
 def gates(spark, sf):
     ctx = context(spark, sf)
     led = L.simulate(grid_scenarios(spark).unionByName(random_scenarios(spark, DRAWS)), ctx, buys_made=_buys_made(spark, ctx))
