@@ -54,6 +54,38 @@ def test_duration_classes_and_staleness(spark):
     assert [str(r["asof"]) for r in PIT.fresh(PIT.instant(k)).collect()] == ["2024-05-14"]
 
 
+def test_fundamentals_of_filed_facts(spark):
+    """Expected values of the behaviour to match: ratios, gross from cost, shares of the cover before the balance sheet's."""
+    year = lambda v, c, y=2023: (f"{y}-01-01", f"{y}-12-31", v, f"{y + 1}-02-15", c)
+    at = lambda v, c, day="2023-12-31": (None, day, v, "2024-02-15", c)
+    full = [year(800, "Revenues", 2022), year(1000, "Revenues"), year(600, "GrossProfit"), at(2000, "Assets"), year(150, "NetIncomeLoss"), at(50, "EntityCommonStockSharesOutstanding", "2024-02-01"), at(42, "CommonStockSharesOutstanding")]
+    g = PIT.fundamentals(known(spark, full, "2024-03-01")).first()
+    assert (g["revenue_ttm"], g["revenue_ttm_prev"], g["gross_profit_ttm"], g["assets"], g["gp_assets"], g["net_income_ttm"], g["shares"], str(g["fund_end"])) == (1000, 800, 600, 2000, 0.3, 150, 50, "2023-12-31")
+    assert g["revenue_growth"] == pytest.approx(0.25)
+    g = PIT.fundamentals(known(spark, [year(1000, "Revenues"), year(700, "CostOfRevenue"), at(42, "CommonStockSharesOutstanding")], "2024-03-01")).first()
+    assert (g["gross_profit_ttm"], g["shares"], g["assets"], g["gp_assets"], g["revenue_growth"], g["net_income_ttm"]) == (300, 42, None, None, None, None)
+    assert PIT.fundamentals(known(spark, [year(500, "SalesRevenueNet", 2016), (None, "2016-12-31", 900, "2017-02-15", "Assets")], "2024-03-01")).count() == 0
+    ff = PIT.fund_factors(PIT.fundamentals(known(spark, full, "2024-03-01")).withColumn("close", F.lit(10.0))).first()
+    assert ff["earnings_yield"] == pytest.approx(0.3) and not ff["speculative"] and not ff["fund_missing"]
+
+
+def test_a_preferred_concept_filed_later_hides_nothing_before(spark):
+    items = [("2017-01-01", "2017-12-31", 100, "2018-02-15", "SalesRevenueNet"), ("2017-01-01", "2017-12-31", 101, "2019-02-15", "Revenues"), ("2018-01-01", "2018-12-31", 130, "2019-02-15", "Revenues"), ("2017-01-01", "2017-12-31", 99, "2020-02-15", "SalesRevenueNet")]
+    t = {str(r["asof"]): r["val"] for r in PIT.ttm(known(spark, items, "2018-06-01", "2019-06-01")).collect()}
+    assert t == {"2018-06-01": 100.0, "2019-06-01": 130.0}
+    k = known(spark, items, "2020-06-01").filter("`end` = '2017-12-31'").collect()
+    assert [(r["val"], str(r["filed"])) for r in k] == [(101.0, "2019-02-15")]
+
+
+def test_known_by_entity_equals_known_by_calendar(spark):
+    f = spark.createDataFrame([(e, "Revenues", day("2023-01-01"), day("2023-12-31"), float(e), day(x), "10-K", k) for e in (1, 2) for k, x in enumerate(("2024-02-01", "2024-05-01"))], "entity int, concept string, start date, end date, val double, filed date, form string, k int")
+    days = spark.createDataFrame([(day(x),) for x in ("2024-02-01", "2024-03-01", "2024-06-01")], "asof date")
+    own = days.crossJoin(spark.createDataFrame([(1,), (2,)], "entity int"))
+    c = PIT.concept_rows(spark)
+    one, two = (sorted(map(str, PIT.known(f, a, c).select("entity", "asof", "filed", "val").collect())) for a in (days, own))
+    assert one == two and len(one) == 4
+
+
 def test_revisions(spark):
     d = spark.createDataFrame([([(3.0, 1.0), (2.0, 0.0)], [(3, 1), (None, 2)])], "t array<struct<current:double,d90:double>>, r array<struct<up30:int,down30:int>>")
     r = d.select(*PIT.revisions(F.col("t"), F.col("r"))).first()

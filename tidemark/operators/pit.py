@@ -10,7 +10,15 @@ from tidemark.functions.scalars import flag, ratio
 # Days of each class of period, age at which a value is stale, and the concepts of each metric in order.
 CLASSES = {"quarter": (80, 100), "half": (170, 200), "nine": (260, 290), "annual": (350, 380)}
 MAX_AGE = 500
-CONCEPTS = {"revenue": ("Revenues", "SalesRevenueNet"), "cost": ("CostOfRevenue",), "assets": ("Assets",)}
+CONCEPTS = {
+    "revenue": ("RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "SalesRevenueNet", "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueGoodsNet"),
+    "cost": ("CostOfRevenue", "CostOfGoodsAndServicesSold", "CostOfGoodsSold", "CostOfGoodsAndServiceExcludingDepreciationDepletionAndAmortization"),
+    "gross": ("GrossProfit",),
+    "net_income": ("NetIncomeLoss", "ProfitLoss"),
+    "assets": ("Assets",),
+    "shares": ("EntityCommonStockSharesOutstanding",),
+    "shares_filed": ("CommonStockSharesOutstanding",),
+}
 
 
 def concept_rows(spark, concepts: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -37,65 +45,116 @@ def duration_class(start: Column, end: Column) -> Column:
     return out
 
 
+ITEM = ("entity", "metric", "start", "end")
+KEY = ("entity", "metric", "asof")
+
+
+def versions(facts: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Each item's best version with the days from which it is known (filed, exclusive) and until which it is the best.
+
+    Best: concept rank, then latest filed, then first seen. A version holds until a better one is filed; an amendment of
+    a worse concept never becomes one. One exchange by item, with the day's own best taken before it.
+    """
+    f = facts.join(F.broadcast(concepts), "concept")  # a few dozen concepts, fixed in code
+    day = f.groupBy(*ITEM, "filed").agg(F.min(F.struct("rank", "k", "val")).alias("x"))
+    w = Window.partitionBy(*ITEM).orderBy("filed")
+    own = F.struct(F.col("x.rank").alias("rank"), (-F.unix_date("filed")).alias("age"), F.col("x.k").alias("k"), F.col("x.val").alias("val"))
+    d = day.withColumn("own", own).withColumn("best", F.min("own").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("filed").over(w))
+    return d.select(*ITEM, "best.val", F.date_from_unix_date(-F.col("best.age")).alias("filed"), F.col("best.rank").alias("rank"), F.col("best.k").alias("k"), F.col("filed").alias("since"), "until")
+
+
 def known(facts: DataFrame, asofs: DataFrame, concepts: DataFrame) -> DataFrame:
     """Per (entity, metric, asof, start, end) the item known before asof: best concept, then latest filed, then first seen.
 
-    asofs: (asof), or (entity, asof). The inequality stays a residual of an equi-join where entities are given.
+    asofs: (asof), a calendar of some hundred days that every version looks up by itself, or (entity, asof), which meet in
+    an equi-join on the entity. Either way an item and a day give one row: versions are cut into spans of days before.
     """
-    f = facts.join(F.broadcast(concepts), "concept")  # a few dozen concepts, fixed in code
-    cond = F.col("filed") < F.col("asof")
+    v = versions(facts, concepts)
+    here = (F.col("asof") > F.col("since")) & (F.col("until").isNull() | (F.col("asof") <= F.col("until")))
     if "entity" in asofs.columns:
-        a = asofs.withColumnRenamed("entity", "__e")
-        rows = f.join(a, (F.col("entity") == F.col("__e")) & cond).drop("__e")
+        rows = v.join(asofs.distinct(), "entity").filter(here)
     else:
-        rows = f.join(asofs, cond)
-    w = Window.partitionBy("entity", "metric", "asof", "start", "end").orderBy("rank", F.col("filed").desc(), "k")
-    return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r").withColumn("cls", duration_class(F.col("start"), F.col("end")))
+        days = asofs.agg(F.array_sort(F.collect_set("asof")).alias("days")).scalar()
+        fits = lambda d: (d > F.col("since")) & (F.col("until").isNull() | (d <= F.col("until")))
+        rows = v.withColumn("days", days).withColumn("asof", F.explode(F.filter("days", fits)))
+    return rows.drop("since", "until", "days").withColumn("cls", duration_class(F.col("start"), F.col("end")))
 
 
-KEY = ("entity", "metric", "asof")
+def _items() -> Column:
+    """An item as it sorts: by end, of equal ends the longest first, and then last in descending order."""
+    return F.struct("end", (-F.unix_date(F.coalesce("start", F.lit("1970-01-01").cast("date")))).alias("late"), "start", "val", "cls")
 
 
-def ttm(known_: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """(entity, metric, asof, val, end): latest year plus year-to-date minus the prior year's, else the latest year.
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: what stands outside of a function of array elements would be done for each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    before: (entity, metric, asof, bound) leaves only items that end by the bound.
-    """
-    k = known_ if before is None else known_.join(before, list(KEY)).filter(F.col("end") <= F.col("bound")).drop("bound")
-    first = lambda d, *order: d.withColumn("__r", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))).filter("__r = 1").drop("__r")
-    fy = first(k.filter("cls = 'annual'"), F.col("end").desc(), F.col("start").asc()).select(*KEY, F.col("val").alias("fy_val"), F.col("end").alias("fy_end"))
-    y = k.filter("cls in ('quarter', 'half', 'nine')").join(fy, list(KEY)).filter("start > date_sub(fy_end, 5) and start <= date_add(fy_end, 5) and `end` > fy_end")
-    y = first(y, F.col("end").desc(), F.col("start").asc()).select(*KEY, F.col("val").alias("y_val"), F.col("start").alias("y_start"), F.col("end").alias("y_end"))
-    far = F.abs(F.datediff("y_end", "end") - 365)
-    p = k.filter("start is not null").join(y, list(KEY)).filter((F.abs(F.datediff("end", "start") - F.datediff("y_end", "y_start")) <= 10) & (far <= 10)).withColumn("far", far)
-    p = first(p, "far", F.col("end").desc(), F.col("start").asc()).select(*KEY, F.col("val").alias("p_val"))
-    out = fy.join(y, list(KEY), "left").join(p, list(KEY), "left")
-    return out.select(*KEY, F.when(F.col("p_val").isNotNull(), F.col("fy_val") + F.col("y_val") - F.col("p_val")).otherwise(F.col("fy_val")).alias("val"), F.when(F.col("p_val").isNotNull(), F.col("y_end")).otherwise(F.col("fy_end")).alias("end"))
+
+def trailing(items: Column, bound: Column | None = None) -> Column:
+    """struct(val, end) of an array of items: latest year plus year-to-date minus the prior year's, else the latest year."""
+    days = lambda i: F.datediff(i["end"], i["start"])
+    near = lambda i, day: (i["start"] > F.date_sub(day, 5)) & (i["start"] <= F.date_add(day, 5)) & (i["end"] > day)
+    far = lambda i, y: F.abs(F.datediff(y["end"], i["end"]) - 365)
+
+    def with_items(its: Column) -> Column:
+        return let(F.array_max(F.filter(its, lambda i: i["cls"] == "annual")), lambda fy: with_year(its, fy))
+
+    def with_year(its: Column, fy: Column) -> Column:
+        return let(F.array_max(F.filter(its, lambda i: i["cls"].isin("quarter", "half", "nine") & near(i, fy["end"]))), lambda y: with_part(its, fy, y))
+
+    def with_part(its: Column, fy: Column, y: Column) -> Column:
+        prior = F.filter(its, lambda i: i["start"].isNotNull() & (F.abs(days(i) - days(y)) <= 10) & (far(i, y) <= 10))
+        # The nearest to a year before; of equally near ones the later, then the longer.
+        best = F.array_max(F.transform(prior, lambda i: F.struct((-far(i, y)).alias("near"), i["end"].alias("end"), i["late"].alias("late"), i["val"].alias("val"))))
+        return let(best, lambda p: picked(fy, y, p))
+
+    def picked(fy: Column, y: Column, p: Column) -> Column:
+        year = F.struct(fy["val"].alias("val"), fy["end"].alias("end"))
+        return F.when(fy.isNull(), None).when(p.isNull(), year).otherwise(F.struct((fy["val"] + y["val"] - p["val"]).alias("val"), y["end"].alias("end")))
+
+    return let(items if bound is None else F.filter(items, lambda i: i["end"] <= bound), with_items)
+
+
+def ttm(known_: DataFrame) -> DataFrame:
+    """(entity, metric, asof, val, end) of trailing years. One exchange: the items of a key, as many as a company has
+    periods, are picked from in one expression."""
+    d = known_.groupBy(*KEY).agg(F.collect_list(_items()).alias("items")).withColumn("t", trailing(F.col("items")))
+    return d.filter("t is not null").select(*KEY, "t.val", "t.end")
 
 
 def instant(known_: DataFrame) -> DataFrame:
-    """(entity, metric, asof, val, end) of the latest item without a start."""
-    return known_.filter("start is null").groupBy(*KEY).agg(F.max_by("val", "end").alias("val"), F.max("end").alias("end"))
+    """(entity, metric, asof, val, end) of the latest item without a start, of which an end has one."""
+    return known_.filter("start is null").groupBy(*KEY).agg(F.max(F.struct("end", "val")).alias("x")).select(*KEY, "x.val", "x.end")
 
 
 def fresh(d: DataFrame, age: int = MAX_AGE) -> DataFrame:
     return d.filter(F.datediff("asof", "end") <= age)
 
 
-def fundamentals(known_: DataFrame) -> DataFrame:
-    """(entity, asof, revenue_ttm, revenue_ttm_prev, revenue_growth, gross_profit_ttm, assets, gp_assets, fund_end) as known at each day."""
-    key = ["entity", "asof"]
-    of = lambda d, m, *cols: d.filter(F.col("metric") == m).select(*key, *cols)
-    every = ttm(known_)
-    rev = of(fresh(every), "revenue", F.col("val").alias("revenue_ttm"), F.col("end").alias("fund_end"))
-    bound = rev.select(*key, F.lit("revenue").alias("metric"), F.date_sub("fund_end", 330).alias("bound"))
-    prev = of(ttm(known_, bound), "revenue", F.col("val").alias("revenue_ttm_prev"))
-    cost = of(every, "cost", F.col("val").alias("cost"), F.col("end").alias("cost_end"))
-    assets = of(fresh(instant(known_)), "assets", F.col("val").alias("assets"))
-    d = rev.join(prev, key, "left").join(cost, key, "left").join(assets, key, "full")
-    gross = F.when(F.col("cost_end") == F.col("fund_end"), F.col("revenue_ttm") - F.col("cost"))
-    growth = F.when(F.col("revenue_ttm_prev") > 0, ratio(F.col("revenue_ttm"), F.col("revenue_ttm_prev")) - 1)
-    return d.withColumn("revenue_growth", growth).withColumn("gross_profit_ttm", gross).withColumn("gp_assets", F.when(F.col("assets") != 0, ratio(F.col("gross_profit_ttm"), F.col("assets")))).drop("cost", "cost_end")
+FUNDAMENTALS = ("revenue_ttm", "revenue_ttm_prev", "revenue_growth", "gross_profit_ttm", "assets", "gp_assets", "net_income_ttm", "shares", "fund_end")
+
+
+def fundamentals(known_: DataFrame, age: int = MAX_AGE) -> DataFrame:
+    """(entity, asof, *FUNDAMENTALS) as known at each day; days on which nothing is known and fresh have no row.
+
+    Gross profit is the filed one, else revenue less the cost of the same end; shares are the cover's, else the balance
+    sheet's, and dropped if stale after that choice. All items of an entity and day come together once.
+    """
+    of = lambda m: F.collect_list(F.when(F.col("metric") == m, _items())).alias(m)
+    d = known_.filter(F.col("metric").isin(*CONCEPTS)).groupBy("entity", "asof").agg(*[of(m) for m in CONCEPTS])
+    last = lambda m: F.array_max(F.filter(F.col(m), lambda i: i["start"].isNull()))
+    new = lambda c: F.when(F.datediff("asof", c["end"]) <= age, c)
+    pair = lambda c: F.when(c.isNotNull(), F.struct(c["val"].alias("val"), c["end"].alias("end")))
+    d = d.withColumns({"rev": trailing(F.col("revenue")), "c": trailing(F.col("cost")), "g": trailing(F.col("gross")), "ni": trailing(F.col("net_income")), "a": pair(last("assets")), "sh": F.coalesce(pair(last("shares")), pair(last("shares_filed")))})
+    d = d.withColumns({c: new(F.col(c)) for c in ("rev", "g", "ni", "a", "sh")})
+    d = d.withColumn("prev", F.when(F.col("rev").isNotNull(), trailing(F.col("revenue"), F.date_sub("rev.end", 330))))
+    gross = F.coalesce(F.col("g.val"), F.when(F.col("c.end") == F.col("rev.end"), F.col("rev.val") - F.col("c.val")))
+    out = d.select(
+        "entity", "asof", F.col("rev.val").alias("revenue_ttm"), F.col("prev.val").alias("revenue_ttm_prev"), gross.alias("gross_profit_ttm"), F.col("a.val").alias("assets"),
+        F.col("ni.val").alias("net_income_ttm"), F.col("sh.val").alias("shares"), F.col("rev.end").alias("fund_end"))
+    out = out.withColumn("revenue_growth", F.when(F.col("revenue_ttm_prev") > 0, ratio(F.col("revenue_ttm"), F.col("revenue_ttm_prev")) - 1))
+    out = out.withColumn("gp_assets", F.when(F.col("assets") != 0, ratio(F.col("gross_profit_ttm"), F.col("assets"))))
+    return out.filter(F.coalesce(*[F.col(c).cast("string") for c in FUNDAMENTALS]).isNotNull()).select("entity", "asof", *FUNDAMENTALS)
 
 
 def fund_factors(d: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ DAYS: dict[str, tuple[str, ...]] = {
     "exec": ("next_fill_date", "twr_monthly", "simulation_equals_closed_form",),
     "first": ("pruned_history", "key_spans",),
     "last": ("pruned_history", "key_spans",),
-    "asof": ("pit_known_versions", "pit_ttm_revenue", "pit_instant_latest", "pit_growth_and_margin", "member_revenue_floor", "asof_membership",),
+    "asof": ("fund_factors", "pit_known_versions", "pit_ttm_revenue", "pit_instant_latest", "pit_growth_and_margin", "member_revenue_floor", "asof_membership",),
     "start": ("pit_known_versions", "ticker_mapping",),
     "end": ("pit_known_versions", "pit_ttm_revenue", "pit_instant_latest", "ticker_mapping",),
     "filed": ("pit_known_versions", "latest_filing_then_filter", "latest_of_year",),
@@ -404,7 +404,7 @@ def sell_rules(spark, sf):
 # ---- fundamentals ----
 
 ASOFS = "asofs AS (SELECT (make_date(y::BIGINT, m::BIGINT, 1::BIGINT))::DATE AS asof FROM range(1996, 2002) a(y), (VALUES (3), (6), (9), (12)) b(m))"
-CONC = "conc AS (SELECT * FROM (VALUES ('revenue', 'Revenues', 0), ('revenue', 'SalesRevenueNet', 1), ('cost', 'CostOfRevenue', 0), ('assets', 'Assets', 0)) v(metric, concept, rank))"
+CONC = "conc AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{c}', {k})" for m, cs in PIT.CONCEPTS.items() for k, c in enumerate(cs)) + ") v(metric, concept, rank))"
 KNOWN = """kn0 AS (SELECT f.entity, c.metric, a.asof, f.start, f."end" AS e, f.val, f.filed, row_number() OVER (PARTITION BY f.entity, c.metric, a.asof, f.start, f."end" ORDER BY c.rank, f.filed DESC, f.k) AS r
   FROM facts f JOIN conc c USING (concept) JOIN asofs a ON f.filed < a.asof),
 kn AS (SELECT *, CASE WHEN start IS NULL THEN NULL WHEN e - start BETWEEN 80 AND 100 THEN 'quarter' WHEN e - start BETWEEN 170 AND 200 THEN 'half' WHEN e - start BETWEEN 260 AND 290 THEN 'nine' WHEN e - start BETWEEN 350 AND 380 THEN 'annual' END AS cls FROM kn0 WHERE r = 1)"""
@@ -423,7 +423,7 @@ PITS = (V.FACTS, ASOFS, CONC, KNOWN)
 
 def _known(spark, sf):
     asofs = spark.range(1996, 2002).select(F.col("id").cast("int").alias("y")).crossJoin(spark.createDataFrame([(3,), (6,), (9,), (12,)], "m int")).select(F.make_date("y", "m", F.lit(1)).alias("asof"))
-    return PIT.known(V.facts(spark, sf), asofs, PIT.concept_rows(spark)).persist()
+    return PIT.known(V.facts(spark, sf), asofs, PIT.concept_rows(spark))
 
 
 @query(chain(*PITS) + 'SELECT entity, metric, asof, start, e AS "end", round(val, 2) AS val, filed FROM kn')
@@ -450,21 +450,26 @@ FUND = f"""{ttm_sql("ttm", "kn")}, rev AS (SELECT * FROM ttm WHERE metric = 'rev
 kb AS (SELECT kn.* FROM kn JOIN rev r USING (entity, metric, asof) WHERE kn.e <= r.e - 330),
 {ttm_sql("prv", "kb")},
 ast AS (SELECT entity, asof, arg_max(val, e) AS assets FROM kn WHERE start IS NULL AND metric = 'assets' GROUP BY ALL HAVING asof - max(e) <= 500),
-fund AS (SELECT entity, asof, r.val AS revenue_ttm, p.val AS revenue_ttm_prev, r.e AS fund_end, CASE WHEN p.val > 0 THEN r.val / p.val - 1 END AS revenue_growth, CASE WHEN c.e = r.e THEN r.val - c.val END AS gross_profit_ttm, a.assets
-  FROM rev r LEFT JOIN prv p USING (entity, asof) LEFT JOIN (SELECT * FROM ttm WHERE metric = 'cost') c USING (entity, asof) FULL JOIN ast a USING (entity, asof))"""
+shx AS (SELECT entity, asof, metric, arg_max(val, e) AS val, max(e) AS e FROM kn WHERE start IS NULL AND metric IN ('shares', 'shares_filed') GROUP BY ALL),
+shr AS (SELECT entity, asof, val AS shares FROM (SELECT *, row_number() OVER (PARTITION BY entity, asof ORDER BY metric) AS q FROM shx) WHERE q = 1 AND asof - e <= 500),
+one AS (SELECT entity, asof, metric, val, e FROM ttm WHERE metric IN ('gross', 'net_income') AND asof - e <= 500),
+ky AS (SELECT entity, asof FROM rev UNION SELECT entity, asof FROM ast UNION SELECT entity, asof FROM shr UNION SELECT entity, asof FROM one),
+fund AS (SELECT ky.entity, ky.asof, r.val AS revenue_ttm, p.val AS revenue_ttm_prev, r.e AS fund_end, CASE WHEN p.val > 0 THEN r.val / p.val - 1 END AS revenue_growth, coalesce(g.val, CASE WHEN c.e = r.e THEN r.val - c.val END) AS gross_profit_ttm, a.assets, n.val AS net_income_ttm, s.shares
+  FROM ky LEFT JOIN rev r USING (entity, asof) LEFT JOIN prv p USING (entity, asof) LEFT JOIN (SELECT * FROM ttm WHERE metric = 'cost') c USING (entity, asof) LEFT JOIN ast a USING (entity, asof) LEFT JOIN shr s USING (entity, asof)
+  LEFT JOIN (SELECT * FROM one WHERE metric = 'gross') g USING (entity, asof) LEFT JOIN (SELECT * FROM one WHERE metric = 'net_income') n USING (entity, asof))"""
 
 
-@query(chain(*PITS, FUND) + "SELECT entity, asof, round(revenue_ttm, 2) AS revenue_ttm, round(revenue_ttm_prev, 2) AS revenue_ttm_prev, round(revenue_growth, 6) AS revenue_growth, round(gross_profit_ttm, 2) AS gross_profit_ttm, round(assets, 2) AS assets, round(gross_profit_ttm / nullif(assets, 0), 6) AS gp_assets, fund_end FROM fund")
+@query(chain(*PITS, FUND) + "SELECT entity, asof, round(revenue_ttm, 2) AS revenue_ttm, round(revenue_ttm_prev, 2) AS revenue_ttm_prev, round(revenue_growth, 6) AS revenue_growth, round(gross_profit_ttm, 2) AS gross_profit_ttm, round(assets, 2) AS assets, round(gross_profit_ttm / nullif(assets, 0), 6) AS gp_assets, round(net_income_ttm, 2) AS net_income_ttm, shares, fund_end FROM fund")
 def pit_growth_and_margin(spark, sf):
     d = PIT.fundamentals(_known(spark, sf))
-    two = [F.round(c, 2).alias(c) for c in ("revenue_ttm", "revenue_ttm_prev", "gross_profit_ttm", "assets")]
-    return d.select("entity", "asof", *two, F.round(F.col("revenue_growth") + 1e-9, 6).alias("revenue_growth"), F.round(F.col("gp_assets") + 1e-9, 6).alias("gp_assets"), "fund_end")
+    two = [F.round(c, 2).alias(c) for c in ("revenue_ttm", "revenue_ttm_prev", "gross_profit_ttm", "assets", "net_income_ttm")]
+    return d.select("entity", "asof", *two, F.round(F.col("revenue_growth") + 1e-9, 6).alias("revenue_growth"), F.round(F.col("gp_assets") + 1e-9, 6).alias("gp_assets"), "shares", "fund_end")
 
 
-@query(chain(V.PANEL, V.HOLDINGS, V.TRAITS) + """SELECT h.ticker, round(CASE WHEN cost * shares > 0 THEN (rev_chg * 100) / (cost * shares) END, 6) AS earnings_yield, coalesce(rev_chg < 0, false) AS speculative, rev_chg IS NULL AND shares IS NULL AS fund_missing FROM holdings h LEFT JOIN traits t USING (ticker)""")
+@query(chain(*PITS, FUND) + """SELECT entity, asof, round(CASE WHEN shares > 0 THEN net_income_ttm / (shares * (100 + entity)) END, 6) AS earnings_yield, coalesce(net_income_ttm < 0, false) AS speculative, net_income_ttm IS NULL AND shares IS NULL AS fund_missing FROM fund""")
 def fund_factors(spark, sf):
-    h = V.holdings(spark, sf, panel(spark, sf)).join(V.traits(spark, sf).select("ticker", (F.col("rev_chg") * 100).alias("net_income_ttm")), "ticker", "left").withColumnRenamed("cost", "close")
-    return r6(PIT.fund_factors(h).select("ticker", "earnings_yield", "speculative", "fund_missing"))
+    d = PIT.fundamentals(_known(spark, sf)).withColumn("close", (100 + F.col("entity")).cast("double"))
+    return r6(PIT.fund_factors(d).select("entity", "asof", "earnings_yield", "speculative", "fund_missing"))
 
 
 @query(chain(*PITS, ttm_sql("ttm", "kn")) + ", ey AS (SELECT DISTINCT c_nationkey AS entity, year(o_orderdate) + 1 AS year FROM orders JOIN customer ON o_custkey = c_custkey) SELECT entity, asof FROM ttm JOIN ey ON ey.entity = ttm.entity AND ey.year = year(asof) WHERE metric = 'revenue' AND val >= 1000000".replace("SELECT entity, asof FROM", "SELECT ttm.entity, asof FROM"))

@@ -70,12 +70,15 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     filed = spans.select("entity", "end", "x.start", "x.k", F.explode(F.array(F.struct(F.col("x.a").alias("val"), F.lit(45).alias("lag")), F.struct(F.col("x.b").alias("val"), F.lit(120).alias("lag")))).alias("y"))
     rows = filed.select("entity", "start", "end", "k", F.round("y.val", 2).alias("val"), F.date_add("end", F.col("y.lag")).alias("filed"), "y.lag")
     concept = F.when(F.col("entity") % 5 == 0, "SalesRevenueNet").otherwise("Revenues")
-    money = rows.select("entity", F.explode(F.array(F.struct(concept.alias("concept"), F.col("val").alias("v")), F.struct(F.lit("CostOfRevenue").alias("concept"), F.round(F.col("val") * 0.6, 2).alias("v")))).alias("z"), "start", "end", "filed", "lag", "k")
+    money = rows.select("entity", F.explode(F.array(F.struct(concept.alias("concept"), F.col("val").alias("v")), F.struct(F.lit("CostOfRevenue").alias("concept"), F.round(F.col("val") * 0.6, 2).alias("v")),
+        F.struct(F.lit("NetIncomeLoss").alias("concept"), F.round(F.col("val") * F.when(F.col("entity") % 7 == 0, -0.05).otherwise(0.08) + 1e-6, 2).alias("v")), F.struct(F.when(F.col("entity") % 4 == 0, "GrossProfit").alias("concept"), F.round(F.col("val") * 0.45 + 1e-6, 2).alias("v")))).alias("z"), "start", "end", "filed", "lag", "k").filter("z.concept is not null")
     money = money.select("entity", "z.concept", "start", "end", F.col("z.v").alias("val"), "filed", F.when(F.col("lag") == 45, "10-Q").otherwise("10-Q/A").alias("form"), "k")
     balances = c.groupBy(F.col("c_nationkey").alias("entity")).agg(F.round(F.sum("c_acctbal"), 2).alias("val"))
     ends = q.select("entity", "end").distinct()
     assets = ends.join(balances, "entity").select("entity", F.lit("Assets").alias("concept"), F.lit(None).cast("date").alias("start"), "end", F.round(F.abs("val") * (1 + F.quarter("end") * 0.01) + 1e-6, 2).alias("val"), F.date_add("end", 45).alias("filed"), F.lit("10-Q").alias("form"), F.lit(2).alias("k"))
-    return money.unionByName(assets)
+    cover = F.when(F.col("entity") % 3 == 0, "CommonStockSharesOutstanding").otherwise("EntityCommonStockSharesOutstanding")
+    shares = assets.filter("entity % 6 <> 5").withColumn("concept", cover).withColumn("val", (1000 + F.col("entity") * 10 + F.quarter("end")).cast("double"))
+    return money.unionByName(assets).unionByName(shares)
 
 
 FACTS = """fq AS (SELECT c_nationkey AS entity, date_trunc('quarter', o_orderdate)::DATE AS qs, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS v0, sum(o_totalprice) AS v1
@@ -85,6 +88,8 @@ fs AS (SELECT entity, qs AS start, e, v0 AS a, v1 AS b, 0 AS k FROM fc UNION ALL
 ff AS (SELECT entity, start, e, k, round(a, 2) AS val, e + 45 AS filed, '10-Q' AS form FROM fs UNION ALL SELECT entity, start, e, k, round(b, 2), e + 120, '10-Q/A' FROM fs),
 facts AS (SELECT entity, CASE WHEN entity % 5 = 0 THEN 'SalesRevenueNet' ELSE 'Revenues' END AS concept, start, e AS "end", val, filed, form, k FROM ff
   UNION ALL SELECT entity, 'CostOfRevenue', start, e, round(val * 0.6, 2), filed, form, k FROM ff
+  UNION ALL SELECT entity, 'NetIncomeLoss', start, e, round(val * CASE WHEN entity % 7 = 0 THEN -0.05 ELSE 0.08 END + 1e-6, 2), filed, form, k FROM ff UNION ALL SELECT entity, 'GrossProfit', start, e, round(val * 0.45 + 1e-6, 2), filed, form, k FROM ff WHERE entity % 4 = 0
+  UNION ALL SELECT DISTINCT entity, CASE WHEN entity % 3 = 0 THEN 'CommonStockSharesOutstanding' ELSE 'EntityCommonStockSharesOutstanding' END, NULL::DATE, e, (1000 + entity * 10 + quarter(e))::DOUBLE, e + 45, '10-Q', 2 FROM fc WHERE entity % 6 <> 5
   UNION ALL SELECT DISTINCT entity, 'Assets', NULL::DATE, e, round(abs(bal) * (1 + quarter(e) * 0.01) + 1e-6, 2), e + 45, '10-Q', 2 FROM fc JOIN (SELECT c_nationkey AS entity, round(sum(c_acctbal), 2) AS bal FROM customer GROUP BY 1) USING (entity))"""
 
 
