@@ -16,7 +16,7 @@ from .common import forget, table, tune, written
 WORDS, SIMILARITY = 5, 0.8
 RECALL, HASHES = 0.999, 128
 #: Texts of a candidate group that one task compares with as many others: larger groups are dealt out by pairs of blocks.
-BLOCK = 400
+BLOCK = 200
 COLUMNS = 4096  # shingles that are counted at once
 VOCABULARY = 400_000  # words whose hashes a worker remembers
 
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     Bands are chosen for a recall of 0.999 a pair at the threshold. Texts that share a band meet as edges to the least
     text of the bucket, never as pairs. A connected group of candidates is compared completely on full sets, in pairs of
-    blocks of 400 texts where it is large; but where its buckets hold fewer pairs than the group, as in a long chain of
+    blocks of 200 texts where it is large; but where its buckets hold fewer pairs than the group, as in a long chain of
     candidates, texts are compared within buckets, and a pair counts in its first common one. Only counts of links and
     edges of a spanning forest come out. Thus buckets and groups of any size are done whole, spread over tasks, without
     emitting pairs, and a group costs no more than its buckets.
