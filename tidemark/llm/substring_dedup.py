@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ class Windows:
     """Hashes of a document's windows and their anchors: the leftmost least run of five words in each."""
 
     def __init__(self, words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> None:
-        self.window, self.count = window, max(0, len(words) - window + 1)
+        self.words, self.window, self.count = words, window, max(0, len(words) - window + 1)
         if not self.count:
             return
         if len(_HASHES) > VOCABULARY:
@@ -82,8 +83,13 @@ class Windows:
         """Hash of all words that the windows of each anchor cover."""
         return _mixed(self.spans(self.starts, self.lengths + self.window - 1) ^ self.lengths.astype(np.uint64))
 
-    def hashes(self, at: np.ndarray) -> np.ndarray:
-        return _mixed(self.spans(at, self.window))
+    def digests(self, at: np.ndarray) -> np.ndarray:
+        """128 bits of the words of each window that starts at `at`, as two columns: xxh3 of the words with one blank between."""
+        text = memoryview(b" ".join(self.words))
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)
+        starts = np.concatenate([[0], ends])[at].tolist()
+        stops = (ends[at + self.window - 1] - 1).tolist()
+        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:e]) for a, e in zip(starts, stops, strict=True)]), np.int64).reshape(-1, 2)
 
 
 def _batch(names: list[str], cols: list[list[np.ndarray]], kinds: list) -> pa.RecordBatch:
@@ -94,38 +100,55 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+KEY = ("k1", "k2")  # 128 bits of a row's id and text
+HEAVY = 20_000  # at most so many keys can have more than one row in HEAVY
+
+
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(key, s, n, a, p): each run of n windows from s on that share one anchor, the anchor, and the hash of what they cover."""
+    """(k1, k2, s, n, a, p): each run of n windows from s on that share one anchor, the anchor, and the hash of what they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for k1, k2, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 w = Windows(words_of(text), window)
                 if w.count:
-                    for c, x in zip(cols, (np.full(len(w.starts), key, np.int64), w.starts, w.lengths, _signed(w.anchors), _signed(w.contents())), strict=True):
+                    n = len(w.starts)
+                    for c, x in zip(cols, (np.full(n, k1, np.int64), np.full(n, k2, np.int64), w.starts, w.lengths, _signed(w.anchors), _signed(w.contents())), strict=True):
                         c.append(x)
-            yield _batch(["key", "s", "n", "a", "p"], cols, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])
+            yield _batch([*KEY, "s", "n", "a", "p"], cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, s int, n int, a long, p long")
+    return docs.select(*KEY, "text").mapInArrow(run, "k1 long, k2 long, s int, n int, a long, p long")
 
 
 def _window_rows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """(key, s, w): each window of the runs (key, r: array of struct(s, n)) and its hash, once a row of docs."""
+    """(k1, k2, s, w1, w2): each window of the runs (KEY, r: array of struct(s, n)) and its digest, once a row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], []]
-            for key, text, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for k1, k2, text, r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 w = Windows(words_of(text), window)
                 at = np.unique(np.concatenate([np.arange(x["s"], x["s"] + x["n"]) for x in r]))
                 at = at[at < w.count]
                 if len(at):
-                    for c, x in zip(cols, (np.full(len(at), key, np.int64), at, _signed(w.hashes(at))), strict=True):
+                    digest = w.digests(at)
+                    for c, x in zip(cols, (np.full(len(at), k1, np.int64), np.full(len(at), k2, np.int64), at, digest[:, 0], digest[:, 1]), strict=True):
                         c.append(x)
-            yield _batch(["key", "s", "w"], cols, [pa.int64(), pa.int32(), pa.int64()])
+            yield _batch([*KEY, "s", "w1", "w2"], cols, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])
 
-    return docs.join(runs, "key").select("key", "text", "r").mapInArrow(run, "key long, s int, w long")
+    return docs.join(runs, list(KEY)).select(*KEY, "text", "r").mapInArrow(run, "k1 long, k2 long, s int, w1 long, w2 long")
+
+
+def heavy_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """left with right's columns by keys that are unique in right, whose column `count` says how many rows of left they have.
+
+    Keys with more than one row in HEAVY are at most HEAVY, so they are broadcast whatever the size of left, and their
+    rows stay where they are; only the others are shuffled, and no task gets more than its share of them.
+    """
+    bound = max(1000, total // HEAVY)
+    heavy, light = F.broadcast(right.filter(F.col(count) > bound).drop(count)), right.filter(F.col(count) <= bound).drop(count)
+    return left.join(heavy, on).unionByName(left.join(heavy.select(*on), on, "left_anti").join(light, on))
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,18 +159,23 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Windows with equal words have the same anchor, so an anchor that occurs once in the corpus clears all its windows.
     If all occurrences of an anchor cover the same words, all their windows are repeated; the others' windows are
-    counted by a 64-bit hash. Counts are summed before the shuffle and joins may be split, so a passage in any share
-    of the documents gathers nowhere. Rows are told apart by a 64-bit hash of id and text.
+    counted by a 128-bit digest. Counts are summed before the shuffle, and anchors and windows of a large share of all
+    rows are broadcast to these instead of shuffled to one task, so a passage in any share of the documents gathers
+    nowhere. Rows are told apart by 128 bits of id and text. Empty tables give none.
     """
-    d = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spark, key = docs.sparkSession, list(KEY)
+    d = docs.select(F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit("second"), text_col, id_col).alias("k2"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = written(_anchor_rows(d, window), "anchors")
-    twice = rows.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.min("p").alias("p0"), F.max("p").alias("p1")).filter("c > 1").select("a", (F.col("p0") == F.col("p1")).alias("same"))
-    found = written(rows.join(twice, "a").select("key", "s", "n", "same"), "repeated-anchors")
-    runs = found.filter("not same").groupBy("key").agg(F.collect_list(F.struct("s", "n")).alias("r"))
+    twice = rows.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.min("p").alias("p0"), F.max("p").alias("p1")).filter("c > 1")
+    twice = written(twice.select("a", "c", (F.col("p0") == F.col("p1")).alias("same")), "anchors-again")
+    found = written(heavy_join(rows, twice, ["a"], "c", rows.count()).select(*key, "s", "n", "same"), "repeated-anchors")
+    forget(spark, rows, twice)
+    runs = found.filter("not same").groupBy(*key).agg(F.collect_list(F.struct("s", "n")).alias("r"))
     windows = written(_window_rows(d, runs, window), "windows")
-    again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w")
-    hits = windows.join(again, "w").select("key", "s", F.lit(1).alias("n"))
-    spans = written(hits.unionByName(found.filter("same").select("key", "s", "n")).groupBy("key").agg(F.collect_set(F.struct("s", "n")).alias("r")), "repeated-windows")
+    again = written(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "windows-again")
+    hits = heavy_join(windows, again, ["w1", "w2"], "c", windows.count()).select(*key, "s", F.lit(1).alias("n"))
+    spans = written(hits.unionByName(found.filter("same").select(*key, "s", "n")).groupBy(*key).agg(F.collect_set(F.struct("s", "n")).alias("r")), "repeated-windows")
+    forget(spark, found, windows, again)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +197,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             cols = [b.column(0), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    full = d.join(spans, "key", "left").select("id", "text", "r").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    full = d.join(spans, key, "left").select("id", "text", "r").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return full.withColumnRenamed("id", id_col)
 
 
