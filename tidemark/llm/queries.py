@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_media_columns": media.op9_media_columns,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    # Operator 10 on calls and results made of the same table, which has none itself.
+    "chat_tool_calls": chat.chat_tool_calls,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op4_secret_scans": secret_scan.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
+    "chat_tool_calls": chat.CALLS_ORACLE,
 }
