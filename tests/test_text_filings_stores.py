@@ -137,3 +137,54 @@ def test_shadow_stream_is_idempotent(spark, tmp_path):
     log = spark.createDataFrame([("s", "2026-01")], "strategy string, month string")
     plans = spark.createDataFrame([(*r[:6],) for r in rows], "strategy string, month string, fill_date date, sells array<string>, buys array<string>, contrib double")
     assert [r["strategy"] for r in shadow.due(plans, log, "2026-02-03").collect()] == ["t"] and shadow.due(plans, log, "2026-02-02").count() == 0
+
+
+def test_delimited_files_and_schemas(spark, tmp_path):
+    from tidemark.sources import feeds
+
+    path = tmp_path / "in"
+    path.mkdir()
+    (path / "a.csv").write_text("cik,filed,ok\n1,2024-02-03,true\nx,2024-02-03,true\n2,,\n")
+    rows, errors = feeds.read_delimited(spark, f"file://{path}", "cik long, filed date, ok boolean")
+    assert [tuple(r) for r in rows.orderBy("cik").collect()] == [(1, D("2024-02-03"), True), (2, None, None)] and [r["line"] for r in errors.collect()] == ["x,2024-02-03,true"]
+    feeds.write_delimited(rows, f"file://{tmp_path}/out")
+    again, bad = feeds.read_delimited(spark, f"file://{tmp_path}/out", "cik long, filed date, ok boolean")
+    assert again.count() == 2 and bad.count() == 0
+    h = feeds.conform(spark.createDataFrame([("A", 1, "x")], "ticker string, shares int, other string"), "holdings")
+    assert h.dtypes == [("ticker", "string"), ("shares", "double"), ("cost", "double"), ("added", "date")] and tuple(h.first()) == ("A", 1.0, None, None)
+
+
+def test_write_once_vendor_rows_and_symbol_lists(spark, tmp_path):
+    import pytest
+
+    d = spark.createDataFrame([("a.b", "NYSE", "Stock", "USD", "2020-01-01", "2021-01-01"), ("c", "NYSE", "ETF", "USD", "2020-01-01", "2021-01-01"), ("d", "LSE", "Stock", "USD", "2020-01-01", "2021-01-01"), ("e", "NASDAQ", "Stock", "USD", "2020-01-01", "")], "ticker string, exchange string, assetType string, priceCurrency string, startDate string, endDate string")
+    assert [(r["ticker"], r["start"]) for r in ST.vendor_listings(d).collect()] == [("A.B", D("2020-01-01"))]
+    ST.write_once(d, f"file://{tmp_path}/once")
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        ST.write_once(d, f"file://{tmp_path}/once")
+    assert one(spark, S.symbols_list(F.col("t"), ("INC",)), t="abc| brk.a||inc|") == ["ABC", "BRK-A"]
+
+
+def test_plans_wait_for_a_complete_fill_day(spark):
+    cols = "strategy string, month string, fill_date date, sells array<string>, buys array<string>, contrib double"
+    plans = spark.createDataFrame([("a", "2026-01", D("2026-02-02"), [], ["X", "Y"], 1.0), ("b", "2026-01", D("2026-02-02"), ["Z"], ["X"], 1.0), ("c", "2025-12", D("2026-01-02"), [], ["Y"], 1.0), ("d", "2026-01", D("2026-02-02"), [], ["Q"], 1.0)], cols)
+    log = spark.createDataFrame([], "strategy string, month string")
+    closes = spark.createDataFrame([("X", D("2026-02-02")), ("Y", D("2026-01-30")), ("Z", D("2026-02-02"))], "ticker string, d date")
+    got = lambda *c: sorted(r["strategy"] for r in shadow.due(plans, log, "2026-02-03", *c).collect())
+    assert got() == ["a", "b", "c", "d"] and got(closes) == ["b", "c", "d"]  # Y trades, but its last day isn't there yet; Q has no closes at all
+
+
+def test_refresh_writes_new_rows_only(spark, tmp_path):
+    src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    run = lambda: shadow.refresh(spark.readStream.schema("ticker string, n int").parquet(src), out, f"file://{tmp_path}/cp")
+    for k in range(3):
+        spark.createDataFrame([(f"t{k}", k)], "ticker string, n int").write.mode("append").parquet(src)
+        run()
+        run()
+    assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [0, 1, 2]
+
+
+def test_changes_with_new_events(spark):
+    snaps = spark.createDataFrame([("A", D("2026-09-20"), False), ("A", D("2026-09-26"), True), ("B", D("2026-09-26"), True)], "ticker string, date date, trend boolean")
+    events = spark.createDataFrame([("B", D("2026-09-21")), ("B", D("2026-09-22")), ("A", D("2026-09-20")), ("C", D("2026-09-25"))], "ticker string, date date")
+    assert sorted((r["ticker"], r["change"]) for r in ST.changes_with_events(snaps, events).collect()) == [("A", "up"), ("B", "sec")]

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import filing_scan as FS
 from tidemark.operators import live as LV
 from tidemark.operators import panel as P
-from tidemark.operators import pit as PIT
-from tidemark.operators import select as SE
 from tidemark.operators import textops as T
 from tidemark.plans import catalogue as C
-from tidemark.plans.catalogue import BASE, DCA, FILLED, FULL, RANKED, chain, query, r6
+from tidemark.plans.catalogue import BASE, FILLED, FULL, RANKED, chain, query, r6
 from tidemark.sources import stores as ST
 from tidemark.sources import views as V
 
@@ -224,3 +221,86 @@ def evidence_grounding(spark, sf):
     texts = F.array(F.when(k % 2 == 0, "worth 987654321 in all").otherwise("nothing more in 12 months"))
     g = LV.grounding_report(V.table(spark, sf, "customer").select(k.alias("id"), "c_custkey", "c_acctbal"), F.array(point), texts, facts)
     return g.select("id", F.array_join("bad_keys", ";").alias("bad_keys"), F.array_join("ungrounded_numbers", ";").alias("ungrounded"))
+
+
+# ---- feeds ----
+
+
+@query("""WITH m AS (SELECT upper('s' || (c_custkey % 60)) AS ticker, min(c_custkey) AS k FROM customer GROUP BY 1), w AS (SELECT DISTINCT CASE WHEN p_size % 4 = 0 THEN 'S' || p_size || '.B' ELSE 'S' || p_size END AS ticker FROM part)
+SELECT w.ticker, m.k::DOUBLE AS cik FROM w LEFT JOIN m ON m.ticker = w.ticker""")
+def symbol_lookup(spark, sf):
+    from tidemark.sources import feeds
+
+    c = V.table(spark, sf, "customer").select(F.create_map(F.col("c_custkey").cast("string"), F.struct(F.concat(F.lit("s"), (F.col("c_custkey") % 60).cast("string")).alias("ticker"), F.col("c_custkey").cast("string").alias("cik_str"))).alias("companies"))
+    name = F.concat(F.lit("S"), F.col("p_size").cast("string"))
+    want = V.table(spark, sf, "part").select(F.when(F.col("p_size") % 4 == 0, F.concat(name, F.lit(".B"))).otherwise(name).alias("ticker")).distinct()
+    return feeds.lookup_cik(want, feeds.cik_map(c)).select("ticker", F.col("cik").cast("double").alias("cik"))
+
+
+@query("""SELECT c_custkey AS id, c_custkey % 3 <> 0 AND (c_custkey % 4 <> 0 OR c_custkey % 5 <> 0) AS ok, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 THEN c_acctbal END AS price, CASE WHEN c_custkey % 2 = 0 THEN 'trend: no data' ELSE 'late' END AS error,
+  (CASE WHEN c_custkey % 6 < 3 THEN 1 ELSE 0 END)::BIGINT AS n_splits FROM customer""")
+def estimate_snapshots(spark, sf):
+    from tidemark.sources import feeds
+
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("double")
+    price = F.when(k % 4 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    info = F.when(k % 3 != 0, F.struct(F.when(k % 5 != 0, "name").alias("name"), F.when(~F.isnan(price), price).alias("price"), none.alias("trailing_eps")))
+    splits = F.array(F.struct(F.lit("2020-01-01").cast("date").alias("d"), F.lit(2.0).alias("ratio")), F.struct(F.when(k % 6 < 3, F.lit("2025-01-01").cast("date")).otherwise(F.lit("2021-01-01").cast("date")).alias("d"), F.lit(3.0).alias("ratio")))
+    raw = V.table(spark, sf, "customer").select(k.alias("ticker"), info.alias("info"), none.alias("trend"), none.alias("revisions"), splits.alias("splits"), F.array(F.lit(None).cast("string"), F.when(k % 2 == 0, "trend: no data"), F.lit("late")).alias("errors"))
+    e = feeds.estimates(raw, F.lit("2026-01-01").cast("date"))
+    return e.select(F.col("ticker").alias("id"), "ok", "price", "error", F.size("splits").cast("long").alias("n_splits"))
+
+
+@query("""WITH x AS (SELECT conv_id AS ticker, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE substr(text, 1, 20) END AS title FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY turn, title) AS pos FROM x WHERE title <> '')
+SELECT ticker, pos::BIGINT AS pos, title, CASE WHEN turn % 2 = 0 THEN 'nested' ELSE 'flat' END AS publisher, CASE WHEN turn % 2 = 0 THEN '2026-01-02' ELSE '1970-01-02' END AS date FROM n WHERE pos <= 2""")
+def news_items(spark, sf):
+    from tidemark.sources import feeds
+
+    t = F.col("turn")
+    title = F.when(t % 3 == 0, "").otherwise(F.substring("text", 1, 20))
+    none = F.lit(None).cast("string")
+    content = F.when(t % 2 == 0, F.struct(title.alias("title"), F.lit("nested").alias("provider"), F.lit("2026-01-02T10:00:00Z").alias("pubDate")))
+    x = F.struct(t.alias("turn"), title.alias("order"), content.alias("content"), F.when(t % 2 == 1, title).otherwise(none).alias("title"), F.when(t % 2 == 1, "flat").alias("publisher"), F.when(t % 2 == 1, 100_000).alias("providerPublishTime"))
+    raw = V.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("ticker")).agg(F.array_sort(F.collect_list(x)).alias("items"))
+    return feeds.news(raw, 2).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""SELECT 'u' || (user_id % 4) AS strategy, event_id, CASE WHEN event_id % 5 <> 0 THEN event_id * 1.0 END AS contrib, CASE WHEN event_id % 5 <> 0 THEN 2::BIGINT ELSE -1 END AS n_sells, CASE WHEN event_id % 5 <> 0 THEN '2024-02-01' END AS fill_date FROM events""")
+def decision_log(spark, sf):
+    from tidemark.sources import feeds
+
+    e = V.table(spark, sf, "events")
+    state = F.concat(F.lit('{"sells": ["A", "B"], "buys": [], "fill_date": "2024-02-01", "contrib": '), F.col("event_id").cast("string"), F.lit(".0}"))
+    log = e.select(F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("strategy"), F.col("event_id").alias("month"), F.when(F.col("event_id") % 5 == 0, '{"sells": [').otherwise(state).alias("state"))
+    d = feeds.decisions(feeds.conform(log, "shadow"))
+    return d.select("strategy", F.col("month").cast("long").alias("event_id"), "contrib", F.coalesce(F.size("sells"), F.lit(-1)).cast("long").alias("n_sells"), F.col("fill_date").cast("string").alias("fill_date"))
+
+
+@query("""WITH c AS (SELECT user_id AS key, max(ts) AS fetched, bool_or(event_type = 'error' AND event_id % 10 = 0) AS gone FROM events WHERE event_id % 20 = 0 GROUP BY 1)
+SELECT DISTINCT user_id AS key FROM events ANTI JOIN (SELECT key FROM c WHERE gone OR fetched > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) f ON f.key = events.user_id""")
+def stale_answers(spark, sf):
+    from tidemark.sources import feeds
+
+    e = V.table(spark, sf, "events")
+    cache = e.filter("event_id % 20 = 0").groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("fetched"), F.when(F.bool_or((F.col("event_type") == "error") & (F.col("event_id") % 10 == 0)), 404).otherwise(200).alias("status"))
+    return feeds.to_fetch(e.select(F.col("user_id").alias("key")), cache, F.lit("2024-01-31").cast("timestamp"), 7)
+
+
+@query(chain(C.SNAP) + """, d AS (SELECT max(date) AS b FROM snap), e AS (SELECT max(date) AS a FROM snap, d WHERE date <= b - 5), ch AS (SELECT x.ticker, CASE WHEN x.trend THEN 'up' ELSE 'down' END AS change FROM snap x JOIN d ON x.date = b JOIN (SELECT s.ticker, s.trend FROM snap s JOIN e ON s.date = a) y USING (ticker) WHERE x.trend <> y.trend)
+SELECT * FROM ch UNION ALL SELECT DISTINCT user_id, 'sec' FROM events, e WHERE event_type = 'error' AND ts::DATE > a AND user_id IN (SELECT ticker FROM snap, d WHERE date = b)""")
+def changes_and_events(spark, sf):
+    events = V.table(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"))
+    return ST.changes_with_events(C._snaps(spark, sf), events)
+
+
+@query(chain(V.PANEL, V.HOLDINGS) + """, mo AS (SELECT s_suppkey AS k, 'T' || s_suppkey AS strategy, DATE '1999-03-01' + (s_suppkey % 5 * 31)::INT AS fill FROM supplier)
+SELECT strategy, 1::BIGINT AS months, 100.0 AS invested, 150.0 AS value, round(CASE WHEN DATE '2001-03-01' - fill > 0 THEN 1.5 ** (365.0 / (DATE '2001-03-01' - fill)) - 1 END, 6) AS xirr FROM mo""")
+def shadow_summary(spark, sf):
+    k = F.col("s_suppkey")
+    px = lambda v: F.create_map(F.lit("A"), F.lit(v), F.lit("B"), F.lit(v * 2))
+    none = F.array().cast("array<string>")
+    d = V.table(spark, sf, "supplier").select(
+        F.concat(F.lit("T"), k.cast("string")).alias("strategy"), F.lit("1999-02").alias("month"), F.date_add(F.lit("1999-03-01").cast("date"), (k % 5 * 31).cast("int")).alias("fill_date"), none.alias("sells"), F.array(F.lit("A"), F.lit("B")).alias("buys"), px(10.0).alias("px"), F.lit(100.0).alias("contrib"))
+    last = spark.range(1).select(F.lit("2001-03-01").cast("date").alias("d"), px(15.0).alias("px"))
+    return r6(LV.shadow_rows(d, last, 0.0).select("strategy", "months", "invested", "value", "xirr"))

@@ -63,6 +63,15 @@ def changes(snapshots: DataFrame, key: str = "ticker", date: str = "date", flag_
     return new.join(old, key).filter("a <> b").select(key, F.when(F.col("b"), "up").otherwise("down").alias("change"))
 
 
+def changes_with_events(snapshots: DataFrame, events: DataFrame, key: str = "ticker", date: str = "date", flag_: str = "trend", gap: int = 5) -> DataFrame:
+    """changes, and (key, `sec`) of keys in the newest snapshot with an event (key, date) after the older day."""
+    days = snapshots.select(F.max(date).alias("new_d"))
+    old_d = snapshots.crossJoin(F.broadcast(days)).filter(F.col(date) <= F.date_sub("new_d", gap)).agg(F.max(date).alias("old_d"))
+    here = snapshots.join(F.broadcast(days), F.col(date) == F.col("new_d")).select(key).distinct()
+    sec = events.select(key, F.col(date).alias("__d")).join(F.broadcast(old_d), F.col("__d") > F.col("old_d")).select(key).distinct().join(here, key, "left_semi")
+    return changes(snapshots, key, date, flag_, gap).unionByName(sec.select(key, F.lit("sec").alias("change")))
+
+
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     """Overwrites only the partitions of `by` that df has."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

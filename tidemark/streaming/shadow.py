@@ -12,9 +12,25 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DECISION = "strategy string, month string, fill_date date, sells array<string>, buys array<string>, contrib double"
 
 
-def due(plans: DataFrame, log: DataFrame, ref) -> DataFrame:
-    """Plans (strategy, month, fill_date, sells, buys, contrib) to append: absent from the log, filled before ref."""
-    return plans.filter(F.col("fill_date").isNotNull() & (F.col("fill_date") < F.lit(ref).cast("date"))).dropDuplicates(["strategy", "month"]).join(log, ["strategy", "month"], "left_anti")
+def due(plans: DataFrame, log: DataFrame, ref, closes: DataFrame | None = None) -> DataFrame:
+    """Plans (strategy, month, fill_date, sells, buys, contrib) to append: absent from the log, filled before ref.
+
+    closes: (ticker, d), if given: a plan whose fill day is the last one of all closes waits while any name that it sells
+    or buys has no close on that day yet, though it has closes at all; the next refresh continues with it.
+    """
+    d = plans.filter(F.col("fill_date").isNotNull() & (F.col("fill_date") < F.lit(ref).cast("date"))).dropDuplicates(["strategy", "month"]).join(log, ["strategy", "month"], "left_anti")
+    if closes is None:
+        return d
+    last = closes.agg(F.max("d").alias("last_d"))
+    waiting = closes.groupBy("ticker").agg(F.max("d").alias("seen")).join(F.broadcast(last), F.col("seen") < F.col("last_d")).select("ticker", "last_d")
+    names = d.select("strategy", "month", "fill_date", F.explode(F.concat("sells", "buys")).alias("ticker"))
+    late = names.join(waiting, "ticker").filter(F.col("fill_date") == F.col("last_d")).select("strategy", "month").distinct()
+    return d.join(late, ["strategy", "month"], "left_anti")
+
+
+def refresh(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends what a stream has now and ends, to be run weekly: the checkpoint knows what earlier runs have written."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def advance(plans: DataFrame, delay: str = "5 days") -> DataFrame:
