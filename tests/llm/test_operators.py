@@ -384,6 +384,83 @@ def test_quality_on_held_out_labels(spark):
     assert kept.count() == 2 and kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
 
 
+def plain_boosting(x, y, m):
+    """The model of quality.AdditiveModel by loops over rows: cyclic trees of two cuts, then pairs with one cut of either feature."""
+    n, k = x.shape
+    f = [m.base] * n
+    bins = lambda v, cuts: sum(c <= v for c in cuts)
+    fine = [[bins(x[r, j], m.cuts[j]) for j in range(k)] for r in range(n)]
+    tables = [[0.0] * (len(m.cuts[j]) + 1) for j in range(k)]
+
+    def stats(rows):
+        p = [1 / (1 + np.exp(-f[r])) for r in rows]
+        return sum(y[r] - q for r, q in zip(rows, p, strict=True)), sum(q * (1 - q) for q in p), len(rows)
+
+    worth = lambda g, h, _: g * g / (h + 1)
+    for _ in range(quality.ROUNDS):
+        for j in range(k):
+            leaves = [(0, len(tables[j]))]
+            for _ in range(2):
+                best = (1e-9, None)
+                for a, b in leaves:
+                    for c in range(a + 1, b):
+                        left, right = ([r for r in range(n) if lo <= fine[r][j] < hi] for lo, hi in ((a, c), (c, b)))
+                        if min(len(left), len(right)) >= quality.LEAF:
+                            gain = worth(*stats(left)) + worth(*stats(right)) - worth(*stats(left + right))
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (a, b, c))
+                if best[1] is None:
+                    break
+                a, b, c = best[1]
+                leaves = sorted([x for x in leaves if x != (a, b)] + [(a, c), (c, b)])
+            steps = []
+            for a, b in leaves if len(leaves) > 1 else ():
+                g, h, _ = stats([r for r in range(n) if a <= fine[r][j] < b])
+                steps.append((a, b, quality.RATE * g / (h + 1)))
+            for a, b, v in steps:
+                for i in range(a, b):
+                    tables[j][i] += v
+                for r in range(n):
+                    if a <= fine[r][j] < b:
+                        f[r] += v
+    coarse = [[bins(x[r, j], m.coarse[j]) for j in range(k)] for r in range(n)]
+
+    def quarters(i, j):
+        best = (1e-9, None)
+        for a in range(1, len(m.coarse[i]) + 1):
+            for b in range(1, len(m.coarse[j]) + 1):
+                parts = [[r for r in range(n) if (coarse[r][i] < a) == u and (coarse[r][j] < b) == v] for u in (True, False) for v in (True, False)]
+                if min(map(len, parts)) >= quality.LEAF:
+                    gain = sum(worth(*stats(q)) for q in parts) - worth(*stats(range(n)))
+                    if gain > best[0] + 1e-12:
+                        best = (gain, parts)
+        return best
+
+    gains = sorted((-quarters(i, j)[0], i, j) for i in range(k) for j in range(i + 1, k) if quarters(i, j)[1])
+    chosen = [(i, j) for _, i, j in gains[: quality.PAIRS]]
+    for _ in range(quality.PAIR_ROUNDS):
+        for i, j in chosen:
+            found = quarters(i, j)[1]
+            for rows, (g, h, _) in [(q, stats(q)) for q in found or ()]:
+                for r in rows:
+                    f[r] += quality.RATE * g / (h + 1)
+    return tables, chosen, 1 / (1 + np.exp(-np.array(f)))
+
+
+def test_fitted_tables_equal_plain_boosting(monkeypatch):
+    for name, v in (("ROUNDS", 3), ("PAIR_ROUNDS", 2), ("PAIRS", 2), ("BINS", 8), ("PAIR_BINS", 4), ("LEAF", 5)):
+        monkeypatch.setattr(quality, name, v)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(120, 3)), 2)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] * x[:, 2] > 0.1)).astype(float)
+    m = quality.AdditiveModel(x, y)
+    tables, pairs, score = plain_boosting(x, y, m)
+    for got, want in zip(m.tables, tables, strict=True):
+        assert got == pytest.approx(want, abs=1e-9)
+    assert [(i, j) for i, j, _ in m.pairs] == pairs and len(pairs) == 2
+    assert m.score(x) == pytest.approx(score, abs=1e-8)
+
+
 # ---- 9 ----
 
 

@@ -201,7 +201,10 @@ def score_quality(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id",
 
 
 def keep_quality(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score at least the threshold, with all their columns."""
+    """The rows of docs that score at least the threshold, with all their columns, whatever their names.
+
+    Null texts are judged as empty ones; repeated rows share their fate; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
