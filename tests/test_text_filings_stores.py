@@ -35,6 +35,13 @@ def test_keyword_counts_and_threshold(spark):
     assert [r["eligible_text"] for r in rows] == [True, False, False, False] and rows[3]["words"] == 0
 
 
+def test_terms_that_overlap_are_counted_apart(spark):
+    assert [len(T.term_patterns(t)) for t in T.DICTIONARY.values()] == [1] * 5
+    assert len(T.term_patterns(("a b", "b c", "x"))) == 2 and len(T.term_patterns(("a", "a b"))) == 2 and T.may_overlap("a a", "a a")
+    assert one(spark, T.count_hits(F.col("t"), {"g": ("a b", "b c", "b", "x y")})["g"], t="a b c, A  B x\ny b") == 2 + 1 + 3 + 1
+    assert one(spark, T.word_count(F.col("t")), t=" a\u00a0b\n c ") == 3 and one(spark, T.word_count(F.col("t")), t=" ") == 0
+
+
 def test_symbols_and_form_index(spark):
     t = 'under the symbol "ABC" and the INC Nasdaq; BRK.A New York Stock Exchange; under the symbols ABC'
     assert one(spark, T.symbols(F.col("t")), t=t) == "ABC|BRK.A"
@@ -188,3 +195,18 @@ def test_changes_with_new_events(spark):
     snaps = spark.createDataFrame([("A", D("2026-09-20"), False), ("A", D("2026-09-26"), True), ("B", D("2026-09-26"), True)], "ticker string, date date, trend boolean")
     events = spark.createDataFrame([("B", D("2026-09-21")), ("B", D("2026-09-22")), ("A", D("2026-09-20")), ("C", D("2026-09-25"))], "ticker string, date date")
     assert sorted((r["ticker"], r["change"]) for r in ST.changes_with_events(snaps, events).collect()) == [("A", "up"), ("B", "sec")]
+
+
+def test_facts_of_an_analysis(spark):
+    from tidemark.operators import live
+
+    row = (1234.5, 0.125, -0.345, 0.4512, True, False, 0.93, "NO UPTREND", None, 2.5e12, 23.44, 0.0456, (3.0, 1.0), False, [(D("2026-09-12"), ["4.01"], ["auditor change"])], [(None, None, "First"), ("2026-09-01", "Wire", ""), ("2026-09-02", "Wire", "Second")])
+    cols = "price double, ret_1m double, dd_52w double, vol_252 double, above200 boolean, trend boolean, mom double, rule string, sector string, market_cap double, forward_pe double, earnings_yield double, eps_rev struct<up30:double,down30:double>, fund_pit boolean, sec_flags array<struct<date:date,items:array<string>,labels:array<string>>>, news array<struct<date:string,publisher:string,title:string>>"
+    d = spark.createDataFrame([row], cols)
+    assert d.select(live.analysis_facts(d.columns)).first()[0] == {
+        "price": "$1,234.50", "ret_1m": "+12%", "from_52w_high": "-34%", "volatility_1y": "45%", "above_200dma": "yes", "trend_gate": "fails", "momentum_pct": "93rd percentile", "rule_status": live.RULE_STATUS["NO UPTREND"],
+        "market_cap": "$2.5T", "forward_pe": "23.4x", "earnings_yield": "4.6%", "eps_revisions_30d": "3 up / 1 down", "fundamentals_source": "Yahoo, not point-in-time", "sec_8k_last_45d": "2026-09-12 Item 4.01 auditor change",
+        "news_1": "undated · unknown · First", "news_2": "2026-09-02 · Wire · Second"}
+    assert [one(spark, S.fixed(F.col("v")), v=v) for v in (0.125, 2.0)] == ["0.12", "2.00"] and one(spark, S.grouped(F.col("v"), 0), v=1234567.0) == "1,234,567"
+    assert one(spark, S.dashed(F.col("t")), t=" brk.b ") == "BRK-B" and one(spark, S.config_name(*(F.lit(x) for x in ("W2", "G1", "S2", "Nvar"))), t="") == "W2-G1-S2-Nvar"
+    assert one(spark, S.percent(F.lit(None).cast("double")), t="") == S.MISSING

@@ -115,3 +115,55 @@ def warnings(rev_breadth: Column, speculative: Column, fund_pit: Column) -> Colu
     every = F.array(
         F.when(rev_breadth < -0.3, "EPS revisions negative"), F.when(flag(speculative), "speculative"), F.when(~F.coalesce(fund_pit, F.lit(True)), "not point-in-time fundamentals"))
     return F.filter(every, lambda x: x.isNotNull())
+
+
+# ---- formats of pages and of evidence; a null is a dash ----
+
+
+def _shown(v: Column, text: Column) -> Column:
+    return F.when(v.isNull(), MISSING).otherwise(text)
+
+
+def fixed(v: Column, places: int = 2) -> Column:
+    """1.23 with so many places, halves to the even digit."""
+    return _shown(v, F.printf(F.lit(f"%.{places}f"), F.bround(v, places)))
+
+
+def grouped(v: Column, places: int = 2) -> Column:
+    """1,234.50 with so many places."""
+    return _shown(v, F.format_number(F.bround(v, places), places))
+
+
+def percent(v: Column, places: int = 0) -> Column:
+    """42% of 0.42, with so many places."""
+    return _shown(v, F.concat(F.printf(F.lit(f"%.{places}f"), F.bround(v * 100, places)), F.lit("%")))
+
+
+def dollars(v: Column) -> Column:
+    """$1,234.50"""
+    return _shown(v, F.concat(F.lit("$"), grouped(v, 2)))
+
+
+def multiple(v: Column) -> Column:
+    """23.4x"""
+    return _shown(v, F.concat(fixed(v, 1), F.lit("x")))
+
+
+def yes_no(v: Column, yes: str = "yes", no: str = "no") -> Column:
+    return _shown(v, F.when(v, yes).otherwise(no))
+
+
+def dashed(ticker: Column) -> Column:
+    """A share class after a dash, not a point."""
+    return F.replace(F.upper(F.trim(ticker)), F.lit("."), F.lit("-"))
+
+
+def config_name(weights: Column, gate: Column, sell: Column, buy: Column) -> Column:
+    """W2-G1-S2-Nvar"""
+    return F.concat_ws("-", weights, gate, sell, buy)
+
+
+def event_warning(events: Column) -> Column:
+    """`8-K date Item code label; ...` of an array of struct(date, items, labels); null for none."""
+    lines = F.flatten(F.transform(events, lambda e: F.transform(F.arrays_zip(e["items"], e["labels"]), lambda x: F.concat(e["date"].cast("string"), F.lit(" Item "), x["items"], F.lit(" "), x["labels"]))))
+    return F.nullif(F.array_join(lines, "; "), F.lit(""))

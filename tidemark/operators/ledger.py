@@ -172,14 +172,16 @@ class Book:
             limit = np.where(self.three[ranked], 3, MAX_NAMES)
             order = np.argsort(np.nan_to_num(m["ord"], nan=np.inf), kind="stable")
             names[ranked] = first_by_group(mask, np.broadcast_to(order, mask.shape), groups, np.minimum(limit, BRAKED) if m["brake"].any() else limit)
-        for i in np.flatnonzero(np.isin(pick, ("random", "random_all", "random_up")) & ~whole).tolist():
-            s = self.sc[i]
-            n = self.made[s["pick"]].get(str(d), 0) if s["pick"] in self.made else s["n"]
-            pool = np.flatnonzero(scored & trend if s["pick"] == "random_up" else free[i])
-            if n and len(pool):
-                order = pool[shuffled(s["seed"], s["sim"], str(d), [self.names[k] for k in pool.tolist()])]
-                some = first_by_group(np.ones((1, len(order)), bool), np.arange(len(order))[None, :], groups[order], np.array([n]))[0]
-                names[i, order[some]] = True
+        drawn = np.flatnonzero(np.isin(pick, ("random", "random_all", "random_up")) & ~whole)
+        if len(drawn):
+            mask = np.where((pick[drawn] == "random_up")[:, None], scored & trend, free[drawn])
+            order, limit = np.argsort(~mask, axis=1, kind="stable"), np.zeros(len(drawn), np.int64)
+            for r, s in enumerate(self.sc[i] for i in drawn.tolist()):
+                limit[r] = self.made[s["pick"]].get(str(d), 0) if s["pick"] in self.made else s["n"]
+                if limit[r]:  # the pool's names come first; what is behind them isn't marked
+                    pool = np.flatnonzero(mask[r])
+                    order[r, : len(pool)] = pool[shuffled(s["seed"], s["sim"], str(d), [self.names[k] for k in pool.tolist()])]
+            names[drawn] = first_by_group(mask, order, groups, limit)
         return names
 
     def step(self, d, exec_, month: dict) -> tuple[dict, dict]:

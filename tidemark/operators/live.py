@@ -123,3 +123,45 @@ def grounding_report(d: DataFrame, points: Column, texts: Column, facts: Column)
     from tidemark.operators.textops import grounding
 
     return d.withColumn("__g", grounding(points, texts, facts)).select(*d.columns, "__g.bad_keys", "__g.ungrounded_numbers")
+
+
+# What a rule's label means, in words.
+RULE_STATUS = {
+    "UPTREND": "in uptrend — buyable under the equal-weight rule",
+    "NO UPTREND": "no uptrend — not buyable; held positions sell after 2 month-ends below 200DMA",
+}
+
+
+def analysis_facts(columns: list[str]) -> Column:
+    """map<string,string> of what is known of a ticker, formatted for reading; missing values are left out.
+
+    Reads those of its fields that are among `columns`: name, price, returns, trend, percentiles, rule, fundamentals,
+    estimates, eps_rev (struct up30, down30), fund_pit, sec_flags (array of struct date, items, labels) and news (array of
+    struct date, publisher, title; ten at most).
+    """
+    from tidemark.functions import scalars as S
+    from tidemark.operators import textops as T
+
+    c = F.col
+    place = lambda v: F.concat(S.percent_ordinal(v), F.lit(" percentile"))
+    rule = F.when(c("rule") == "UPTREND", RULE_STATUS["UPTREND"]).when(c("rule") == "NO UPTREND", RULE_STATUS["NO UPTREND"]) if "rule" in columns else None
+    fields = [
+        ("company", "name", lambda v: v), ("ticker", "ticker", lambda v: v), ("price", "price", S.dollars), ("ret_1m", "ret_1m", S.signed_percent), ("ret_6m", "ret_6m", S.signed_percent), ("ret_12m", "ret_12m", S.signed_percent),
+        ("ret_12_1", "ret_12_1", S.signed_percent), ("from_52w_high", "dd_52w", S.signed_percent), ("volatility_1y", "vol_252", S.percent), ("above_200dma", "above200", S.yes_no), ("trend_gate", "trend", lambda v: S.yes_no(v, "passes", "fails")),
+        ("momentum_pct", "mom", place), ("quality_pct", "qual", place), ("revisions_pct", "rev", place), ("research_rank_pct", "composite", place), ("rule_status", "rule", lambda v: rule), ("model_reason", "reason", lambda v: v),
+        ("gp_assets", "gp_assets", S.fixed), ("revenue_growth_ttm", "rev_growth", S.signed_percent), ("fy_eps_est_change_90d", "rev_chg", S.signed_percent), ("forward_pe", "forward_pe", S.multiple), ("earnings_yield", "earnings_yield", lambda v: S.percent(v, 1)),
+        ("market_cap", "market_cap", S.money), ("sector", "sector", lambda v: v), ("industry", "industry", lambda v: v), ("category", "category", lambda v: v), ("speculative", "speculative", S.yes_no),
+    ]
+    said = {key: F.when(c(src).isNotNull(), show(c(src))) for key, src, show in fields if src in columns}
+    if "eps_rev" in columns:
+        up, down = c("eps_rev.up30"), c("eps_rev.down30")
+        said["eps_revisions_30d"] = F.when(up.isNotNull() & down.isNotNull(), F.concat(up.cast("int").cast("string"), F.lit(" up / "), down.cast("int").cast("string"), F.lit(" down")))
+    if "fund_pit" in columns:
+        said["fundamentals_source"] = F.when(c("fund_pit"), "SEC point-in-time").when(~c("fund_pit"), "Yahoo, not point-in-time")
+    if "sec_flags" in columns:
+        said["sec_8k_last_45d"] = F.coalesce(S.event_warning(c("sec_flags")), F.lit("none"))
+    titled = F.filter("news", lambda n: F.coalesce(n["title"], F.lit("")) != "") if "news" in columns else None
+    for i in range(10) if titled is not None else ():
+        n = F.get(titled, F.lit(i))
+        said[f"news_{i + 1}"] = F.when(n.isNotNull(), F.concat_ws(" · ", F.coalesce(n["date"], F.lit("undated")), F.coalesce(n["publisher"], F.lit("unknown")), n["title"]))
+    return T.facts_map(said)

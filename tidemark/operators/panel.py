@@ -17,7 +17,7 @@ def calendar(dates: DataFrame, col: str = "d") -> DataFrame:
 def align(panel: DataFrame, cal: DataFrame) -> DataFrame:
     """(ticker, grp, d, rn, raw): every ticker on every calendar day, null where it has no close."""
     tickers = panel.groupBy("ticker").agg(F.min("grp").alias("grp"))
-    return tickers.crossJoin(cal).join(panel.select("ticker", "d", F.col("close").alias("raw")), ["ticker", "d"], "left").select("ticker", "grp", "d", "rn", "raw")
+    return tickers.crossJoin(F.broadcast(cal)).join(panel.select("ticker", "d", F.col("close").alias("raw")), ["ticker", "d"], "left").select("ticker", "grp", "d", "rn", "raw")
 
 
 def by_ticker() -> Window:

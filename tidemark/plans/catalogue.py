@@ -823,13 +823,19 @@ def weighted_cost_merge(spark, sf):
     return r6(L.merge_purchase(h, b))
 
 
-@query(chain(*FULL, MPX) + """, q AS (SELECT d, ticker, px, row_number() OVER (PARTITION BY ticker ORDER BY d) AS r FROM mpx WHERE ticker IN ('S1', 'S2', 'S3', 'S4'))
-SELECT ticker, round(sum(2500.0 / 4 * (1 - 0.0015) / px), 6) AS shares, round(count(*) * 2500.0 / 4, 4) AS basis FROM q WHERE d >= DATE '2000-01-01' GROUP BY ticker""")
+@query(chain(*FULL, MPX).replace("WITH ", "WITH RECURSIVE ", 1) + """, p0 AS (SELECT ticker, px, substr(ticker, 2)::INT AS n, dense_rank() OVER (ORDER BY d) AS m FROM mpx WHERE d >= DATE '2000-01-01'),
+st AS (SELECT 0::BIGINT AS m, ticker, substr(ticker, 2)::INT AS n, 0::DOUBLE AS shares, 0::DOUBLE AS basis, 0::DOUBLE AS cash FROM (SELECT DISTINCT ticker FROM p0)
+  UNION ALL SELECT m::BIGINT, ticker, n, CASE WHEN gone THEN 0 ELSE shares END + CASE WHEN buy THEN budget / nb * (1 - 0.0015) / px ELSE 0 END, CASE WHEN gone THEN 0 ELSE basis END + CASE WHEN buy THEN budget / nb ELSE 0 END, CASE WHEN nb > 0 THEN 0 ELSE budget END
+  FROM (SELECT *, 2500 + cash + sum(CASE WHEN gone THEN shares * px * (1 - 0.0015) ELSE 0 END) OVER () AS budget, count(*) FILTER (buy) OVER () AS nb
+    FROM (SELECT st.m + 1 AS m, st.ticker, st.n, px, shares, basis, cash, shares > 0 AND px IS NOT NULL AND (st.n + st.m + 1) % 4 = 0 AS gone, coalesce(px > 0, false) AND (st.n + st.m + 1) % 3 = 0 AS buy
+      FROM st LEFT JOIN p0 ON p0.m = st.m + 1 AND p0.ticker = st.ticker WHERE st.m < (SELECT max(m) FROM p0))))
+SELECT ticker, round(shares, 6) AS shares, round(basis, 4) AS basis FROM st WHERE m = (SELECT max(m) FROM p0) AND shares > 0""")
 def decision_replay(spark, sf):
-    px = filled(spark, sf).join(ends(spark, sf), "d", "left_semi").filter("ticker in ('S1', 'S2', 'S3', 'S4') and d >= '2000-01-01'").select("ticker", "d", F.col("full").alias("px"))
+    px = filled(spark, sf).join(ends(spark, sf), "d", "left_semi").filter("d >= '2000-01-01' and `full` is not null").select("ticker", "d", F.col("full").alias("px"))
     g = px.groupBy(F.col("d").alias("month")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ticker", "px")))).alias("px"))
-    dec = g.select(F.lit("b").alias("strategy"), "month", F.array().cast("array<string>").alias("sells"), F.map_keys("px").alias("buys"), "px", F.lit(2500.0).alias("contrib"))
-    s = L.replay(dec, ["strategy"])
+    g = g.withColumn("m", F.row_number().over(Window.orderBy("month")))
+    every = lambda k: F.filter(F.map_keys("px"), lambda t: (F.substring(t, 2, 9).cast("int") + F.col("m")) % k == 0)
+    s = L.replay(g.select(F.lit("b").alias("strategy"), "month", every(4).alias("sells"), every(3).alias("buys"), "px", F.lit(2500.0).alias("contrib")), ["strategy"])
     e = s.select(F.explode("state.shares").alias("ticker", "shares"), "state")
     return e.select("ticker", F.round(F.col("shares") + 1e-9, 6).alias("shares"), F.round(F.element_at("state.basis", F.col("ticker")), 4).alias("basis"))
 

@@ -117,12 +117,12 @@ FILINGS = """filings AS (SELECT doc_id AS acc, doc_id % 97 AS cik, DATE '2009-02
 
 
 def holdings(spark: SparkSession, sf_dir: str, panel_: DataFrame) -> DataFrame:
-    """(ticker, shares, cost) for twenty tickers, costs around each one's first close."""
-    c = table(spark, sf_dir, "customer").filter(F.col("c_custkey").between(1, 20))
+    """(ticker, shares, cost) of every customer whose number is a ticker's, costs around each one's first close."""
+    c = table(spark, sf_dir, "customer")
     first = panel_.groupBy("ticker").agg(F.min_by("close", "d").alias("px0"))
     h = c.select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("ticker"), (F.col("c_custkey") % 7 + 1).cast("double").alias("shares"), F.col("c_acctbal").alias("bal"))
     return h.join(first, "ticker").select("ticker", "shares", F.round(F.col("px0") * (1 + F.col("bal") / 10000), 4).alias("cost"))
 
 
 HOLDINGS = """holdings AS (SELECT 'S' || c_custkey AS ticker, (c_custkey % 7 + 1)::DOUBLE AS shares, round(px0 * (1 + c_acctbal / 10000), 4) AS cost
-  FROM customer JOIN (SELECT ticker, arg_min(close, d) AS px0 FROM panel GROUP BY 1) f ON f.ticker = 'S' || c_custkey WHERE c_custkey BETWEEN 1 AND 20)"""
+  FROM customer JOIN (SELECT ticker, arg_min(close, d) AS px0 FROM panel GROUP BY 1) f ON f.ticker = 'S' || c_custkey)"""
