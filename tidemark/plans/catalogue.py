@@ -27,7 +27,7 @@ ORACLES: dict[str, str] = {}
 
 #: Columns that are days, and the queries that have them.
 DAYS: dict[str, tuple[str, ...]] = {
-    "d": ("month_ends", "completed_month_ends", "calendar_panel", "ffill_limited", "ffill_full", "daily_panel_gaps", "next_fill_date", "asof_half_coverage", "lag_returns", "volatility_252", "momentum_raw", "high_52w", "sma_complete", "trend_flags", "factor_frame", "monthly_sma10", "band_signals", "fip_id", "two_month_below", "regime_breadth", "composite_score", "composite_with_revisions", "grades_labels", "tie_break_order", "rule_labels_warnings", "group_capped_top10", "rotation_buys", "fip_pool", "sell_rules", "wide_to_long", "dca_closed_form", "ew_hold_closed_form", "stress_clones",),
+    "d": ("month_ends", "completed_month_ends", "calendar_panel", "ffill_limited", "ffill_full", "daily_panel_gaps", "next_fill_date", "asof_half_coverage", "lag_returns", "volatility_252", "momentum_raw", "high_52w", "sma_complete", "trend_flags", "factor_frame", "monthly_sma10", "band_signals", "fip_id", "two_month_below", "regime_breadth", "composite_score", "composite_with_revisions", "reason_text", "grades_labels", "tie_break_order", "rule_labels_warnings", "group_capped_top10", "rotation_buys", "fip_pool", "sell_rules", "wide_to_long", "dca_closed_form", "ew_hold_closed_form", "stress_clones",),
     "exec": ("next_fill_date", "twr_monthly", "simulation_equals_closed_form",),
     "first": ("pruned_history", "key_spans",),
     "last": ("pruned_history", "key_spans",),
@@ -327,7 +327,28 @@ def rule_labels_warnings(spark, sf):
     return s.select("d", "ticker", S.rule_label(F.col("eligible"), F.col("trend")).alias("rule"), F.array_join(w, "; ").alias("said"), F.size(w).cast("long").alias("n"))
 
 
-@query()
+def _place_sql(p: str) -> str:
+    n = f"round_even({p} * 100, 0)::INT"
+    return f"({n} || CASE WHEN {n} % 100 BETWEEN 10 AND 20 THEN 'th' WHEN {n} % 10 = 1 THEN 'st' WHEN {n} % 10 = 2 THEN 'nd' WHEN {n} % 10 = 3 THEN 'rd' ELSE 'th' END)"
+
+
+def _signed_sql(v: str) -> str:
+    n = f"round_even(round_even({v}, 2) * 100, 0)::BIGINT"
+    return f"(CASE WHEN {n} >= 0 THEN '+' ELSE '' END || {n} || '%')"
+
+
+def _clause_sql(name: str, p: str, *inner: str) -> str:
+    said = f"concat_ws(', ', {', '.join(inner)})"
+    return f"CASE WHEN {p} IS NOT NULL THEN '{name} ' || {_place_sql(p)} || ' pct' || CASE WHEN {said} <> '' THEN ' (' || {said} || ')' ELSE '' END END"
+
+
+REASONS = f"""rs AS (SELECT *, {_clause_sql("Momentum", "mom", f"'12-1m ' || {_signed_sql('ret_12_1')}", "round_even(dd_52w * 100, 0)::BIGINT || '% from high'")} AS c_mom,
+  {_clause_sql("Quality", "qual", "'GP/A ' || printf('%.2f', round_even(gp_assets, 2))", f"'rev ' || {_signed_sql('rev_growth')}")} AS c_qual FROM scored)
+SELECT d, ticker, CASE WHEN NOT eligible THEN CASE WHEN close IS NULL THEN 'Insufficient data: no recent price' ELSE 'Insufficient data: ' || n_days || ' trading days of history (need 273)' END
+  ELSE concat_ws(' · ', CASE WHEN coalesce(qual, -1) > coalesce(mom, -1) THEN concat_ws(' · ', c_qual, c_mom) ELSE concat_ws(' · ', c_mom, c_qual) END, CASE WHEN trend THEN 'in uptrend' WHEN above200 THEN 'above 200DMA, 50DMA below 200DMA (no uptrend)' ELSE 'below 200DMA' END) END AS reason FROM rs"""
+
+
+@query(chain(*RANKED, REASONS.split(")\nSELECT d, ticker, CASE WHEN NOT eligible")[0] + ")") + "SELECT d, ticker, CASE WHEN NOT eligible" + REASONS.split(")\nSELECT d, ticker, CASE WHEN NOT eligible")[1])
 def reason_text(spark, sf):
     return SC.reason(scored(spark, sf)).select("d", "ticker", "reason")
 
