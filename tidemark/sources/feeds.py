@@ -79,9 +79,14 @@ def to_fetch(keys: DataFrame, cache: DataFrame, now: Column, days: int) -> DataF
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of CSV files with a header and a declared schema: lines that don't fit are in errors as they stand."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema + ", _bad string").csv(path)
-    return raw.filter("_bad is null").drop("_bad"), raw.filter("_bad is not null").select(F.col("_bad").alias("line"))
+    """(rows, errors) of CSV files of one line a row with a declared schema: lines that don't fit are in errors as they stand.
+
+    Lines that are the schema's column names are headers.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    lines = spark.read.text(path).filter(F.col("value") != ",".join(names))
+    raw = lines.select("value", F.from_csv("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    return raw.filter("x._bad is null").select(*[F.col(f"x.{n}") for n in names]), raw.filter("x._bad is not null").select(F.col("value").alias("line"))
 
 
 def write_delimited(d: DataFrame, path: str) -> None:
