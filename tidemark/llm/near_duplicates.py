@@ -18,7 +18,7 @@ RECALL, HASHES = 0.999, 128
 #: Texts of a candidate group that one task compares with as many others: larger groups are dealt out by pairs of blocks.
 BLOCK = 200
 COLUMNS = 4096  # shingles that are counted at once
-VOCABULARY = 400_000  # words whose hashes a worker remembers
+VOCABULARY = 250_000  # words whose hashes a worker remembers
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:

@@ -19,7 +19,7 @@ MARK = "▁"  # fixed value of the format: stands for a blank
 UNIGRAM, BPE = 1, 2  # fixed values of the format: kinds of models
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # fixed values of the format: kinds of pieces
 UNKNOWN_PENALTY = 10.0  # fixed value of the format: how far an unknown character is below the least score
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 200_000, 48, 1_000_000
 
 _MODELS: dict[str, "PieceModel"] = {}
 
@@ -75,7 +75,7 @@ class PieceModel:
             if self.kind == UNIGRAM or self.merged(p) == [i]:
                 self.automaton.add_word(p, (len(p), i, self.score[i]))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by the left piece's number times the vocabulary's size plus the right one's
         self.words = _Words(self, {})
         #: No piece has a mark after another character, so words can be encoded apart.
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
@@ -112,11 +112,12 @@ class PieceModel:
         return [self.id.get(x, -1) for x in sym if x]
 
     def _pair(self, a: int, b: int) -> bool:
-        ok = self.pairs.get((a, b))
+        key = a * len(self.piece) + b
+        ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(self.piece[a] + self.piece[b]) == [a, b]
+            ok = self.pairs[key] = self.merged(self.piece[a] + self.piece[b]) == [a, b]
         return ok
 
     def path(self, s: str) -> list[int]:
@@ -158,14 +159,14 @@ class PieceModel:
         """Pieces of a BPE string all of whose characters are pieces: the first piece that fits its left neighbour stays."""
         if s.startswith(MARK * 2):
             return self.merged(s)  # runs of marks have one score in common, so that places decide their order
-        last, start, pairs = [-1] * (len(s) + 1), [0] * (len(s) + 1), self.pairs
+        last, start, pairs, n = [-1] * (len(s) + 1), [0] * (len(s) + 1), self.pairs, len(self.piece)
         for end, (size, piece, _) in self.automaton.iter(s):
             end += 1
             if last[end] >= 0:
                 continue
             a = end - size
             if a:
-                ok = pairs.get((last[a], piece))
+                ok = pairs.get(last[a] * n + piece)
                 if not (self._pair(last[a], piece) if ok is None else ok):
                     continue
             last[end], start[end] = piece, a
