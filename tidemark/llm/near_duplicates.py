@@ -229,6 +229,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     edges of a spanning forest come out. Thus buckets and groups of any size are done whole, spread over tasks, without
     emitting pairs, and a group costs no more than its buckets.
     """
+    signed, info = _grouped(docs, words, similarity, id_col, text_col)
+    return signed.select(F.col("id").alias(id_col), "node").join(info, "node").select(id_col, "class_id", "class_size", "n_links", "group_id", "node", "head")
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row, and one row a class: node, class_id, class_size, n_links, group_id, head. Both are written."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     d = docs.select(F.col(id_col), F.col(text_col))
     signed = written(_signed(d, id_col, text_col, words, similarity), "signatures")
@@ -283,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     # Written, so that the last join stands alone and a class with very many copies may be split.
     info = written(info, "class-info")
     forget(spark, nodes, buckets, shared, candidates, placed, verified, groups)
-    return signed.select(F.col("id").alias(id_col), "node").join(info, "node").select(id_col, "class_id", "class_size", "n_links", "group_id", "node", "head")
+    return signed, info
 
 
 def vertex(class_id: str, node: str) -> F.Column:
@@ -298,8 +304,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     texts have no near copies, so each such text keeps one row for all its equals; an empty table stays empty, and
     columns of any name pass through.
     """
-    found = near_duplicates(docs, words, similarity, id_col, text_col)
-    heads = found.filter("node = head").groupBy("node").agg(F.min("class_id").alias("__id")).select(F.col("node").alias("__node"), "__id")
+    # Heads come from the classes, one row each: the rows of a class with very many copies meet nowhere.
+    signed, info = _grouped(docs, words, similarity, id_col, text_col)
+    forget(docs.sparkSession, signed)
+    heads = info.filter("node = head").select(F.col("node").alias("__node"), F.col("class_id").alias("__id"))
     d = docs.withColumn("__at", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     d = d.join(heads, (F.col("__at") == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     return d.dropDuplicates(["__at", id_col]).select(docs.columns)
