@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, importance, media, near_duplicates, pieces, quality, secret_scan, sharding, substring_dedup, token_files
+from . import chat, decontaminate, importance, media, near_duplicates, pieces, quality, secret_scan, sharding, substring_dedup, token_files, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_media_columns": media.op9_media_columns,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_spelling_variants": variants.op11_spelling_variants,
     "op13_importance_resampling": importance.op13_importance_resampling,
     # Operator 10 on calls and results made of the same table, which has none itself.
     "chat_tool_calls": chat.chat_tool_calls,
@@ -31,5 +32,6 @@ ORACLES: dict[str, str] = {
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
     "chat_tool_calls": chat.CALLS_ORACLE,
+    "op11_spelling_variants": variants.ORACLE,
     "op13_importance_resampling": importance.ORACLE,
 }
