@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, importance, media, near_duplicates, pieces, quality, secret_scan, sharding, substring_dedup, token_files, variants
+from . import chat, decontaminate, importance, media, near_duplicates, pieces, quality, secret_scan, sharding, substring_dedup, token_files, url_filter, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": media.op9_media_columns,
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_url_filters": url_filter.op12_url_filters,
     "op13_importance_resampling": importance.op13_importance_resampling,
     # Operator 10 on calls and results made of the same table, which has none itself.
     "chat_tool_calls": chat.chat_tool_calls,
@@ -33,5 +34,6 @@ ORACLES: dict[str, str] = {
     "op10_chat_formatting": chat.ORACLE,
     "chat_tool_calls": chat.CALLS_ORACLE,
     "op11_spelling_variants": variants.ORACLE,
+    "op12_url_filters": url_filter.ORACLE,
     "op13_importance_resampling": importance.ORACLE,
 }
