@@ -154,10 +154,13 @@ def spelling_variants(docs: DataFrame, every: int = EVERY, least_length: int = L
 
     form is the near word with the largest n (ties: the least in the order of code points) if that is at least `ratio` times
     the word's n; root is where forms lead in the end. Each form is `ratio` times as frequent as its word, so chains are
-    short (19 words at most), and halving them takes five rounds. Words get numbers in their order, so that rows carry
-    numbers, not texts, and a word of any length costs rows in proportion to it. Null and empty texts have no words; repeated rows count each; an
-    empty table, or one without such words, gives an empty one. Other columns aren't read.
+    short (19 words at most), and halving them takes five rounds. Words get numbers in their order, so that rows carry numbers,
+    not texts, and a word of any length costs rows in proportion to it. Null and empty texts have no words; repeated rows count each; an
+    empty table, or one without such words, gives an empty one. Other columns aren't read. A ratio below 2 is refused:
+    words of equal n would be each other's form.
     """
+    if ratio < 2:
+        raise ValueError("ratio must be 2 at least")
     spark = docs.sparkSession
     v = word_counts(docs, every, least_length, id_col, text_col).filter(F.col("n") >= least_count)
     v = written(v.orderBy("word").select(F.monotonically_increasing_id().alias("rid"), "word", "n"), "variant-words")
