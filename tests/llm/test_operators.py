@@ -298,6 +298,34 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert kept == {r["group_id"] for r in got.values()}
 
 
+def pair_without_a_band():
+    """Two texts of 45 shingles, 40 in common (0.8), whose signatures share no band."""
+    sign, rng = near_duplicates.MinHash(*near_duplicates.choose_bands()), random.Random(11)
+    while True:
+        w = [f"v{rng.randrange(10**6)}" for _ in range(49)]
+        a, b = " ".join(w), " ".join(w[:44] + [f"u{rng.randrange(10**6)}" for _ in range(5)])
+        x, y = set(near_duplicates.shingles(a).tolist()), set(near_duplicates.shingles(b).tolist())
+        if len(x & y) >= 0.8 * len(x | y) and not any(p == q for p, q in zip(sign(near_duplicates.shingles(a)), sign(near_duplicates.shingles(b)), strict=True)):
+            return a, b
+
+
+@pytest.mark.parametrize("block,hashes", [(200, 500_000), (4, 500_000), (200, 150)])
+def test_a_pair_without_a_common_band_is_linked_nowhere(spark, monkeypatch, block, hashes):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "HASHES_A_BLOCK", hashes)
+    a, b = pair_without_a_band()
+    alone = near_duplicates.near_duplicates(docs(spark, [a, b])).collect()
+    assert [(r["n_links"], r["group_id"]) for r in sorted(alone)] == [(0, 0), (0, 1)]
+    # Copies of both with one word more or less lie between them: the two are in one group, and still not a pair.
+    texts = [a, b] + [f"{t} x{k}" for t in (a, b) for k in range(8)] + [" ".join(a.split()[:46])] * 2
+    sign = near_duplicates.MinHash(*near_duplicates.choose_bands())
+    sets, bands = [set(near_duplicates.shingles(t).tolist()) for t in texts], [sign(near_duplicates.shingles(t)) for t in texts]
+    pair = lambda i, j: texts[i] != texts[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and any(x == y for x, y in zip(bands[i], bands[j], strict=True))
+    got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i]["n_links"] for i in range(len(texts))] == [len({texts[j] for j in range(len(texts)) if pair(i, j)}) for i in range(len(texts))]
+    assert len({got[i]["group_id"] for i in range(10)}) == 1
+
+
 def test_a_chain_of_copies_is_compared_by_buckets(spark, monkeypatch):
     """Each text shares most words with the next one only: one component, whose buckets hold few pairs."""
     monkeypatch.setattr(near_duplicates, "BLOCK", 10)

@@ -10,13 +10,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import forget, table, tune, written
 
 WORDS, SIMILARITY = 5, 0.8
 RECALL, HASHES = 0.999, 128
-#: Texts of a candidate group that one task compares with as many others: larger groups are dealt out by pairs of blocks.
-BLOCK = 200
+#: Texts of a candidate group that one task compares with as many others, and hashes of these: larger groups are dealt out by pairs of blocks.
+BLOCK, HASHES_A_BLOCK = 200, 500_000
 COLUMNS = 4096  # shingles that are counted at once
 VOCABULARY = 250_000  # words whose hashes a worker remembers
 
@@ -142,15 +143,27 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
         for b in batches:
             texts = b.column(1).to_pylist()
             nodes = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), pa.array([sign(shingles(t, words)) for t in texts], pa.list_(pa.int64()))], ["id", "node", "bands"])
+            sets = [shingles(t, words) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), pa.array([sign(s) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())], ["id", "node", "bands", "size"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, node string, bands array<bigint>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, node string, bands array<bigint>, size long")
 
 
-def compare(nodes: list, texts: list[str], side: list[int], left: int, right: int, words: int, similarity: float, bands: np.ndarray | None = None, band: int = 0) -> tuple[list, list[int], list]:
-    """Of the texts of two blocks (or of one, if left is right): nodes with links, how many, and the least node of their
-    local component. With bands (a row a text) only pairs that meet here for the first time count: `band` is their first common one."""
-    sets = [np.unique(shingles(t, words)) for t in texts]
+def _hashed(d: DataFrame, words: int) -> DataFrame:
+    """d with `sets`, the distinct hashes of its text's runs, in the place of `text`."""
+    at = d.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([np.unique(shingles(t, words)).tobytes() for t in b.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([sets if k == at else b.column(k) for k in range(b.num_columns)], ["sets" if k == at else n for k, n in enumerate(b.schema.names)])
+
+    return d.mapInArrow(run, StructType([StructField("sets", BinaryType()) if k == at else f for k, f in enumerate(d.schema)]))
+
+
+def compare(nodes: list, sets: list[np.ndarray], side: list[int], left: int, right: int, similarity: float, bands: np.ndarray, band: int | None = None) -> tuple[list, list[int], list]:
+    """Of the sets of two blocks (or of one, if left is right): nodes with links, how many, and the least node of their
+    local component. Only pairs with a common band (a row of bands a set) are linked; with `band`, only those whose first common one it is."""
     size = np.array([len(s) for s in sets], np.int64)
     side_ = np.array(side)
     a, b = np.flatnonzero(side_ == left), np.flatnonzero(side_ == right)
@@ -192,10 +205,9 @@ def compare(nodes: list, texts: list[str], side: list[int], left: int, right: in
         hit = (common > 0) & (common >= similarity * union - 1e-6)
         if left == right:
             np.fill_diagonal(hit, False)
-        if bands is not None:
-            i, j = np.nonzero(hit)
-            same = bands[a[i]] == bands[b[j]]
-            hit[i, j] = bands[a[i], same.argmax(axis=1)] == band
+        i, j = np.nonzero(hit)
+        same = bands[a[i]] == bands[b[j]]
+        hit[i, j] = same.any(axis=1) & ((band is None) | (bands[a[i], same.argmax(axis=1)] == band))
         if left == right:
             links[a] += hit.sum(1)
         else:
@@ -222,12 +234,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     Texts without words have no links. An id that repeats with other texts is in several classes; ids of null don't
     take part in the least ids. Only the two named columns are read. An empty table gives an empty table.
 
-    Bands are chosen for a recall of 0.999 a pair at the threshold. Texts that share a band meet as edges to the least
-    text of the bucket, never as pairs. A connected group of candidates is compared completely on full sets, in pairs of
-    blocks of 200 texts where it is large; but where its buckets hold fewer pairs than the group, as in a long chain of
-    candidates, texts are compared within buckets, and a pair counts in its first common one. Only counts of links and
-    edges of a spanning forest come out. Thus buckets and groups of any size are done whole, spread over tasks, without
-    emitting pairs, and a group costs no more than its buckets.
+    Bands are chosen for a recall of 0.999 a pair at the threshold. One rule holds for all pairs: those that share a band
+    are verified on full sets, no others. Texts that share a band meet as edges to the least text of the bucket, never as
+    pairs. Where they are verified is a matter of cost alone: members of a connected group of candidates share most of
+    their buckets as a rule, so they are compared group by group; but where its buckets hold fewer pairs than the group,
+    as in a long chain, they are compared within buckets, and a pair counts in its first common one. Either way a pair
+    without a common band isn't linked. Sets of hashes are taken once and travel, in blocks of 200 sets or 500,000 hashes
+    (or one set), to pairs of blocks. Only counts of links and edges of a spanning forest come out. Thus buckets and groups of any
+    size are done whole, spread over tasks, without emitting pairs, and a group costs no more than its buckets.
     """
     signed, info = _grouped(docs, words, similarity, id_col, text_col)
     return signed.select(F.col("id").alias(id_col), "node").join(info, "node").select(id_col, "class_id", "class_size", "n_links", "group_id", "node", "head")
@@ -239,43 +253,45 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     d = docs.select(F.col(id_col), F.col(text_col))
     signed = written(_signed(d, id_col, text_col, words, similarity), "signatures")
     key = lambda i, node: F.coalesce(i.cast("string"), F.concat(F.lit("~"), node))
-    nodes = written(signed.groupBy("node").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(key(F.col("id"), F.col("node"))).alias("key"), F.first("bands").alias("bands")), "classes")
-    members = nodes.select(F.explode("bands").alias("band"), "node")
-    buckets = written(members.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
-    shared = written(members.join(buckets, "band").select("node", "band", "a", "k"), "memberships")
+    nodes = written(signed.groupBy("node").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(key(F.col("id"), F.col("node"))).alias("key"), F.first("bands").alias("bands"), F.first("size").alias("size")), "classes")
+    members = nodes.select(F.explode("bands").alias("band"), "node", "size")
+    blocks = lambda k, size: F.ceil(F.greatest(F.col(k) / BLOCK, F.col(size) / HASHES_A_BLOCK)).cast("int")
+    buckets = written(members.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k"), F.sum("size").alias("all")).filter("k > 1"), "buckets")
+    shared = written(members.join(buckets, "band").select("node", "band", "a", blocks("k", "all").alias("n")), "memberships")
     reps = shared.groupBy("node").agg(F.array_sort(F.collect_set("a")).alias("reps"))
     # A text is in as many buckets as there are bands; the least texts of these meet at the least of all.
     edges = reps.select(F.element_at("reps", 1).alias("a"), F.explode(F.concat("reps", F.array("node"))).alias("b")).distinct()
     candidates = components(edges, "candidates")
-    # Groups of more than one block are compared in the cheaper way: all pairs of the group, or those of its buckets.
+    # Groups of more than one block are compared where it costs less: group by group, or within their buckets.
     pairs = buckets.join(candidates, F.col("a") == F.col("v")).groupBy("root").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("pairs"))
-    big = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).join(pairs, "root")
-    big = big.select("root", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"), (F.col("pairs") < F.col("m").cast("double") * F.col("m")).alias("by_bucket"))
+    sized = candidates.join(nodes.select(F.col("node").alias("v"), "size"), "v")
+    big = sized.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("all")).withColumn("n", blocks("m", "all")).filter("n > 1").join(pairs, "root")
+    big = big.select("root", "n", (F.col("pairs") < F.col("m").cast("double") * F.col("m")).alias("sparse"))
     placed = candidates.withColumn("salt", salt("v")).join(salted(big), ["root", "salt"], "left")
-    placed = written(placed.select("root", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("by_bucket", F.lit(False)).alias("by_bucket"), F.col("v").alias("node")), "placed")
+    placed = written(placed.select("root", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("sparse", F.lit(False)).alias("sparse"), F.col("v").alias("node")), "placed")
     side = lambda: F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("side")
-    whole = placed.filter("not by_bucket").select("node", F.col("root").alias("g"), F.lit(None).cast("long").alias("band"), "n", side())
-    inside = shared.join(placed.filter("by_bucket").select("node"), "node").withColumn("n", F.ceil(F.col("k") / BLOCK).cast("int"))
+    whole = placed.filter("not sparse").select("node", F.col("root").alias("g"), F.lit(None).cast("long").alias("band"), "n", side())
+    inside = shared.join(placed.filter("sparse").select("node"), "node")
     inside = inside.select("node", F.col("band").cast("string").alias("g"), "band", "n", side())
     tasks = whole.unionByName(inside).select("node", "g", "band", "side", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     tasks = tasks.groupBy("node").agg(F.collect_list(F.struct("g", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")).alias("tasks"))
     tasks = tasks.join(nodes.select("node", "key", "class_id", "bands"), "node")
     texts = d.select(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("at"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("key", key(F.col("id"), F.col("at")))
-    dealt = texts.join(tasks, "key").filter("at = node").select("node", "class_id", "text", "bands", F.explode("tasks").alias("x"))
-    dealt = dealt.select("x.g", "x.band", "x.i", "x.j", "x.side", vertex("class_id", "node").alias("vertex"), "text", F.when(F.col("x.band").isNotNull(), F.col("bands")).alias("bands"))
+    found = _hashed(texts.join(tasks, "key").filter("at = node").select("node", "class_id", "text", "bands", "tasks"), words)
+    dealt = found.select("node", "class_id", "sets", "bands", F.explode("tasks").alias("x"))
+    dealt = dealt.select("x.g", "x.band", "x.i", "x.j", "x.side", vertex("class_id", "node").alias("vertex"), "sets", "bands")
     names, vertex_type = ("none", "id", "node"), f"struct<none:boolean,id:{kind},node:string>"
 
     def run(key_: tuple, rows: pa.Table) -> pa.Table:
         _, band, left, right = (x.as_py() for x in key_)
         seen: dict[tuple, tuple] = {}
-        for v, at, text, own in zip(*(rows.column(c).to_pylist() for c in ("vertex", "side", "text", "bands")), strict=True):
+        for v, at, held, own in zip(*(rows.column(c).to_pylist() for c in ("vertex", "side", "sets", "bands")), strict=True):
             # A missing id sorts behind all others, as in the table.
-            seen[tuple(v[n] if v[n] is not None or n != "id" else "" for n in names)] = (v, text, at, own)
+            seen[tuple(v[n] if v[n] is not None or n != "id" else "" for n in names)] = (v, np.frombuffer(held, np.uint64), at, own)
         order = sorted(seen, key=lambda k: (k[0], k[1] if not k[0] else 0, k[2]))
         got = [seen[k] for k in order]
-        bands = np.array([r[3] for r in got], np.int64) if band is not None else None
-        found = compare(list(range(len(got))), [r[1] for r in got], [r[2] for r in got], left, right, words, similarity, bands, band or 0)
+        found = compare(list(range(len(got))), [r[1] for r in got], [r[2] for r in got], left, right, similarity, np.array([r[3] for r in got], np.int64), band)
         kinds = pa.struct([("none", pa.bool_()), ("id", rows.schema.field("vertex").type.field("id").type), ("node", pa.string())])
         return pa.table({"a": pa.array([got[i][0] for i in found[0]], kinds), "links": pa.array(found[1], pa.int64()), "b": pa.array([got[i][0] for i in found[2]], kinds)})
 
@@ -284,7 +300,7 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     # Vertices sort by their least id, so that a component's root is the group's head itself.
     groups = components(verified.select("a", "b"), "groups")
     of = groups.select(F.col("v.node").alias("node"), F.col("root.id").alias("group_id"), F.col("root.node").alias("head"))
-    info = nodes.drop("bands", "key").join(links, "node", "left").join(of, "node", "left")
+    info = nodes.drop("bands", "key", "size").join(links, "node", "left").join(of, "node", "left")
     info = info.select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("head", "node").alias("head"))
     # Written, so that the last join stands alone and a class with very many copies may be split.
     info = written(info, "class-info")
