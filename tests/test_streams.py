@@ -3,9 +3,9 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
 
-from tidemark.streaming import deferral, shadow
+
+from tidemark.streaming import deferral, shadow, windows
 
 D = dt.date.fromisoformat
 PLANS = "strategy string, month string, fill_date date, sells array<string>, buys array<string>, contrib double"
@@ -38,3 +38,50 @@ def test_plans_wait_for_their_fill_day(spark, tmp_path):
         assert (k != 0 or want == {("b", "2026-02")}) and (k != 1 or not want)
     assert {r[:2] for r in written} == {("a", "2026-02"), ("b", "2026-02"), ("a", "2026-04"), ("b", "2026-04"), ("a", "2026-05")}
     assert next(r[4] for r in written if r[:2] == ("a", "2026-02")) == ["A", "B"]
+
+
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def test_windows_and_sessions_of_unordered_repeated_rows(spark, tmp_path):
+    """Three files of shuffled rows with repeats, the second run again after a failed write: sums equal those of the distinct rows."""
+    rng, at = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(k, at + dt.timedelta(minutes=rng.randint(0, 1000)), k % 5, "ab"[k % 2], float(k)) for k in range(200)]
+    parts = [rows[:80], rows[60:140] + rows[:5], rows[130:] + rows[100:110]]
+    src, schema = f"file://{tmp_path}/in", spark.createDataFrame([], EVENTS).schema
+    once = spark.createDataFrame(rows, EVENTS)
+    for name, op, keys in (("windows", lambda d: windows.window_counts(d, "1 hour"), ["start", "event_type"]), ("sessions", windows.sessions, ["user_id", "start"])):
+        out, append = f"file://{tmp_path}/{name}", name == "sessions"
+        for k, part in enumerate(parts):
+            rng.shuffle(part)
+            if name == "windows":
+                spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(src)
+            if not append:
+                stream = op(windows.distinct_events(spark.readStream.schema(schema).parquet(src)))
+                q = windows.keyed_writer(stream, out, f"file://{tmp_path}/cp-{name}").trigger(availableNow=True).start()
+                q.awaitTermination()
+                if k == 1:  # the batch's folder is written, its commit is lost: it runs again under the same number
+                    commits = tmp_path / f"cp-{name}" / "commits"
+                    last = max((p for p in commits.iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+                    last.unlink()
+                    (commits / f".{last.name}.crc").unlink(missing_ok=True)
+                    windows.keyed_writer(op(windows.distinct_events(spark.readStream.schema(schema).parquet(src))), out, f"file://{tmp_path}/cp-{name}").trigger(availableNow=True).start().awaitTermination()
+        if append:  # sessions come out whole, once the watermark has passed them
+            late = spark.createDataFrame([(999, at + dt.timedelta(days=9), 0, "a", 0.0)], EVENTS)
+            late.coalesce(1).write.mode("append").parquet(src)
+            stream = op(windows.distinct_events(spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(src)))
+            windows.keyed_writer(stream, out, f"file://{tmp_path}/cp-{name}", "append").trigger(availableNow=True).start().awaitTermination()
+        got = windows.newest(spark, out, keys)
+        want = op(once)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
+
+
+def test_rows_behind_the_watermark_change_nothing(spark, tmp_path):
+    at, src, out = dt.datetime(2024, 1, 10), f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    schema = spark.createDataFrame([], EVENTS).schema
+    for rows in ([(1, at, 1, "a", 1.0)], [(2, at + dt.timedelta(days=3), 1, "a", 2.0)], [(3, at - dt.timedelta(days=2), 1, "a", 4.0), (2, at + dt.timedelta(days=3), 1, "a", 2.0)]):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(src)
+        stream = windows.window_counts(windows.distinct_events(spark.readStream.schema(schema).parquet(src)), "1 day")
+        windows.keyed_writer(stream, out, f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = windows.newest(spark, out, ["start", "event_type"]).collect()
+    assert sorted((r["start"], r["n"], r["total"]) for r in got) == [(at, 1, 1.0), (at + dt.timedelta(days=3), 1, 2.0)]

@@ -1103,9 +1103,17 @@ def gates(spark, sf):
 
 @query("SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf):
-    from tidemark.streaming import shadow
+    from tidemark.streaming import windows
+
+    return windows.window_counts(windows.distinct_events(V.table(spark, sf, "events"))).withColumn("total", F.round("total", 4))
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf):
+    from tidemark.streaming import windows
 
-    return shadow.monthly_counts(V.table(spark, sf, "events")).withColumn("total", F.round("total", 4))
+    return windows.sessions(windows.distinct_events(V.table(spark, sf, "events"))).withColumn("total", F.round("total", 4))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM events")

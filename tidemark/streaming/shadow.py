@@ -50,11 +50,6 @@ def advance(plans: DataFrame, delay: str = "5 days") -> DataFrame:
     return plans.withWatermark("ts", delay).groupBy("strategy").applyInPandasWithState(step, DECISION, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def monthly_counts(events: DataFrame, delay: str = "1 day", width: str = "7 days") -> DataFrame:
-    """Events by tumbling window and type, with a watermark for late rows."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
-
-
 def quota_use(requests: DataFrame, seconds: int = 3600) -> DataFrame:
     """Adds in_window: requests of the same key in the last `seconds`, this one included."""
     from pyspark.sql import Window
