@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import flag, ratio
-from tidemark.operators.panel import by_ticker
+from tidemark.operators.panel import FILL, align, by_ticker, chunks
 
 BAND = 0.02
 BREADTH = 0.40
@@ -32,17 +32,18 @@ def full_mean(col: str, n: int, w):
     return F.when(F.count(col).over(f) == n, F.avg(col).over(f))
 
 
-def factors(filled: DataFrame, s: Spec = Spec()) -> DataFrame:
+def factors(filled: DataFrame, s: Spec = Spec(), by: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """Adds close, n_days, returns, volatility, momentum, the year's high, moving averages, trend and eligibility.
 
-    Rows only look back: the values at a day don't change with later ones.
+    Rows only look back: the values at a day don't change with later ones. n_days counts `raw` from the first row of a
+    group of `by`, and on from the column `days_before` where there is one.
     """
-    w = by_ticker()
+    w = Window.partitionBy(*by).orderBy("rn")
     back = lambda k: F.lag("px", k).over(w)
     year = w.rowsBetween(-(s.year - 1), 0)
     d = filled.withColumn("ret", ratio(F.col("px"), back(1)) - 1).withColumn("c_m", back(s.month)).withColumn("c_h", back(s.half)).withColumn("c_y", back(s.year))
     d = d.withColumns({
-        "n_days": F.count("raw").over(w.rowsBetween(Window.unboundedPreceding, 0)), "sd": F.stddev_samp("ret").over(year), "hi": F.max("px").over(year),
+        "n_days": F.count("raw").over(w.rowsBetween(Window.unboundedPreceding, 0)) + (F.col("days_before") if "days_before" in filled.columns else F.lit(0)), "sd": F.stddev_samp("ret").over(year), "hi": F.max("px").over(year),
         "sma50": full_mean("px", s.short, w), "sma200": full_mean("px", s.long, w), "n_ret": F.count("ret").over(year),
     })
     d = d.withColumns({
@@ -54,7 +55,28 @@ def factors(filled: DataFrame, s: Spec = Spec()) -> DataFrame:
         "mom_raw": ratio(F.col("ret_12_1"), F.col("vol_252")), "dd_52w": F.col("hi52") - 1, "trend": F.col("above200") & flag(F.col("sma50") > F.col("sma200")),
         "eligible": (F.col("n_days") >= s.history) & flag(F.col("px") > 0),
     })
-    return d.select(*FACTOR_COLUMNS)
+    return d.select(*FACTOR_COLUMNS, *[c for c in ("own",) if c in d.columns])
+
+
+def chunked_factors(panel: DataFrame, cal: DataFrame, s: Spec = Spec(), size: int = 1024) -> DataFrame:
+    """The factor frame of `factors(fill(align(panel, cal)))`, with a ticker's series cut into pieces of `size` calendar rows.
+
+    A piece carries the rows before it that its windows reach. What reaches further back, the count of days with a close,
+    is summed by piece first: a table of tickers times pieces, broadcast by Spark only if that is small.
+    """
+    halo = max(s.year + 1, s.long, s.half, s.month) + FILL + 1
+    p = panel.filter(F.col("close").isNotNull() & F.col("ticker").isNotNull()).join(F.broadcast(cal), "d")
+    lead = Window.partitionBy("ticker").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    n = p.groupBy("ticker", F.floor((F.col("rn") - 1) / size).cast("int").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    every = cal.agg(F.max("rn").alias("rows")).select(F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / size).cast("int"))).alias("chunk"))
+    n = panel.select("ticker").distinct().crossJoin(F.broadcast(every)).join(n, ["ticker", "chunk"], "left")
+    n = n.select("ticker", "chunk", F.coalesce(F.sum("n").over(lead), F.lit(0)).alias("days"))
+    d = chunks(align(panel, cal), size, halo).join(n, ["ticker", "chunk"])
+    w = Window.partitionBy("ticker", "chunk").orderBy("rn")
+    d = d.withColumn("px", F.last("raw", True).over(w.rowsBetween(-FILL, 0)))
+    # Days of the halo are counted in the piece that owns them.
+    extra = F.count(F.when(~F.col("own"), F.col("raw"))).over(Window.partitionBy("ticker", "chunk"))
+    return factors(d.withColumn("days_before", F.col("days") - extra), s, ("ticker", "chunk")).filter("own").drop("own")
 
 
 FACTOR_COLUMNS = ("ticker", "grp", "d", "rn", "close", "n_days", "ret", "ret_1m", "ret_6m", "ret_12m", "ret_12_1", "vol_252", "mom_raw", "hi52", "dd_52w", "sma50", "sma200", "above200", "trend", "eligible")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import role_category
+from tidemark.operators.panel import running, segment
 
 LISTED_FROM = "2026-09-01"
 
@@ -28,12 +29,12 @@ def latest_of_year(scores: DataFrame, year: int) -> DataFrame:
     return scores.filter(F.year("filed") == year).groupBy("cik").agg(F.max_by(F.struct(*cols), F.struct("filed", "acc")).alias("__x")).select("cik", "__x.*")
 
 
-def match_listing(claims: DataFrame, listings: DataFrame) -> DataFrame:
+def match_listing(claims: DataFrame, listings: DataFrame, seconds: int = 365 * 86400) -> DataFrame:
     """claims (claim, ticker, d0, d1) with the latest-ending listing of the ticker that overlaps d0..d1, or nulls.
 
     Ties go to the later start, then the least owner. A sweep, not a range join: distinct intervals and listings of a
-    ticker in one order of time, and the running greatest (end, start) of what began by d1 is the match if it ends at d0
-    or later. What is swept is bounded by the calendar, however many claims or listings repeat an interval; claims meet
+    ticker in order of time, and the running greatest (end, start) of what began by d1 is the match if it ends at d0
+    or later. It runs within years, with the greatest of earlier years carried, so one ticker is many tasks. Claims meet
     their interval in an equi-join that adaptive execution may split. Null tickers and days match nothing. Of rows with
     one claim and ticker the best match stays.
     """
@@ -42,8 +43,8 @@ def match_listing(claims: DataFrame, listings: DataFrame) -> DataFrame:
     spans = spans.select("ticker", F.lit(None).cast("date").alias("d0"), F.col("start").alias("d1"), F.lit(0).alias("side"), best.alias("l"))
     asked = claims.select("ticker", "d0", "d1").filter("ticker is not null and d0 is not null and d1 is not null").distinct()
     asked = asked.select("ticker", "d0", "d1", F.lit(1).alias("side"), F.lit(None).cast(spans.schema["l"].dataType).alias("l"))
-    w = Window.partitionBy("ticker").orderBy("d1", "side").rowsBetween(Window.unboundedPreceding, 0)
-    swept = spans.unionByName(asked).withColumn("l", F.max("l").over(w)).filter((F.col("side") == 1) & (F.col("l.end") >= F.col("d0")))
+    rows = spans.unionByName(asked).withColumn("part", segment(F.col("d1"), seconds))
+    swept = running(rows, "ticker", "part", ["d1", "side"], "l", "max", "best").withColumn("l", F.col("best")).filter((F.col("side") == 1) & (F.col("l.end") >= F.col("d0")))
     found = swept.select("ticker", "d0", "d1", F.col("l.start").alias("l_start"), F.col("l.end").alias("l_end"), "l.owner", "l.exchange")
     w = Window.partitionBy("claim", "ticker").orderBy(F.col("l_end").desc_nulls_last(), F.col("l_start").desc(), "owner")
     return claims.join(found, ["ticker", "d0", "d1"], "left").withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
@@ -86,6 +87,11 @@ def status_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("cik", F.col("status").alias("old")).join(new.select("cik", F.col("status").alias("new")), "cik", "full").filter(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def stale_series(diff: DataFrame, prefix: str = "C") -> DataFrame:
+    """(ticker) of the stored series to delete: those of companies that were listed and whose status is another now."""
+    return diff.filter(F.col("old") == "listed").select(F.concat(F.lit(prefix), F.col("cik").cast("string")).alias("ticker")).distinct()
+
+
 def key_spans(prices: DataFrame) -> DataFrame:
     """(ticker, first, last) of the keys made of a C and digits."""
     return prices.filter(F.col("ticker").rlike(r"^C\d+$") & F.col("close").isNotNull()).groupBy("ticker").agg(F.min("d").alias("first"), F.max("d").alias("last"))

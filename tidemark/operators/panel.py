@@ -30,6 +30,17 @@ def fill(grid: DataFrame, limit: int = FILL) -> DataFrame:
     return grid.withColumn("px", F.last("raw", True).over(w.rowsBetween(-limit, 0))).withColumn("full", F.last("raw", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def chunks(grid: DataFrame, size: int = 1024, halo: int = 256) -> DataFrame:
+    """grid dealt into pieces of `size` calendar rows: adds chunk, and own; each piece also has the `halo` rows before it, not own.
+
+    Windows that look back at most `halo` rows are right on own rows when they are cut by (ticker, chunk), so a long
+    series is many tasks. A row is in one piece, or in the next ones as well if it is near their start.
+    """
+    at = lambda r: F.floor((r - 1) / size).cast("int")
+    d = grid.select("*", F.explode(F.sequence(at(F.col("rn")), at(F.col("rn") + halo))).alias("chunk"))
+    return d.withColumn("own", F.col("chunk") == at(F.col("rn")))
+
+
 def month_ends(cal: DataFrame) -> DataFrame:
     """(d): the last day present in each month."""
     return cal.groupBy(F.trunc("d", "MM").alias("m")).agg(F.max("d").alias("d")).select("d")
@@ -69,27 +80,55 @@ def coverage(grid: DataFrame, rows: int = STALE, floor: float = 0.90) -> DataFra
     return g.agg(F.sum("fresh").alias("fresh"), F.count(F.lit(1)).alias("tickers")).withColumn("coverage", F.col("fresh") / F.col("tickers")).withColumn("ok", F.col("coverage") >= floor)
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: str, out: str) -> DataFrame:
-    """left with the value of right's latest row at or before left_time, by key: one union, one sort, no range join.
+SEGMENT = 30 * 86400  # seconds of a segment of time
+
 
-    Of right rows with one key and time the greatest value counts.
+def segment(t, seconds: int = SEGMENT):  # noqa: ANN001, ANN201
+    """Number of the segment of a day or time; null for null."""
+    return F.floor(F.unix_seconds(t.cast("timestamp")) / seconds)
+
+
+def running(rows: DataFrame, on: str, seg: str, order: list[str], value: str, how: str, out: str) -> DataFrame:
+    """Adds the last (or first, or greatest) value that isn't null of the rows up to this one (`first`: from this one on).
+
+    Rows of a key are swept within their segments of time, which one task each can hold, however long the key is. One value
+    of each segment, a table of keys times segments, is carried across in a second small window. `seg` must not fall in
+    the order of `order`. Null keys are a key, a null segment the first one.
+    """
+    w = Window.partitionBy(on, seg).orderBy(*order)
+    to_here, on_wards = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    by, known = F.struct(*order), F.col(value).isNotNull()
+    local = {"last": F.last(value, True).over(to_here), "first": F.first(value, True).over(on_wards), "max": F.max(value).over(to_here)}[how]
+    one = {"last": F.max_by(value, F.when(known, by)), "first": F.min_by(value, F.when(known, by)), "max": F.max(value)}[how]
+    across = Window.partitionBy("__on").orderBy(F.col("__seg").asc_nulls_first())
+    before, behind = across.rowsBetween(Window.unboundedPreceding, -1), across.rowsBetween(1, Window.unboundedFollowing)
+    carried = {"last": F.last("__one", True).over(before), "first": F.first("__one", True).over(behind), "max": F.max("__one").over(before)}[how]
+    segs = rows.groupBy(F.col(on).alias("__on"), F.col(seg).alias("__seg")).agg(one.alias("__one")).select("__on", "__seg", carried.alias("__carried"))
+    d = rows.withColumn("__local", local).join(segs.filter("__carried is not null"), F.col(on).eqNullSafe(F.col("__on")) & F.col(seg).eqNullSafe(F.col("__seg")), "left")
+    both = F.greatest("__local", "__carried") if how == "max" else F.coalesce("__local", "__carried")
+    return d.withColumn(out, both).drop("__local", "__carried", "__on", "__seg")
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: str, out: str, seconds: int = SEGMENT) -> DataFrame:
+    """left with the value of right's latest row at or before left_time, by key: a union swept by segments of time, no range join.
+
+    Of right rows with one key and time the greatest value counts; those without time or value, and left rows without time, meet nothing.
     """
-    r = right.groupBy(on, F.col(right_time).alias("__t")).agg(F.max(value).alias("__v"))
+    r = right.filter(F.col(right_time).isNotNull()).groupBy(on, F.col(right_time).alias("__t")).agg(F.max(value).alias("__v"))
     cols = [F.col(c) for c in left.columns]
     rows = left.select(*cols, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(dict(r.dtypes)["__v"]).alias("__v"))
     blank = [F.col(on) if c == on else F.lit(None).cast(t).alias(c) for c, t in left.dtypes]
-    rows = rows.unionByName(r.select(*blank, "__t", F.lit(0).alias("__side"), "__v"))
-    w = Window.partitionBy(on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.last("__v", True).over(w)).filter("__side = 1").select(*left.columns, out)
+    rows = rows.unionByName(r.select(*blank, "__t", F.lit(0).alias("__side"), "__v")).withColumn("__part", segment(F.col("__t"), seconds))
+    return running(rows, on, "__part", ["__t", "__side"], "__v", "last", out).filter("__side = 1").select(*left.columns, out)
 
 
-def forward_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, out: str) -> DataFrame:
-    """left with right's first time at or after left_time, by key, or null."""
-    rows = left.select(*[F.col(c) for c in left.columns], F.col(left_time).alias("__t"), F.lit(0).alias("__side"))
+def forward_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, out: str, seconds: int = SEGMENT) -> DataFrame:
+    """left with right's first time at or after left_time, by key, or null. A left row without time stands before all times."""
+    rows = left.select(*[F.col(c) for c in left.columns], F.col(left_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(dict(right.dtypes)[right_time]).alias("__v"))
     blank = [F.col(on) if c == on else F.lit(None).cast(t).alias(c) for c, t in left.dtypes]
-    rows = rows.unionByName(right.select(*blank, F.col(right_time).alias("__t"), F.lit(1).alias("__side")).filter("__t is not null"))
-    w = Window.partitionBy(on).orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn(out, F.first(F.when(F.col("__side") == 1, F.col("__t")), True).over(w)).filter("__side = 0").select(*left.columns, out)
+    ahead = right.filter(F.col(right_time).isNotNull()).select(*blank, F.col(right_time).alias("__t"), F.lit(1).alias("__side"), F.col(right_time).alias("__v"))
+    rows = rows.unionByName(ahead).withColumn("__part", segment(F.col("__t"), seconds))
+    return running(rows, on, "__part", ["__t", "__side"], "__v", "first", out).filter("__side = 0").select(*left.columns, out)
 
 
 def prune_history(grid: DataFrame, first, lookback: int) -> DataFrame:

@@ -27,7 +27,7 @@ ORACLES: dict[str, str] = {}
 
 #: Columns that are days, and the queries that have them.
 DAYS: dict[str, tuple[str, ...]] = {
-    "d": ("month_ends", "completed_month_ends", "calendar_panel", "ffill_limited", "ffill_full", "daily_panel_gaps", "next_fill_date", "asof_half_coverage", "lag_returns", "volatility_252", "momentum_raw", "high_52w", "sma_complete", "trend_flags", "factor_frame", "monthly_sma10", "band_signals", "fip_id", "two_month_below", "regime_breadth", "composite_score", "composite_with_revisions", "reason_text", "grades_labels", "tie_break_order", "rule_labels_warnings", "group_capped_top10", "rotation_buys", "fip_pool", "sell_rules", "wide_to_long", "dca_closed_form", "ew_hold_closed_form", "stress_clones",),
+    "d": ("corrected_frames", "month_ends", "completed_month_ends", "calendar_panel", "ffill_limited", "ffill_full", "daily_panel_gaps", "next_fill_date", "asof_half_coverage", "lag_returns", "volatility_252", "momentum_raw", "high_52w", "sma_complete", "trend_flags", "factor_frame", "monthly_sma10", "band_signals", "fip_id", "two_month_below", "regime_breadth", "composite_score", "composite_with_revisions", "reason_text", "grades_labels", "tie_break_order", "rule_labels_warnings", "group_capped_top10", "rotation_buys", "fip_pool", "sell_rules", "wide_to_long", "dca_closed_form", "ew_hold_closed_form", "stress_clones",),
     "exec": ("next_fill_date", "twr_monthly", "simulation_equals_closed_form",),
     "first": ("pruned_history", "key_spans",),
     "last": ("pruned_history", "key_spans",),
@@ -235,7 +235,9 @@ _factor("trend_flags", "above200", "trend", "eligible", "n_days")
 @query(chain(*FULL) + """SELECT ticker, d, round(close, 6) AS close, n_days, round(ret_1m, 6) AS ret_1m, round(ret_12_1, 6) AS ret_12_1, round(vol_252, 6) AS vol_252, round(mom_raw, 6) AS mom_raw,
   round(hi52, 6) AS hi52, round(sma50, 6) AS sma50, round(sma200, 6) AS sma200, above200, trend, eligible FROM mfac""")
 def factor_frame(spark, sf):
-    return r6(mfac(spark, sf).select("ticker", "d", "close", "n_days", "ret_1m", "ret_12_1", "vol_252", "mom_raw", "hi52", "sma50", "sma200", "above200", "trend", "eligible"))
+    p = panel(spark, sf)
+    frame = FA.chunked_factors(p, P.calendar(p)).join(ends(spark, sf), "d", "left_semi")
+    return r6(frame.select("ticker", "d", "close", "n_days", "ret_1m", "ret_12_1", "vol_252", "mom_raw", "hi52", "sma50", "sma200", "above200", "trend", "eligible"))
 
 
 @query(chain(*FULL) + """, m AS (SELECT ticker, d, close, CASE WHEN count(close) OVER w = 10 THEN avg(close) OVER w END AS level FROM mfac WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
