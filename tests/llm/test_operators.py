@@ -593,6 +593,31 @@ def test_chat_lists_of_calls_and_needs(spark):
     assert sorted(r["pos"] for r in got[2]) == list(range(1, 12)) and [r["kind"] for r in got[3]] == ["call", "result"]
 
 
+def test_rounds_follow_the_longest_chain(spark):
+    """A chain of five calls and a star of 3,000 around it, with a cycle of two and calls behind it: five rounds and one that settles none."""
+    chain = [(1, f"c{k}", f"c{k + 1}") for k in range(5)]
+    star = [(1, f"s{k}", "c5") for k in range(3000)]
+    cycle = [(1, "x", "y"), (1, "y", "x"), (1, "z", "x"), (1, "me", "me"), (1, "v", "x"), (1, "v", "c5")]
+    needs = spark.createDataFrame(chain + star + cycle, "key long, call_id string, need string").withColumn("key", F.col("key").cast("string"))
+    names = sorted({c for _, a, b in chain + star + cycle for c in (a, b)})
+    at = "struct<turn:bigint,tie:string,seq:int>"
+    ids = spark.createDataFrame([("1", c, (k, "", 0), None) for k, c in enumerate(names)], f"key string, call_id string, first_call {at}, first_result {at}")
+    got = {r["call_id"]: r for r in chat.dependency_places(ids, needs).collect()}
+    assert chat.dependency_places.rounds == 6 and {c for c, r in got.items() if r["cyclic"]} == {"x", "y", "z", "me", "v"}
+    spot = lambda c: (got[c]["place"], got[c]["depth"])
+    assert len(got) == len(names) and all(spot(a) > spot(b) for _, a, b in chain + star)
+
+
+def test_chat_edges(spark):
+    """Rows alike in all columns, conversations without turns, very long texts: each row comes out once, at places without gaps."""
+    call = '{"tool_call_id": "a", "name": "search", "arguments": {"query": "' + "q" * 300_000 + '"}}'
+    rows = [(1, 0, "assistant", call)] * 3 + [(1, 1, "tool", '{"tool_call_id": "a"}')] * 2 + [(2, None, None, None)] * 4 + [(2, None, "user", "z" * 500_000), (None, None, None, ""), (3, 5, "user", "{" * 50_000)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("link", F.lit("clash"))
+    got = chat.format_chat(d).collect()
+    assert len(got) == len(rows) and all(sorted(r["pos"] for r in got if r["conv_id"] == c) == list(range(1, n + 1)) for c, n in ((1, 5), (2, 5), (3, 1), (None, 1)))
+    assert Counter(r["link"] for r in got) == {"linked": 5, None: 7} and all(len(r["json"]) > 500_000 for r in got if r["text" if "text" in r else "json"].startswith('{"content":"zz'))
+
+
 @pytest.mark.parametrize("name", ["chat_tool_calls", "op10_chat_formatting"])
 def test_chat_queries_equal_their_sql(spark, name):
     import duckdb

@@ -74,36 +74,39 @@ def dependency_places(ids: DataFrame, needs: DataFrame) -> DataFrame:
     all that it needs, directly or through others, and otherwise by turn.
 
     needs: (key, call_id, need) of first calls. A call stands at the greatest (turn, depth) of its own turn and of what
-    it needs, a depth deeper: behind the needed call's result, and behind the call itself where no result came. Rounds
-    follow the longest chain. Calls on a cycle, and behind one, never settle; they are found by a depth beyond their
-    conversation's number of needs, stay at their own turn, and are marked cyclic. An identifier that no call has is ignored.
+    it needs, a depth deeper: behind the needed call's result, and behind the call itself where no result came. Calls are
+    peeled: a round settles those whose needs are all settled, and takes their needs away. The rounds are one more than
+    the longest chain of needs has links, whatever else a conversation holds. What no round settles is on a cycle or
+    behind one: it stays at its own turn and is marked cyclic. An identifier that no call has is ignored.
     """
     spark = ids.sparkSession
     rank = lambda turn: F.coalesce(turn, F.lit(-(1 << 40)))
     calls = ids.filter("first_call is not null").select("key", "call_id", rank(F.col("first_call")["turn"]).alias("turn"), rank(F.col("first_result")["turn"]).alias("result_turn"), F.col("first_result").isNotNull().alias("answered"))
-    edges = needs.join(calls.select("key", F.col("call_id").alias("need")), ["key", "need"], "left_semi")
-    edges = written(edges.select("key", "call_id", "need").distinct(), "call-needs")
-    most = edges.groupBy("key").agg((2 * F.count(F.lit(1)) + 2).alias("most"))
-    state = written(calls.withColumn("place", F.col("turn")).withColumn("depth", F.lit(0)).withColumn("cyclic", F.lit(False)).join(most, "key", "left"), "call-places-0")
-    step = 0
-    while not edges.isEmpty():
-        step += 1
-        end = F.greatest(F.struct("place", (F.col("depth") + 1).alias("depth")), F.when(F.col("answered"), F.struct(F.col("result_turn").alias("place"), F.lit(0).alias("depth"))))
-        needed = state.select("key", F.col("call_id").alias("need"), end.alias("end"), F.col("cyclic").alias("bad"))
-        after = edges.join(needed, ["key", "need"]).groupBy("key", "call_id").agg(F.max("end").alias("end"), F.max("bad").alias("bad"))
-        own = F.struct(F.col("turn").alias("place"), F.lit(0).alias("depth"))
-        new = state.join(after, ["key", "call_id"], "left").withColumn("to", F.greatest(own, F.struct(F.col("end.place").alias("place"), (F.col("end.depth") + 1).alias("depth"))))
-        new = new.withColumn("was", F.col("cyclic")).withColumn("cyclic", F.col("cyclic") | F.coalesce("bad", F.lit(False)) | F.coalesce(F.col("to.depth") > F.col("most"), F.lit(False)))
-        new = new.withColumn("to", F.when(F.col("cyclic"), own).otherwise(F.col("to")))
-        moved = (F.col("to.place") != F.col("place")) | (F.col("to.depth") != F.col("depth")) | (F.col("was") != F.col("cyclic"))
-        new = written(new.select("key", "call_id", "turn", "result_turn", "answered", F.col("to.place").alias("place"), F.col("to.depth").alias("depth"), "cyclic", "most", moved.alias("moved")), f"call-places-{step}")
-        forget(spark, state)
-        done = new.filter("moved").isEmpty()
-        folder, state = new.folder, new.drop("moved")
-        state.folder = folder
-        if done:
-            break
-    return ids.join(state.select("key", "call_id", "place", "depth", "cyclic"), ["key", "call_id"], "left")
+    calls = written(calls, "call-turns")
+    edges = needs.join(calls.select("key", F.col("call_id").alias("need")), ["key", "need"], "left_semi").select("key", "call_id", "need").distinct()
+    end_type = "struct<place:bigint,depth:int>"
+    edges = written(edges.withColumn("end", F.lit(None).cast(end_type)), "call-needs-0")
+    own = F.struct(F.col("turn").alias("place"), F.lit(0).alias("depth")).cast(end_type)
+    settled = written(calls.join(edges.select("key", "call_id").distinct(), ["key", "call_id"], "left_anti").withColumn("at", own), "call-places-0")
+    rounds = [settled]
+    while not edges.isEmpty() and not settled.isEmpty():
+        place, depth = F.col("at")["place"], F.col("at")["depth"]
+        end = F.greatest(F.struct(place.alias("place"), (depth + 1).alias("depth")), F.when(F.col("answered"), F.struct(F.col("result_turn").alias("place"), F.lit(0).alias("depth")))).cast(end_type)
+        ends = settled.select("key", F.col("call_id").alias("need"), end.alias("now"))
+        met = edges.join(ends, ["key", "need"], "left").select("key", "call_id", "need", F.coalesce("end", "now").alias("end"))
+        ready = met.groupBy("key", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("end").alias("known"), F.max("end").alias("end")).filter("n = known").select("key", "call_id", "end")
+        to = F.greatest(own, F.struct(F.col("end")["place"].alias("place"), (F.col("end")["depth"] + 1).alias("depth")).cast(end_type))
+        settled = written(calls.join(ready, ["key", "call_id"]).withColumn("at", to).drop("end"), f"call-places-{len(rounds)}")
+        before, edges = edges, written(met.join(settled.select("key", "call_id"), ["key", "call_id"], "left_anti"), f"call-needs-{len(rounds)}")
+        forget(spark, before)
+        rounds.append(settled)
+    dependency_places.rounds = len(rounds) - 1
+    done = spark.read.schema(settled.schema).parquet(*[r.folder for r in rounds])
+    cyclic = calls.join(edges.select("key", "call_id").distinct(), ["key", "call_id"]).withColumn("at", own)
+    every = done.withColumn("cyclic", F.lit(False)).unionByName(cyclic.withColumn("cyclic", F.lit(True)))
+    every = written(every.select("key", "call_id", F.col("at.place").alias("place"), F.col("at.depth").alias("depth"), "cyclic"), "call-places")
+    forget(spark, edges, calls, *rounds)
+    return ids.join(every, ["key", "call_id"], "left")
 
 
 def format_chat(conversations: DataFrame, tools: dict | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
