@@ -95,3 +95,14 @@ def test_step_accounting(spark):
     st = F.struct(F.col("s").alias("shares"), F.col("b").alias("basis"), F.lit(100.0).alias("cash")).cast(L.STATE)
     r = d.select(L.step(st, F.array(F.lit("A")), F.array(F.lit("B"), F.lit("C"), F.lit("D")), F.col("px"), F.lit(1000.0), 0.0).alias("r")).first()["r"]
     assert r["shares"] == {"B": 5 + 800 / 60, "C": 40.0} and r["basis"] == {"B": 1000.0, "C": 800.0} and r["cash"] == 0.0
+
+
+def test_selection_ties_fall_in_the_listed_order(spark):
+    """Equal returns to ten places: sells first, then gates, then weights W3, W1, W2; a deeper drawdown is out, whatever it returns."""
+    from tidemark.operators import select as SE
+
+    row = lambda w, g, s, x=0.2, dd=-0.1: (f"{w}-{g}-{s}-Nvar", w, g, s, x, dd)
+    rows = [row("W2", "G0", "S1"), row("W3", "G1", "S1"), row("W1", "G0", "S2"), row("W3", "G0", "S1", 0.2 - 1e-13), row("W1", "G0", "S1"), row("W1", "G1", "S1", 0.5, -0.3), row("W1", "G0", "S1", None)]
+    d = spark.createDataFrame(rows, "name string, weights string, gate string, sell string, xirr double, max_dd double")
+    pick = lambda d, floor=-0.25: [r["name"] for r in SE.select_config(d, F.lit(floor)).collect()]
+    assert pick(d) == ["W3-G0-S1-Nvar"] and pick(d.filter("weights <> 'W3'")) == ["W1-G0-S1-Nvar"] and pick(d, -0.4) == ["W1-G1-S1-Nvar"] and pick(d, 0.0) == []

@@ -210,3 +210,18 @@ def test_facts_of_an_analysis(spark):
     assert [one(spark, S.fixed(F.col("v")), v=v) for v in (0.125, 2.0)] == ["0.12", "2.00"] and one(spark, S.grouped(F.col("v"), 0), v=1234567.0) == "1,234,567"
     assert one(spark, S.dashed(F.col("t")), t=" brk.b ") == "BRK-B" and one(spark, S.config_name(*(F.lit(x) for x in ("W2", "G1", "S2", "Nvar"))), t="") == "W2-G1-S2-Nvar"
     assert one(spark, S.percent(F.lit(None).cast("double")), t="") == S.MISSING
+
+
+def test_index_page_ranks(spark):
+    """Own block before others whatever their order, first annual form, else the largest readable document; null pages."""
+    from tidemark.operators import filing_scan as FS
+
+    line = lambda *cells: "<TR class='x'>" + "".join(f'<td scope="row">{c}</td>' for c in cells) + "</TR>"
+    doc = lambda href, kind, size: line(1, "d", f'<a href="{href}">f</a>', kind, size)
+    other, own = '<div class="companyInfo">CIK=0000000009 SIC=6770</div>', '<div class="companyInfo">CIK=0000000007 SIC</acronym>: <b> <i>3674</b></div>'
+    rest = doc("/a/ex.htm", "EX-99", "9,999") + doc("/a/p.htm", "", "120") + doc("/a/q.TXT", "cover", "12 0") + doc("/a/0000000001-20-000001.txt", "", 99999) + line(1, 2, 3) + "<tr><td>1</td><td>no link</td><td></td><td>10-K</td><td>5</td></tr>"
+    pages = [
+        other + own + rest + doc("/ix?doc=/a/main.htm", "<b>10-k405</b>", 3) + doc("/a/second.htm", "10-K", 9), own + rest, other + "<div class=\"companyInfo\">CIK=0000000007</div>", rest.replace("/a/p.htm", "/a/p.pdf").replace("q.TXT", "q.jpg"), "", None]
+    d = spark.createDataFrame(list(enumerate(pages)), "i int, page string").select("i", FS.index_page(F.col("page"), F.lit(7)).alias("x")).select("i", "x.*").orderBy("i")
+    at = "https://www.sec.gov/a/"
+    assert [tuple(r)[1:] for r in d.collect()] == [(3674, at + "main.htm"), (3674, at + "q.TXT"), (6770, None), (None, None), (None, None), (None, None)]

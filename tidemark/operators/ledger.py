@@ -259,7 +259,8 @@ def simulate(scenarios: DataFrame, context: DataFrame, tasks: int | None = None,
     that it lacks); without it n of the scenario in all months. Null flags are false; a pick of another name fails.
     """
     spark = scenarios.sparkSession
-    parts = tasks or spark.sparkContext.defaultParallelism
+    # Each part reads all of the context: no more parts than scenarios need, a few dozen of these each.
+    parts = tasks or max(1, min(spark.sparkContext.defaultParallelism, -(-scenarios.count() // 40)))
     keyed = "weights" in context.columns
     weight = lambda d: F.coalesce(F.col("weights"), F.lit("")) if keyed else F.lit("")
     kinds = dict(scenarios.dtypes)

@@ -10,6 +10,7 @@ from tidemark.operators import ledger as L
 from tidemark.operators import metrics as M
 from tidemark.operators import score as SC
 from tidemark.operators import select as SE
+from tidemark.operators.panel import asof_join, forward_join
 
 
 def score_alongside(universe: DataFrame, extra: DataFrame, weights: str = "W2", use_revisions: bool = False, by: tuple[str, ...] = ("d",)) -> DataFrame:
@@ -52,19 +53,20 @@ def track_record(picks: DataFrame, closes: DataFrame, bench: str, universe: Data
     """(rows, averages) of picks (month, ticker, price, d): return since the pick, the benchmark's and the equal-weight mean's.
 
     closes: (ticker, d, px) carried forward without limit. The base is the last close day at or before d, or without d
-    the first one in the month; returns end on the last day. Averages skip nulls.
+    the first one in the month; returns end on the last day. Repeated picks count once. Averages skip nulls.
     """
-    days = closes.select("d").distinct()
-    first = Window.partitionBy("month", "ticker")
-    p = picks.withColumn("d0", F.col("d")).drop("d")
-    near = (F.col("d0").isNotNull() & (F.col("d") <= F.col("d0"))) | (F.col("d0").isNull() & (F.col("d") >= F.to_date(F.concat("month", F.lit("-01")))))
-    at = p.join(F.broadcast(days), near, "left").groupBy("month", "ticker", "price", "d0").agg(F.when(F.col("d0").isNotNull(), F.max("d")).otherwise(F.min("d")).alias("base"))
-    last = closes.join(F.broadcast(days.agg(F.max("d").alias("d"))), "d").select("ticker", F.col("px").alias("last"))
-    base = closes.join(F.broadcast(at.select(F.col("base").alias("d")).distinct()), "d").select("ticker", F.col("d").alias("base"), "px").join(last, "ticker")
-    moved = base.select("ticker", "base", (ratio(F.col("last"), F.col("px")) - 1).alias("r"))
-    ew = moved.join(F.broadcast(universe.select("ticker").distinct()), "ticker").groupBy("base").agg(F.avg("r").alias("ew"))
-    smh = moved.filter(F.col("ticker") == bench).select("base", F.col("r").alias("bench"))
-    rows = at.join(last, "ticker", "left").join(ew, "base", "left").join(smh, "base", "left")
+    last = closes.groupBy("ticker").agg(F.max_by("px", "d").alias("last"), F.max("d").alias("d"))
+    last = last.join(F.broadcast(last.agg(F.max("d").alias("d"))), "d").select("ticker", "last")
+    # One pass over the closes gives each day's means; picks meet these days, a calendar, by as-of joins.
+    moved = closes.join(last, "ticker").join(universe.select("ticker").distinct().withColumn("own", F.lit(True)), "ticker", "left").withColumn("r", ratio(F.col("last"), F.col("px")) - 1)
+    days = moved.groupBy("d").agg(F.avg(F.when(F.col("own"), F.col("r"))).alias("ew"), F.max(F.when(F.col("ticker") == bench, F.col("r"))).alias("bench"))
+    days = days.join(closes.select("d").distinct(), "d", "right").select(F.lit("k").alias("k"), F.col("d").alias("t"), F.struct(F.col("d").alias("base"), "ew", "bench").alias("day"))
+    at = picks.select("month", "ticker", "price", F.col("d").alias("d0"), F.coalesce("d", F.to_date(F.concat("month", F.lit("-01")))).alias("asked"), F.col("d").isNotNull().alias("back")).distinct()
+    asked = at.select("asked", "back").distinct().withColumn("k", F.lit("k"))
+    before = asof_join(asked.filter("back"), days, "k", "asked", "t", "day", "day").select("asked", "back", "day")
+    behind = forward_join(asked.filter("not back"), days, "k", "asked", "t", "t").join(days.select("t", "day"), "t", "left").select("asked", "back", "day")
+    at = at.join(before.unionByName(behind), ["asked", "back"], "left").select("month", "ticker", "price", "d0", "day.ew", "day.bench")
+    rows = at.join(last, "ticker", "left")
     rows = rows.select("month", "ticker", "price", "last", (ratio(F.col("last"), F.nullif(F.col("price"), F.lit(0.0))) - 1).alias("ret"), "bench", "ew")
     return rows, rows.agg(F.avg("ret").alias("ret"), F.avg("bench").alias("bench"), F.avg("ew").alias("ew"))
 

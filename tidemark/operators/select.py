@@ -92,6 +92,15 @@ def sells(holdings: DataFrame, scored: DataFrame, rule: str = "S2", price: str =
     return out.filter("rule is not null").select("ticker", "rule", "composite")
 
 
+#: Configurations in the order in which ties fall; fixed values.
+TIES = {"sell": ("S1", "S2", "S3"), "gate": ("G0", "G1"), "weights": ("W3", "W1", "W2")}
+
+
 def select_config(results: DataFrame, floor: Column) -> DataFrame:
-    """The row with the best xirr whose drawdown is at least the floor; ties by sells, gates, weights, name."""
-    return results.filter(F.col("max_dd") >= floor).orderBy(F.col("xirr").desc(), "sell", "gate", "weights", "name").limit(1)
+    """The row with the best xirr, to ten places, whose drawdown is at least the floor; ties by the order of TIES, then name.
+
+    A value that TIES doesn't have comes behind its others; null xirr and drawdowns are never selected.
+    """
+    place = lambda c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TIES[c])), F.col(c)), F.lit(0)), F.lit(99))
+    known = results.filter((F.col("max_dd") >= floor) & F.col("xirr").isNotNull())
+    return known.orderBy(F.round("xirr", 10).desc(), *map(place, TIES), "name").limit(1)

@@ -144,6 +144,11 @@ def mfac(spark: SparkSession, sf: str) -> DataFrame:
     return fac(spark, sf).join(ends(spark, sf), "d", "left_semi")
 
 
+def from_first(months: DataFrame) -> DataFrame:
+    """Months from the first one with an eligible name on: before it no ledger can buy."""
+    return months.join(F.broadcast(months.filter("eligible").agg(F.min("d").alias("__first"))), F.col("d") >= F.col("__first")).drop("__first")
+
+
 def scored(spark: SparkSession, sf: str, weights: str = "W2", use_revisions: bool = False) -> DataFrame:
     return SC.score(mfac(spark, sf).join(V.traits(spark, sf), "ticker", "left"), weights, use_revisions).persist()
 
@@ -824,12 +829,12 @@ def dca_closed_form(spark, sf):
     return _dca(spark, sf).select("d", F.round("value", 4).alias("value"))
 
 
-EW = """n AS (SELECT m.ticker, m.d, f."full" AS px, m.eligible, sum(m.eligible::INT) OVER (PARTITION BY m.d) AS n FROM mfac m JOIN filled f USING (ticker, d) WHERE m.d >= DATE '2000-03-01'),
+EW = """n AS (SELECT m.ticker, m.d, f."full" AS px, m.eligible, sum(m.eligible::INT) OVER (PARTITION BY m.d) AS n FROM mfac m JOIN filled f USING (ticker, d) WHERE m.d >= (SELECT min(d) FROM mfac WHERE eligible)),
 sh AS (SELECT *, sum(CASE WHEN eligible AND px > 0 THEN 2500.0 * (1 - 0.0015) / n / px ELSE 0 END) OVER (PARTITION BY ticker ORDER BY d) AS sh FROM n), ew AS (SELECT d, sum(sh * px) AS value FROM sh GROUP BY d)"""
 
 
 def _ew_prices(spark, sf):
-    m = mfac(spark, sf).filter("d >= '2000-03-01'").select("ticker", "d", "eligible")
+    m = from_first(mfac(spark, sf)).select("ticker", "d", "eligible")
     return m.join(filled(spark, sf).select("ticker", "d", F.col("full").alias("px")), ["ticker", "d"])
 
 
@@ -961,16 +966,6 @@ def midrank_and_exact_percentiles(spark, sf):
     return r6(q.join(M.midrank(x, ["k"], "v", F.lit(1000.0)), "k"))
 
 
-@query("""WITH r AS (SELECT 'W' || (n_nationkey % 3 + 1) AS weights, 'G' || (n_nationkey % 2) AS gate, 'S' || (n_nationkey % 3 + 1) AS sell, n_name AS name, round(avg(c_acctbal), 2) AS xirr, round(min(c_acctbal) / 10000, 4) AS max_dd FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
-SELECT weights, gate, sell, name FROM r WHERE max_dd >= -0.0999 ORDER BY xirr DESC, sell, gate, weights, name LIMIT 1""")
-def config_select(spark, sf):
-    n, c = V.table(spark, sf, "nation"), V.table(spark, sf, "customer")
-    k = F.col("n_nationkey")
-    r = n.join(c, n.n_nationkey == c.c_nationkey).groupBy(F.concat(F.lit("W"), (k % 3 + 1).cast("string")).alias("weights"), F.concat(F.lit("G"), (k % 2).cast("string")).alias("gate"), F.concat(F.lit("S"), (k % 3 + 1).cast("string")).alias("sell"), F.col("n_name").alias("name")).agg(
-        F.round(F.avg("c_acctbal"), 2).alias("xirr"), F.round(F.min("c_acctbal") / 10000, 4).alias("max_dd"))
-    return SE.select_config(r, F.lit(-0.0999)).select("weights", "gate", "sell", "name")
-
-
 @query(chain(*FULL) + """, m AS (SELECT d, max(d) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM me WHERE d IN (SELECT d FROM mfac WHERE eligible)), first AS (SELECT min(d) AS m0 FROM mfac WHERE eligible),
 dy AS (SELECT c.d, c.rn, coalesce((SELECT max(m.d) FROM m WHERE m.d < c.d), m0) AS prev FROM cal c, first),
 ew AS (SELECT f.d, avg(f.ret) AS ew FROM fac f JOIN dy USING (d) JOIN mfac e ON e.d = dy.prev AND e.ticker = f.ticker AND e.eligible GROUP BY f.d),
@@ -1009,7 +1004,7 @@ def context(spark, sf) -> DataFrame:
     mark = f.select("ticker", "d", F.col("full").alias("mark"))
     x = P.fill_dates(cal).filter("exec is not null")
     s = s.join(v3, ["weights", "ticker", "d"], "left").withColumn("v3_in", S.flag(F.col("v3_in"))).join(reg, "d").join(x, "d").join(px, ["ticker", "exec"]).join(mark, ["ticker", "d"])
-    return s.filter("d >= '2000-03-01'").select(
+    return from_first(s).select(
         "weights", "ticker", "grp", "d", "exec", "ord", "eligible", "trend", "composite", "above200", "sma200", "below_prev", "speculative", "brake", "px", "mark", "v1_level", "v1_up", "v1_below", "v1_below_prev", "v2_level", "v2_up", "v2_below", "v2_below_prev", "v3_in").persist()
 
 
@@ -1072,7 +1067,19 @@ def rule_simulation(spark, sf):
     return r6(_summary(L.simulate(grid_scenarios(spark), context(spark, sf))))
 
 
-@query(chain(*FULL) + """, x AS (SELECT d, lead(d) OVER (ORDER BY d) AS exec FROM cal), e AS (SELECT m.ticker, x.exec, f."full" AS px, m.eligible, sum(m.eligible::INT) OVER (PARTITION BY m.d) AS n FROM mfac m JOIN x USING (d) JOIN filled f ON f.ticker = m.ticker AND f.d = x.exec WHERE m.d >= DATE '2000-03-01'),
+@query(chain_r(*CONTEXT_SQL, GRID_SQL, LS.fold_sql("stg", "gsc"), LS.returns_sql("stg_led")) + """, r AS (SELECT xr.scenario AS name, xirr, max_dd, string_split(xr.scenario, '-') AS c FROM xr LEFT JOIN dd USING (scenario))
+SELECT c[1] AS weights, c[2] AS gate, c[3] AS sell, name FROM r WHERE len(c) = 4 AND xirr IS NOT NULL AND max_dd >= (SELECT max_dd FROM r WHERE name = 'ew_all') - 0.1
+ORDER BY round(xirr, 10) DESC, list_position(['S1', 'S2', 'S3'], c[3]), list_position(['G0', 'G1'], c[2]), list_position(['W3', 'W1', 'W2'], c[1]), name LIMIT 1""")
+def config_select(spark, sf):
+    """The configuration of the grid with the best return whose drawdown is at most ten points worse than the equal-weight one's."""
+    r = _summary(L.simulate(grid_scenarios(spark), context(spark, sf))).persist()
+    c = F.split("scenario", "-")
+    floor = r.filter("scenario = 'ew_all'").first()["max_dd"]
+    grid_ = r.filter(F.size(c) == 4).select(c[0].alias("weights"), c[1].alias("gate"), c[2].alias("sell"), F.col("scenario").alias("name"), "xirr", "max_dd")
+    return SE.select_config(grid_, F.lit(floor) - 0.1).select("weights", "gate", "sell", "name")
+
+
+@query(chain(*FULL) + """, x AS (SELECT d, lead(d) OVER (ORDER BY d) AS exec FROM cal), e AS (SELECT m.ticker, x.exec, f."full" AS px, m.eligible, sum(m.eligible::INT) OVER (PARTITION BY m.d) AS n FROM mfac m JOIN x USING (d) JOIN filled f ON f.ticker = m.ticker AND f.d = x.exec WHERE m.d >= (SELECT min(d) FROM mfac WHERE eligible)),
 sh AS (SELECT *, sum(CASE WHEN eligible AND px > 0 THEN 2500.0 * (1 - 0.0015) / n / px ELSE 0 END) OVER (PARTITION BY ticker ORDER BY exec) AS sh FROM e) SELECT exec, round(sum(sh * px), 4) AS value FROM sh GROUP BY 1""")
 def simulation_equals_closed_form(spark, sf):
     one = grid_scenarios(spark).filter("scenario = 'ew_all'")

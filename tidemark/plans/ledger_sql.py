@@ -6,7 +6,8 @@ from tidemark.operators.ledger import CONTRIB, COST, MIN_SCORED
 from tidemark.operators.score import BUY, HOLD, WEIGHTS
 from tidemark.operators.select import BRAKED, CAP_GROUP, CAP_POSITION, CAP_SPEC, CAP_SPEC_TOTAL, CAPS_FROM, MAX_NAMES, PER_GROUP, ROTATE, STOP
 
-START = "2000-03-01"
+#: Ledgers start in the first month with an eligible name, whatever the table.
+START = "(SELECT min(d) FROM mfac WHERE eligible)"
 
 
 def context_sql(pct) -> str:
@@ -33,7 +34,7 @@ xd AS (SELECT d, lead(d) OVER (ORDER BY d) AS exec FROM cal),
 cx AS (SELECT c5.weights, c5.ticker, coalesce('g:' || nullif(c5.grp, ''), 't:' || c5.ticker) AS g, c5.d, xd.exec, dense_rank() OVER (ORDER BY c5.d) AS k, ord, c5.eligible, c5.trend, composite, c5.above200, c5.sma200, vp.below_prev, coalesce(speculative, false) AS spec,
   brake, fx."full" AS px, fd."full" AS mark, v1_level, v1_up, v1_below, v1_below_prev, v2_up, v2_below, v2_below_prev, t4.q IS NOT NULL AND t4.q <= ceil(t4.m / 2.0) AS v3_in
   FROM c5 JOIN vp USING (ticker, d) JOIN xd ON xd.d = c5.d AND xd.exec IS NOT NULL JOIN reg ON reg.d = c5.d JOIN filled fx ON fx.ticker = c5.ticker AND fx.d = xd.exec JOIN filled fd ON fd.ticker = c5.ticker AND fd.d = c5.d
-  LEFT JOIN t4 ON t4.weights = c5.weights AND t4.d = c5.d AND t4.ticker = c5.ticker WHERE c5.d >= DATE '{START}')"""
+  LEFT JOIN t4 ON t4.weights = c5.weights AND t4.d = c5.d AND t4.ticker = c5.ticker WHERE c5.d >= {START})"""
 
 
 def fold_sql(name: str, scenarios: str, made: str | None = None) -> str:

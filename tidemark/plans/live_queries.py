@@ -176,7 +176,7 @@ BUNDLE = f"""{C.BENCHM.split(', mb2')[0]}, xb AS (SELECT x.exec AS d, b.close AS
 rb AS (SELECT exec, (value - contribution) / nullif(lag(value) OVER (ORDER BY exec), 0) - 1 AS rb FROM bl),
 el AS (SELECT 'ew' AS scenario, exec, 2500.0 AS contribution, sum(sh * px) AS value FROM sh GROUP BY exec), ra AS (SELECT scenario, exec, (value - contribution) / nullif(lag(value) OVER (ORDER BY exec), 0) - 1 AS r FROM el),
 df AS (SELECT scenario, exec, r - rb AS x FROM ra JOIN rb USING (exec) WHERE r IS NOT NULL)"""
-_E = """x AS (SELECT d, lead(d) OVER (ORDER BY d) AS exec FROM cal), e AS (SELECT m.ticker, x.exec, f."full" AS px, m.eligible, sum(m.eligible::INT) OVER (PARTITION BY m.d) AS n FROM mfac m JOIN x USING (d) JOIN filled f ON f.ticker = m.ticker AND f.d = x.exec WHERE m.d >= DATE '2000-03-01'),
+_E = """x AS (SELECT d, lead(d) OVER (ORDER BY d) AS exec FROM cal), e AS (SELECT m.ticker, x.exec, f."full" AS px, m.eligible, sum(m.eligible::INT) OVER (PARTITION BY m.d) AS n FROM mfac m JOIN x USING (d) JOIN filled f ON f.ticker = m.ticker AND f.d = x.exec WHERE m.d >= (SELECT min(d) FROM mfac WHERE eligible)),
 sh AS (SELECT *, sum(CASE WHEN eligible AND px > 0 THEN 2500.0 * (1 - 0.0015) / n / px ELSE 0 END) OVER (PARTITION BY ticker ORDER BY exec) AS sh FROM e)"""
 
 
@@ -191,7 +191,7 @@ def bundle_against_benchmark(spark, sf):
 
 
 def _ew_exec_ledger(spark, sf):
-    m = C.mfac(spark, sf).filter("d >= '2000-03-01'").select("ticker", "d", "eligible")
+    m = C.from_first(C.mfac(spark, sf)).select("ticker", "d", "eligible")
     x = P.fill_dates(P.calendar(C.panel(spark, sf))).filter("exec is not null")
     px = C.filled(spark, sf).select("ticker", F.col("d").alias("exec"), F.col("full").alias("px"))
     e = m.join(x, "d").join(px, ["ticker", "exec"]).select("ticker", F.col("exec").alias("d"), "eligible", "px")

@@ -24,7 +24,7 @@ def _halved(d):
 
 
 @query(chain(V.LISTINGS, ELIG, OWN, STATED, CLAIMS, STATUS, CORRECTED) + """, od AS (SELECT s_suppkey AS cik, 'listed' AS status FROM supplier),
-gone AS (SELECT 'S' || od.cik AS ticker FROM od LEFT JOIN st ON od.cik = st.cik WHERE od.status = 'listed' AND st.status IS DISTINCT FROM 'listed')
+gone AS (SELECT 'S' || (od.cik - 60) AS ticker FROM od LEFT JOIN st ON od.cik = st.cik WHERE od.status = 'listed' AND st.status IS DISTINCT FROM 'listed')
 SELECT ticker, count(*) AS n, round(sum(close), 4) AS total FROM panel ANTI JOIN gone USING (ticker) GROUP BY ticker""")
 def stale_series_deleted(spark, sf):
     """A store of closes in which corrected histories take the old ones' place and series of companies no longer listed go."""
@@ -33,7 +33,8 @@ def stale_series_deleted(spark, sf):
     store.create(p)
     store.merge(_halved(p))
     old = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cik"), F.lit("listed").alias("status"))
-    store.delete(FI.stale_series(FI.status_diff(old, FI.status_of(C._mapped(spark, sf))), "S"))
+    diff = FI.status_diff(old, FI.status_of(C._mapped(spark, sf)))
+    store.delete(FI.stale_series(diff.withColumn("cik", F.col("cik") - 60), "S"))
     store.vacuum(1)
     return store.read().groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("total"))
 

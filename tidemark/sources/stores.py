@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def unpivot_closes(wide: DataFrame, day: str = "d") -> DataFrame:
-    """(ticker, d, close) of a frame with one column a ticker; rows without a close go, of repeated days the first stays."""
+    """(ticker, d, close) of a frame with one column a ticker; rows without a close go, of repeated days any close stays."""
     names = [c for c in wide.columns if c != day]
     long = wide.unpivot([day], names, "ticker", "close").filter("close is not null and not isnan(close)")
     return long.groupBy("ticker", F.col(day).alias("d")).agg(F.first("close").alias("close"))
@@ -34,7 +34,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """INSERT OR IGNORE: rows of new whose key is absent are added; the first of new's rows with one key."""
+    """INSERT OR IGNORE: rows of new whose key is absent are added; of new's rows with one key any one."""
     fresh = new.dropDuplicates(keys).join(existing, keys, "left_anti")
     return existing.unionByName(fresh.select(existing.columns))
 
