@@ -11,6 +11,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import score as SC
 from tidemark.operators import select as SE
 from tidemark.operators.panel import asof_join, forward_join
+from tidemark.sources.scratch import kept
 
 
 def score_alongside(universe: DataFrame, extra: DataFrame, weights: str = "W2", use_revisions: bool = False, by: tuple[str, ...] = ("d",)) -> DataFrame:
@@ -61,6 +62,7 @@ def track_record(picks: DataFrame, closes: DataFrame, bench: str, universe: Data
     moved = closes.join(last, "ticker").join(universe.select("ticker").distinct().withColumn("own", F.lit(True)), "ticker", "left").withColumn("r", ratio(F.col("last"), F.col("px")) - 1)
     days = moved.groupBy("d").agg(F.avg(F.when(F.col("own"), F.col("r"))).alias("ew"), F.max(F.when(F.col("ticker") == bench, F.col("r"))).alias("bench"))
     days = days.join(closes.select("d").distinct(), "d", "right").select(F.lit("k").alias("k"), F.col("d").alias("t"), F.struct(F.col("d").alias("base"), "ew", "bench").alias("day"))
+    days = kept(days, "days")  # a row a day, read five times below
     at = picks.select("month", "ticker", "price", F.col("d").alias("d0"), F.coalesce("d", F.to_date(F.concat("month", F.lit("-01")))).alias("asked"), F.col("d").isNotNull().alias("back")).distinct()
     asked = at.select("asked", "back").distinct().withColumn("k", F.lit("k"))
     before = asof_join(asked.filter("back"), days, "k", "asked", "t", "day", "day").select("asked", "back", "day")

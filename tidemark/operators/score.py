@@ -13,12 +13,15 @@ BUY, HOLD = 0.85, 0.70
 
 
 def pct(value: Column, by: list[str]) -> Column:
-    """Average-tie rank over the number of non-null values in the group; null stays null."""
-    part = [F.col(c) for c in by]
-    known = value.isNull()
-    r = F.rank().over(Window.partitionBy(*part, known).orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*part, value))
-    return F.when(value.isNotNull(), (r + (ties - 1) / 2) / F.count(value).over(Window.partitionBy(*part, known)))
+    """Average-tie rank over the number of non-null values in the group; null stays null.
+
+    All windows are cut by the group alone, nulls last, and ties are the peers in the sort that the rank needs: factors of
+    one group share one exchange, and each is sorted once. A group is a day's cross-section, a row a ticker.
+    """
+    group = Window.partitionBy(*[F.col(c) for c in by])
+    sorted_ = group.orderBy(value.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(sorted_.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(value.isNotNull(), (F.rank().over(sorted_) + (ties - 1) / 2) / F.count(value).over(group))
 
 
 def mean2(a: Column, b: Column) -> Column:
