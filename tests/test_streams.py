@@ -3,9 +3,9 @@
 import datetime as dt
 import random
 
+import pytest
 
-
-from tidemark.streaming import deferral, shadow, windows
+from tidemark.streaming import deferral, quotas, shadow, windows
 
 D = dt.date.fromisoformat
 PLANS = "strategy string, month string, fill_date date, sells array<string>, buys array<string>, contrib double"
@@ -85,3 +85,33 @@ def test_rows_behind_the_watermark_change_nothing(spark, tmp_path):
         windows.keyed_writer(stream, out, f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     got = windows.newest(spark, out, ["start", "event_type"]).collect()
     assert sorted((r["start"], r["n"], r["total"]) for r in got) == [(at, 1, 1.0), (at + dt.timedelta(days=3), 1, 2.0)]
+
+
+def plain_admissions(rows, quotas, monthly=None):
+    out, times, stopped = {}, {}, set()
+    for key, seq, ts in sorted(rows, key=lambda r: r[1]):
+        t = times.setdefault(key, [])
+        at = max([x for x in (ts, t[-1] if t else None) if x is not None] + [t[-n] + s for n, s in quotas if len(t) >= n], default=0)
+        month = lambda x: dt.datetime.fromtimestamp(x, dt.UTC).strftime("%Y-%m")
+        if monthly and sum(month(x) == month(at) for x in t) >= monthly:
+            stopped.add(key)
+        if key not in stopped:
+            t.append(at)
+        out[key, seq] = (len(t), at) if key not in stopped else (None, None)
+    return out
+
+
+@pytest.mark.parametrize("monthly", [None, 25])
+def test_admissions_of_two_runs_equal_one(spark, monthly):
+    rng, limits = random.Random(6), ((3, 3600), (10, 86400))
+    rows = [(rng.choice(["a", "a", "b", None]), k, None if rng.random() < 0.05 else 1_700_000_000 + k * rng.randint(0, 900)) for k in range(200)]
+    df = lambda r: spark.createDataFrame(r, "key string, seq long, ts long")
+    want = plain_admissions(rows, limits, monthly)
+    read = lambda d: {(r["key"], r["seq"]): (r["place"], r["at"]) for r in d.collect()}
+    one = quotas.admit(df(rows), None, limits, monthly)
+    assert read(one) == want and quotas.admit(df([]), None, limits).count() == 0
+    first = quotas.admit(df(rows[:90]), None, limits, monthly)
+    tail = quotas.tail_of(first, limits) if monthly is None else first.filter("at is not null").select("key", "place", "at")
+    left = {k for k, (_, at) in read(first).items() if at is None}
+    second = quotas.admit(df([r for r in rows if r[1] >= 90 or (r[0], r[1]) in left]), tail, limits, monthly)
+    assert {k: v for k, v in read(first).items() if k not in left} | read(second) == want

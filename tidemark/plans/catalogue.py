@@ -1132,6 +1132,22 @@ def quota_windows(spark, sf):
     return shadow.quota_use(V.table(spark, sf, "events").withColumn("key", F.col("user_id"))).select("event_id", "in_window")
 
 
+@query("""WITH RECURSIVE q AS (SELECT user_id AS k, event_id, floor(epoch(ts))::BIGINT AS ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+a(k, i, event_id, run_at, seen) AS (SELECT k, i, event_id, ts, [ts] FROM q WHERE i = 1 UNION ALL SELECT q.k, q.i, q.event_id, x.run_at, list_append(a.seen, x.run_at)[-20:]
+  FROM a JOIN q ON q.k = a.k AND q.i = a.i + 1, LATERAL (SELECT greatest(q.ts, a.seen[-1], CASE WHEN len(a.seen) >= 5 THEN a.seen[-5] + 3600 ELSE 0 END, CASE WHEN len(a.seen) >= 20 THEN a.seen[-20] + 86400 ELSE 0 END) AS run_at) x)
+SELECT event_id, k AS user_id, i AS place, run_at FROM a""")
+def quota_admissions(spark, sf):
+    """Every event as a request of its user, under five an hour and twenty a day, in two runs: the second goes on from the first one's tail."""
+    from tidemark.streaming import quotas as Q
+
+    limits = ((5, 3600), (20, 86400))
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+    half = e.agg((F.max("seq") / 2).alias("x")).first()["x"] or 0
+    first = Q.admit(e.filter(F.col("seq") <= half), None, limits)
+    both = first.unionByName(Q.admit(e.filter(F.col("seq") > half), Q.tail_of(first, limits), limits))
+    return both.select(F.col("seq").alias("event_id"), F.col("key").alias("user_id"), "place", F.col("at").alias("run_at"))
+
+
 @query("""WITH p AS (SELECT 'u' || (user_id % 4) AS strategy, strftime(ts, '%Y-%m-%d') AS month, ts::DATE + 3 AS fill_date FROM events GROUP BY ALL), l AS (SELECT * FROM p WHERE month < '2024-01-10')
 SELECT strategy, month, fill_date FROM p ANTI JOIN l USING (strategy, month) WHERE fill_date < DATE '2024-01-25'""")
 def shadow_due(spark, sf):
