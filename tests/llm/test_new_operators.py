@@ -206,3 +206,40 @@ def test_new_queries_equal_their_sql(spark, name):
     d = queries.QUERIES[name](spark, sf)
     want = con.execute(f"SELECT {', '.join(d.columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(repr, map(tuple, d.collect()))) == sorted(map(repr, want)) and len(want) > 50
+
+
+# ---- earlier operators ----
+
+
+@pytest.mark.parametrize("name,cuts", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_equals_the_library_for_other_tokenizers(name, cuts):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tidemark.llm import token_files
+
+    e = token_files.WordEncoder(public_tokenizers.path(name))
+    texts = [None, "", " ", "Hello  World's end", "it's 12 a.m.\n\nand É è", "a" * 5000, "<|endoftext|> x", *(t for t in corpus() if t)]
+    ids, sizes = e.encode(pa.array(texts), 7)
+    want = [[*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert e.cuts == cuts and sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_quality_features_equal_plain_ones():
+    """Each feature counted in the plainest way, over bytes, words and lines."""
+    from tidemark.llm import quality
+
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "*#$%&@^~<>{}[]\\_=+", "!?", "|/", ".,;:'\"()-", " \t\n\x0b\x0c\r", "\n"]
+    texts = [None, "", "a", *EDGE, *corpus(), "A|B  !! 12\n\n= é漢\n\n", "same same Same", "\x00 \x7f\x80", "x y\u2003z"]
+    for text, got in zip(texts, quality.features(texts), strict=True):
+        raw = (text or "").encode()
+        n, words, lines = len(raw), re.split(rb"[ \t\n\x0b\x0c\r]+", raw.strip(b" \t\n\x0b\x0c\r")), raw.split(b"\n")
+        words = [w for w in words if w]
+        if not n:
+            assert not got.any()
+            continue
+        k = max(1, len(words))
+        want = [math.log(1 + n), math.log(1 + len(words)), n / k, *(sum(b in kind.encode() for b in raw) / n for kind in kinds), sum(b >= 128 for b in raw) / n]
+        want += [len(set(words)) / k, sum(a == b for a, b in itertools.pairwise(words)) / k, len(set(lines)) / len(lines)]
+        want += [-sum(c / n * math.log2(c / n) for c in Counter(raw).values()), max((len(w) for w in words), default=0)]
+        assert got == pytest.approx(want, abs=1e-8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -71,9 +72,14 @@ class WordEncoder:
 
     A byte-level pre-tokenizer starts a new token at every blank that has no white space before it, so a text can be
     cut there and its words encoded apart. Texts in which a blank stands between white space or at the end, and texts
-    with the string of a special token, are encoded whole.
+    with the string of a special token, are encoded whole. So are all texts of a tokenizer that works otherwise: with a
+    normaliser, another pre-tokenizer, or pieces that know where a word begins or ends.
     """
 
+    #: What the cut at blanks is right for.
+    BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    PLAIN = ("dropout", "continuing_subword_prefix", "end_of_word_suffix")
+
     ODD = re.compile(r"\s (?:\s|\Z)|\A (?:\s|\Z)| \Z")
     #: Letters of any version of Unicode, then signs; then perhaps a line feed and the same again.
     LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-/:-@\[-`{-~]*"
@@ -84,6 +90,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        before, model = told.get("pre_tokenizer") or {}, told["model"]
+        self.cuts = not told.get("normalizer") and all(before.get(k) == v for k, v in self.BYTE_LEVEL.items()) and model["type"] == "BPE" and not any(model.get(k) for k in self.PLAIN)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.bytes = 2 if size <= 1 << 16 else 4
@@ -146,6 +155,9 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the id `end` behind it, and their lengths. Null is empty."""
         texts = pc.fill_null(texts, "")
+        if not self.cuts:
+            ids, lengths = self._encoded(texts.to_pylist())
+            return np.insert(ids, np.cumsum(lengths), end), lengths + 1
         whole = np.zeros(len(texts), bool)
         for s in self.special:
             whole |= np.asarray(pc.match_substring(texts, s).to_numpy(zero_copy_only=False), bool)
