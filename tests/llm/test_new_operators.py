@@ -243,3 +243,19 @@ def test_quality_features_equal_plain_ones():
         want += [len(set(words)) / k, sum(a == b for a, b in itertools.pairwise(words)) / k, len(set(lines)) / len(lines)]
         want += [-sum(c / n * math.log2(c / n) for c in Counter(raw).values()), max((len(w) for w in words), default=0)]
         assert got == pytest.approx(want, abs=1e-8)
+
+
+def test_long_items_are_cut_without_losing_windows(spark, monkeypatch):
+    """Shards of 40 words: an item of 300 words hits as it does whole, wherever the window lies; shards follow the count of words."""
+    from tidemark.llm import decontaminate
+
+    rng = random.Random(3)
+    long, short = [f"q{rng.randrange(60)}" for _ in range(300)], "z1 z2 z3"
+    texts = [" ".join(long[a : a + 13]) for a in range(0, 288, 7)] + [" ".join(long[280:292]), "a z1 z2 z3 b", "z1 z2", None, " ".join(long)]
+    items = spark.createDataFrame([("L", " ".join(long)), ("S", short), ("S", short), ("N", None)], "item_id string, text string")
+    read = lambda: {r["doc_id"]: (r["n_words"], [tuple(x) for x in r["spans"]], r["items"]) for r in decontaminate.contamination(docs(spark, texts), items).collect()}
+    whole = read()
+    n = len(texts)
+    assert all(whole[k][2] == ["L"] for k in [*range(n - 5), n - 1]) and [whole[n - 5 + k][2] for k in range(4)] == [[], ["S"], [], []]
+    monkeypatch.setattr(decontaminate, "MAX_WORDS", 40)
+    assert read() == whole and decontaminate.Automata(items).count == -(-(300 + 12 * 10 + 3) // 40)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -139,14 +139,24 @@ class ItemAutomaton:
 
 class Automata:
     """The automata of a benchmark's shards. Tasks build them and write them to the shared folder; the driver holds the
-    packed bytes of one shard at a time, and workers unpack what they need, whatever the benchmark's size."""
+    packed bytes of one shard at a time, and workers unpack what they need, whatever the benchmark's size. Shards are counted
+    by words, some MAX_WORDS each; an item of more than that is cut into pieces that share window - 1 words, so no window is
+    lost and no shard follows one item's length."""
 
     PIECE = 16 << 20
 
     def __init__(self, benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", split=words_of, max_words: int | None = None) -> None:
         b = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t <> ''").distinct()
-        size = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-        self.count = max(1, -(-size // (2 * (max_words or MAX_WORDS))))  # a word and its blank have two bytes at least
+        most = max(max_words or MAX_WORDS, window)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Items of more than `most` words in pieces; each window starts in exactly one of them."""
+            for x in batches:
+                found = [(i, w[a : a + most]) for i, t in zip(*(c.to_pylist() for c in x.columns), strict=True) for w in [split(t)] for a in range(0, max(1, len(w) - window + 1), most - window + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.string()), pa.array([b" ".join(w).decode("utf-8", "surrogatepass") for _, w in found], pa.string()), pa.array([len(w) for _, w in found], pa.int64())], ["i", "t", "n"])
+
+        b = written(b.mapInArrow(cut, "i string, t string, n long"), "benchmark-pieces")
+        self.count = max(1, -(-(b.agg(F.sum("n")).first()[0] or 0) // most))
         piece = self.PIECE
 
         def build(key: tuple, rows: pa.Table) -> pa.Table:
@@ -156,6 +166,7 @@ class Automata:
 
         parts = b.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(self.count)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, at int, data binary")
         self.files, self.window = written(parts, "automata"), window
+        forget(b.sparkSession, b)
 
     def shard(self, k: int) -> "Shared":
         rows = self.files.filter(F.col("shard") == k).orderBy("at").collect()
