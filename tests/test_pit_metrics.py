@@ -207,3 +207,24 @@ def test_purchases_merge_by_average(spark):
     h = spark.createDataFrame([("A", 10.0, 5.0)], "ticker string, shares double, cost double")
     b = spark.createDataFrame([("A", 10.0, 15.0), ("B", 2.0, 3.0), ("C", 1.0, None)], "ticker string, shares double, price double")
     assert {r["ticker"]: (r["shares"], r["cost"]) for r in L.merge_purchase(h, b).collect()} == {"A": (20.0, 10.0), "B": (2.0, 3.0)}
+
+
+def test_exact_quantiles_equal_sorted_ones(spark):
+    import random
+
+    from tidemark.operators import metrics as M
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, 1.0, 1.0, 1.0, rng.gauss(0, 1), -1e300, float(rng.randint(0, 5))])) for _ in range(3000)] + [("one", 4.0), ("none", None)]
+    qs = [0.0, 0.1, 0.5, 0.6, 0.999, 1.0]
+    got = {(r["k"], r["q"]): r["v"] for r in M.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", qs).collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        v = sorted(x for key, x in rows if key == k and x is not None)
+        for q in qs if v else []:
+            at = q * (len(v) - 1)
+            a, b = v[int(at)], v[min(len(v) - 1, int(at) + (at > int(at)))]
+            want[k, q] = a + (b - a) * (at - int(at))
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) <= 1e-9 * max(1, abs(want[x])) for x in want)
+    whole = M.exact_quantiles(spark.createDataFrame(rows, "k string, v double").filter("v > 1"), [], "v", [0.5]).collect()
+    assert len(whole) == 1 and M.exact_quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", qs).count() == 0

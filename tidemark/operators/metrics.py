@@ -78,3 +78,38 @@ def dca(prices: DataFrame, by: list[str], contribution: float = 2500.0, order: s
     """Adds value: what equal monthly contributions without cost are worth, in closed form."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return prices.withColumn("value", F.sum(F.lit(contribution) / F.col("px")).over(w) * F.col("px"))
+
+
+EDGES = 255  # bounds of the histogram by which quantiles are found
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
+    """(by, q, value): each group's quantiles, interpolated between the two ranks around q * (n - 1); nulls don't count.
+
+    Two passes: a histogram of all groups, whose bounds are estimated quantiles of the whole, tells in which of its 256
+    ranges a rank lies, with exact counts; only the values of those ranges are then sorted, range by range. So no task
+    holds a group's values, and values that repeat are counted before they are shuffled. Groups without values have no row.
+    """
+    d = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    edges = d.agg(F.percentile_approx("__v", [k / (EDGES + 1) for k in range(1, EDGES + 1)], 10_000)).first()[0]
+    if not edges:
+        return d.select(*by, F.lit(None).cast("double").alias("q"), F.col("__v").alias(value)).limit(0)
+    up = F.array(*[F.lit(e) for e in sorted(set(edges))])
+    c = d.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.size(F.filter(up, lambda e: e < F.col("__v"))))
+    keys = [F.col(k) for k in by]
+    ranges = c.groupBy(*by, "__b").agg(F.sum("__n").alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__b")
+    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranges = ranges.select(*by, "__b", before.alias("__before"), "__n", total.alias("__all"))
+    ranges = ranges.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("__at", F.col("q") * (F.col("__all") - 1))
+    ranges = ranges.withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))))
+    hit = ranges.filter((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__n")))
+    hit = hit.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(by)], F.col("__b").alias("__in"), "q", "__at", "__rank", "__before")
+    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(by)] + [F.col("__b") == F.col("__in")]
+    wanted = hit.select(*[c for c in hit.columns if c.startswith("__") and c[2:].isdigit()], "__in").distinct()
+    some = c.join(wanted, same, "left_semi").withColumn("__upto", F.sum("__n").over(inside))
+    found = some.join(hit, same).filter((F.col("__rank") >= F.col("__before") + F.col("__upto") - F.col("__n")) & (F.col("__rank") < F.col("__before") + F.col("__upto")))
+    low, high = F.min("__v"), F.max("__v")
+    return found.groupBy(*by, "q", "__at").agg((low + (high - low) * (F.col("__at") - F.floor("__at"))).alias(value)).drop("__at")

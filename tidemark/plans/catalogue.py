@@ -21,6 +21,7 @@ from tidemark.operators import textops as T
 from tidemark.plans import ledger_sql as LS
 from tidemark.sources import stores as ST
 from tidemark.sources import views as V
+from tidemark.sources.scratch import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -962,7 +963,8 @@ def holdings_pnl(spark, sf):
   round(100 * avg(CASE WHEN v < 1000 THEN 1.0 WHEN v = 1000 THEN 0.5 ELSE 0 END), 6) AS percentile FROM x GROUP BY 1""")
 def midrank_and_exact_percentiles(spark, sf):
     x = V.table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("v"))
-    q = x.groupBy("k").agg(F.percentile("v", F.lit(0.6)).alias("p60"), F.percentile("v", F.lit(0.75)).alias("p75"), F.median("v").alias("med"))
+    one = lambda q, name: F.max(F.when(F.col("q") == q, F.col("v"))).alias(name)
+    q = M.exact_quantiles(x, ["k"], "v", [0.5, 0.6, 0.75]).groupBy("k").agg(one(0.6, "p60"), one(0.75, "p75"), one(0.5, "med"))
     return r6(q.join(M.midrank(x, ["k"], "v", F.lit(1000.0)), "k"))
 
 
@@ -1099,10 +1101,10 @@ SELECT b0r >= ew AS beats_ew, b0r >= p60 AS ge_p60_random, b0r >= b0h AS beats_h
 def gates(spark, sf):
     ctx = context(spark, sf)
     led = L.simulate(grid_scenarios(spark).unionByName(random_scenarios(spark, DRAWS)), ctx, buys_made=_buys_made(spark, ctx))
-    x = M.ledger_xirr(led, ["scenario"])
+    x = kept(M.ledger_xirr(led, ["scenario"]), "xirrs")
     one = lambda s: F.max(F.when(F.col("scenario") == s, F.col("xirr")))
-    draws = F.when(F.col("scenario").startswith("random_up"), F.col("xirr"))
-    g = x.agg(one("ew_trend10").alias("b0r"), one("ew_all").alias("ew"), one("b0h").alias("b0h"), F.percentile(draws, F.lit(0.6)).alias("p60"))
+    p60 = M.exact_quantiles(x.filter(F.col("scenario").startswith("random_up")), [], "xirr", [0.6]).select(F.col("xirr").alias("p60"))
+    g = x.agg(one("ew_trend10").alias("b0r"), one("ew_all").alias("ew"), one("b0h").alias("b0h")).crossJoin(p60)
     tests = F.struct((F.col("b0r") >= F.col("ew")).alias("beats_ew"), (F.col("b0r") >= F.col("p60")).alias("ge_p60_random"), (F.col("b0r") >= F.col("b0h")).alias("beats_hold"))
     return g.select(tests.alias("t")).select("t.*", (F.col("t.beats_ew") & F.col("t.ge_p60_random") & F.col("t.beats_hold")).alias("ship"))
 
