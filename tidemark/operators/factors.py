@@ -82,6 +82,17 @@ def chunked_factors(panel: DataFrame, cal: DataFrame, s: Spec = Spec(), size: in
 FACTOR_COLUMNS = ("ticker", "grp", "d", "rn", "close", "n_days", "ret", "ret_1m", "ret_6m", "ret_12m", "ret_12_1", "vol_252", "mom_raw", "hi52", "dd_52w", "sma50", "sma200", "above200", "trend", "eligible")
 
 
+def chart_series(panel: DataFrame, last: int = 252, n: int = 200) -> DataFrame:
+    """(ticker, d, close, sma): a ticker's last closes with their mean over n closes; the average counts closes, not calendar rows.
+
+    The mean is null until there are n closes. Null closes and tickers are left out.
+    """
+    w = Window.partitionBy("ticker").orderBy("d")
+    d = panel.filter(F.col("close").isNotNull() & F.col("ticker").isNotNull()).select("ticker", "d", "close", full_mean("close", n, w).alias("sma"))
+    back = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("d").desc()))
+    return d.withColumn("__back", back).filter(F.col("__back") <= last).drop("__back")
+
+
 def monthly_sma(month_close: DataFrame, n: int = 10) -> DataFrame:
     """Month-end closes against the mean of the last n month-ends: level, up and below (null level: neither)."""
     w = Window.partitionBy("ticker").orderBy("d")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import role_category
+from tidemark.functions.scalars import UTILITY_SIC, role_category, sic_code
 from tidemark.operators.panel import running, segment
 
 LISTED_FROM = "2026-09-01"
@@ -97,6 +97,16 @@ def key_spans(prices: DataFrame) -> DataFrame:
     return prices.filter(F.col("ticker").rlike(r"^C\d+$") & F.col("close").isNotNull()).groupBy("ticker").agg(F.min("d").alias("first"), F.max("d").alias("last"))
 
 
+def ra_score(d: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """Adds score: hits of all groups per 10,000 words, of power alone for utility codes; 0 for filers out of the group.
+
+    d has sic, in_group, words and hits_<group>; a text without words counts as of one word, null hits as none.
+    """
+    hit = lambda g: F.coalesce(F.col(f"hits_{g}"), F.lit(0))
+    hits = F.when(sic_code(F.col("sic")).isin(*UTILITY_SIC), hit("power")).otherwise(sum((hit(g) for g in groups), F.lit(0)))
+    return d.withColumn("score", F.when(F.col("in_group"), 1e4 * hits / F.greatest(F.col("words"), F.lit(1))).otherwise(0.0))
+
+
 def review(filings: DataFrame, classes: DataFrame, members: DataFrame, revenue: DataFrame, floor: float = 100e6, least: float = 2.0) -> DataFrame:
     """(cik, ticker, kind, category): members whose class says no go (`remove`); others with score and revenue are
     candidates if their class says yes, and pending without a class.

@@ -28,7 +28,7 @@ ORACLES: dict[str, str] = {}
 
 #: Columns that are days, and the queries that have them.
 DAYS: dict[str, tuple[str, ...]] = {
-    "d": ("corrected_frames", "month_ends", "completed_month_ends", "calendar_panel", "ffill_limited", "ffill_full", "daily_panel_gaps", "next_fill_date", "asof_half_coverage", "lag_returns", "volatility_252", "momentum_raw", "high_52w", "sma_complete", "trend_flags", "factor_frame", "monthly_sma10", "band_signals", "fip_id", "two_month_below", "regime_breadth", "composite_score", "composite_with_revisions", "reason_text", "grades_labels", "tie_break_order", "rule_labels_warnings", "group_capped_top10", "rotation_buys", "fip_pool", "sell_rules", "wide_to_long", "dca_closed_form", "ew_hold_closed_form", "stress_clones",),
+    "d": ("chart_series", "corrected_frames", "month_ends", "completed_month_ends", "calendar_panel", "ffill_limited", "ffill_full", "daily_panel_gaps", "next_fill_date", "asof_half_coverage", "lag_returns", "volatility_252", "momentum_raw", "high_52w", "sma_complete", "trend_flags", "factor_frame", "monthly_sma10", "band_signals", "fip_id", "two_month_below", "regime_breadth", "composite_score", "composite_with_revisions", "reason_text", "grades_labels", "tie_break_order", "rule_labels_warnings", "group_capped_top10", "rotation_buys", "fip_pool", "sell_rules", "wide_to_long", "dca_closed_form", "ew_hold_closed_form", "stress_clones",),
     "exec": ("next_fill_date", "twr_monthly", "simulation_equals_closed_form",),
     "first": ("pruned_history", "key_spans",),
     "last": ("pruned_history", "key_spans",),
@@ -294,6 +294,14 @@ def sparkline_points(spark, sf):
     return d.select("ticker", "rn", F.round(F.try_divide(600.0 * (F.col("n") - F.col("k")), F.col("n") - 1), 4).alias("x"), (F.round(y, 4) + 0.0).alias("y"))
 
 
+@query(chain(*BASE) + """, s AS (SELECT ticker, d, raw AS close, row_number() OVER w AS k, row_number() OVER (PARTITION BY ticker ORDER BY d DESC) AS back, CASE WHEN count(*) OVER (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) = 200 THEN avg(raw) OVER (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) END AS sma
+  FROM grid WHERE raw IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY d)) SELECT ticker, d, round(close, 6) AS close, round(sma, 6) AS sma FROM s WHERE back <= 252""")
+def chart_series(spark, sf):
+    """The last 252 closes of each ticker and their average over 200 closes, days without a close left out."""
+    d = FA.chart_series(panel(spark, sf))
+    return r6(d)
+
+
 # ---- scoring ----
 
 
@@ -665,14 +673,13 @@ def key_spans(spark, sf):
     return FI.key_spans(p.withColumn("ticker", F.concat(F.lit("C"), F.substring("ticker", 2, 9))).unionByName(p))
 
 
-@query(chain(V.FILINGS, TEXTS) + """, f AS (SELECT acc, acc AS cik, CASE WHEN acc % 4 = 0 THEN 'M' || acc % 40 ELSE 'T' || acc END AS ticker, sic, total / greatest(words, 1) * 1e4 AS score, words * 1e6 AS revenue FROM scores),
+@query(chain(V.FILINGS, TEXTS) + """, f AS (SELECT acc, acc AS cik, CASE WHEN acc % 4 = 0 THEN 'M' || acc % 40 ELSE 'T' || acc END AS ticker, sic, CASE WHEN in_group THEN 1e4 * CASE WHEN s IN (1094, 4911, 4931, 4991) THEN hits_power ELSE total END / greatest(words, 1) ELSE 0 END AS score, words * 1e6 AS revenue FROM scores),
 j AS (SELECT f.*, l.quality = 1 AS si, CASE acc % 5 WHEN 0 THEN 'power_energy' WHEN 1 THEN 'cloud' WHEN 2 THEN 'compute' WHEN 3 THEN 'networking' ELSE 'none' END AS role, CASE WHEN f.acc % 4 = 0 THEN 'member' END AS mc FROM f LEFT JOIN labels l ON l.doc_id = f.acc),
 k AS (SELECT *, CASE WHEN mc IS NOT NULL THEN CASE WHEN NOT si THEN 'remove' END WHEN score >= 2 AND revenue >= 1e8 THEN CASE WHEN si IS NULL THEN 'pending' WHEN si THEN 'candidate' END END AS kind, CASE WHEN si IS NULL THEN '' ELSE role END AS rl FROM j)
 SELECT cik, ticker, kind, CASE WHEN kind = 'remove' THEN mc WHEN rl = 'power_energy' THEN CASE WHEN sic LIKE '49%' THEN 'power' ELSE 'grid' END WHEN rl = 'cloud' THEN CASE WHEN revenue >= 50e9 THEN 'hyperscalers' ELSE 'software' END WHEN rl = 'compute' THEN 'compute' WHEN rl = 'networking' THEN 'networking' ELSE '—' END AS category FROM k WHERE kind IS NOT NULL""")
 def universe_review(spark, sf):
-    s = _scores(spark, sf)
-    total = sum((F.col(f"hits_{g}") for g in DICT), F.lit(0))
-    f = s.select("acc", F.col("acc").alias("cik"), F.when(F.col("acc") % 4 == 0, F.concat(F.lit("M"), (F.col("acc") % 40).cast("string"))).otherwise(F.concat(F.lit("T"), F.col("acc").cast("string"))).alias("ticker"), "sic", (total / F.greatest("words", F.lit(1)) * 1e4).alias("score"), (F.col("words") * 1e6).alias("revenue"))
+    s = FI.ra_score(_scores(spark, sf), tuple(DICT))
+    f = s.select("acc", F.col("acc").alias("cik"), F.when(F.col("acc") % 4 == 0, F.concat(F.lit("M"), (F.col("acc") % 40).cast("string"))).otherwise(F.concat(F.lit("T"), F.col("acc").cast("string"))).alias("ticker"), "sic", "score", (F.col("words") * 1e6).alias("revenue"))
     k = F.col("doc_id") % 5
     role = F.when(k == 0, "power_energy").when(k == 1, "cloud").when(k == 2, "compute").when(k == 3, "networking").otherwise("none")
     classes = V.table(spark, sf, "labels").select(F.col("doc_id").alias("acc"), (F.col("quality") == 1).alias("sells_into"), role.alias("role"))

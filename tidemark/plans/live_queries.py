@@ -12,6 +12,7 @@ from tidemark.plans import catalogue as C
 from tidemark.plans.catalogue import BASE, FILLED, FULL, RANKED, chain, query, r6
 from tidemark.sources import stores as ST
 from tidemark.sources import views as V
+from tidemark.sources.scratch import kept
 
 C.DAYS["d"] += ("scored_alongside",)
 
@@ -198,10 +199,11 @@ def _ew_exec_ledger(spark, sf):
     return C.L.ew_hold(e).select(F.lit("ew").alias("scenario"), F.col("d").alias("exec"), F.lit(2500.0).alias("contribution"), "value")
 
 
-@query("""WITH r AS (SELECT c_nationkey AS scenario, avg(c_acctbal) AS xirr FROM customer GROUP BY 1) SELECT scenario::VARCHAR AS scenario, round(xirr - (SELECT xirr FROM r WHERE scenario = 3), 6) AS diff FROM r""")
+@query(C.chain_r(*C.CONTEXT_SQL, C.GRID_SQL, C.LS.fold_sql("stg", "gsc"), C.LS.returns_sql("stg_led")) + "SELECT xr.scenario, round(xirr - (SELECT xirr FROM xr WHERE scenario = 'ew_all'), 6) AS diff FROM xr")
 def headline_differences(spark, sf):
-    r = V.table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("scenario")).agg(F.avg("c_acctbal").alias("xirr"))
-    return r6(LV.headline_differences(r, "3"))
+    """Returns of the grid's scenarios less that of the equal-weight one."""
+    x = C.M.ledger_xirr(C.L.simulate(C.grid_scenarios(spark), C.context(spark, sf)), ["scenario"])
+    return r6(LV.headline_differences(kept(x, "xirrs"), "ew_all"))
 
 
 @query("""WITH d AS (SELECT c_acctbal AS v FROM customer), s AS (SELECT s_suppkey AS seed, s_acctbal AS v FROM supplier), p AS (SELECT seed, 100.0 * (count(*) FILTER (d.v < s.v) + 0.5 * count(*) FILTER (d.v = s.v)) / count(*) AS p FROM s, d GROUP BY 1)
