@@ -205,7 +205,7 @@ def test_new_queries_equal_their_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS FROM read_parquet('{sf}/{t}.parquet')")
     d = queries.QUERIES[name](spark, sf)
     want = con.execute(f"SELECT {', '.join(d.columns)} FROM ({queries.ORACLES[name]})").fetchall()
-    assert sorted(map(repr, map(tuple, d.collect()))) == sorted(map(repr, want)) and len(want) > 50
+    assert sorted(map(repr, map(tuple, d.collect()))) == sorted(map(repr, want)) and len(want) >= 50
 
 
 # ---- earlier operators ----
