@@ -296,13 +296,18 @@ def changes_and_events(spark, sf):
     return ST.changes_with_events(C._snaps(spark, sf), events)
 
 
-@query(chain(V.PANEL, V.HOLDINGS) + """, mo AS (SELECT s_suppkey AS k, 'T' || s_suppkey AS strategy, DATE '1999-03-01' + (s_suppkey % 5 * 31)::INT AS fill FROM supplier)
-SELECT strategy, 1::BIGINT AS months, 100.0 AS invested, 150.0 AS value, round(CASE WHEN DATE '2001-03-01' - fill > 0 THEN 1.5 ** (365.0 / (DATE '2001-03-01' - fill)) - 1 END, 6) AS xirr FROM mo""")
+@query(chain(*BASE, FILLED) + """, k AS (SELECT s_suppkey AS k, 'T' || s_suppkey AS strategy, unnest([s_suppkey % 50 + 1, s_suppkey * 7 % 50 + 1]) AS n, 150 + s_suppkey % 5 * 20 AS rn FROM supplier),
+b AS (SELECT DISTINCT strategy, f.d AS fill, f.ticker, f."full" AS px, l."full" AS last, l.d AS last_d FROM k JOIN filled f ON f.rn = k.rn AND f.ticker = 'S' || n JOIN filled l ON l.ticker = f.ticker AND l.d = (SELECT max(d) FROM cal) WHERE f."full" > 0),
+v AS (SELECT strategy, fill, last_d, sum(100.0 / n_ / px * last) AS value FROM (SELECT *, count(*) OVER (PARTITION BY strategy) AS n_ FROM b) GROUP BY ALL)
+SELECT strategy, 1::BIGINT AS months, 100.0 AS invested, round(value, 6) AS value, round((value / 100) ** (365.0 / (last_d - fill)) - 1, 6) AS xirr FROM v""")
 def shadow_summary(spark, sf):
-    k = F.col("s_suppkey")
-    px = lambda v: F.create_map(F.lit("A"), F.lit(v), F.lit("B"), F.lit(v * 2))
-    none = F.array().cast("array<string>")
-    d = V.table(spark, sf, "supplier").select(
-        F.concat(F.lit("T"), k.cast("string")).alias("strategy"), F.lit("1999-02").alias("month"), F.date_add(F.lit("1999-03-01").cast("date"), (k % 5 * 31).cast("int")).alias("fill_date"), none.alias("sells"), F.array(F.lit("A"), F.lit("B")).alias("buys"), px(10.0).alias("px"), F.lit(100.0).alias("contrib"))
-    last = spark.range(1).select(F.lit("2001-03-01").cast("date").alias("d"), px(15.0).alias("px"))
+    """A ledger a supplier that buys two tickers at the panel's prices of a day of its own, at the last day's prices."""
+    k, f = F.col("s_suppkey"), C.filled(spark, sf).select("ticker", "d", "rn", F.col("full").alias("px")).filter("px > 0")
+    names = F.array(*[F.concat(F.lit("S"), x.cast("string")) for x in (k % 50 + 1, k * 7 % 50 + 1)])
+    bought = V.table(spark, sf, "supplier").select(F.concat(F.lit("T"), k.cast("string")).alias("strategy"), (F.lit(150) + k % 5 * 20).alias("rn"), F.explode(F.array_distinct(names)).alias("ticker"))
+    prices = lambda: F.map_from_entries(F.collect_list(F.struct("ticker", "px"))).alias("px")
+    d = bought.join(f, ["rn", "ticker"]).groupBy("strategy", F.col("d").alias("fill_date")).agg(F.sort_array(F.collect_list("ticker")).alias("buys"), prices())
+    d = d.select("strategy", F.date_format("fill_date", "yyyy-MM").alias("month"), "fill_date", F.array().cast("array<string>").alias("sells"), "buys", "px", F.lit(100.0).alias("contrib"))
+    days = P.calendar(C.panel(spark, sf)).agg(F.max("d").alias("d"))
+    last = f.join(F.broadcast(days), "d").groupBy("d").agg(prices())
     return r6(LV.shadow_rows(d, last, 0.0).select("strategy", "months", "invested", "value", "xirr"))
