@@ -516,11 +516,21 @@ def member_revenue_floor(spark, sf):
     return PIT.members(years, PIT.ttm(_known(spark, sf)).filter("metric = 'revenue'"), 1e6)
 
 
-@query("""SELECT user_id, avg(greatest(least((value - d90) / abs(d90), 0.5), -0.5)) AS x FROM (SELECT user_id, value, 100.0 AS d90 FROM events) GROUP BY 1""".replace("avg(greatest(least((value - d90) / abs(d90), 0.5), -0.5)) AS x", "round(avg(greatest(least((value - d90) / abs(d90), 0.5), -0.5)), 6) AS rev_chg"))
+@query("""WITH t AS (SELECT user_id, value AS cur, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS d90 FROM events),
+c AS (SELECT user_id, avg(greatest(least((cur - d90) / abs(d90), 0.5), -0.5)) AS chg FROM t WHERE cur IS NOT NULL AND d90 <> 0 GROUP BY 1),
+n AS (SELECT user_id, ts::DATE AS day, nullif(count(*) FILTER (event_type = 'view'), 0) AS up30, nullif(count(*) FILTER (event_type = 'click'), 0) AS down30 FROM events GROUP BY ALL),
+b AS (SELECT user_id, avg((up30 - down30) / greatest(up30 + down30, 1)) AS breadth FROM n WHERE up30 IS NOT NULL AND down30 IS NOT NULL GROUP BY 1)
+SELECT user_id, round(chg, 6) AS rev_chg, round(breadth, 6) AS rev_breadth FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN c USING (user_id) LEFT JOIN b USING (user_id)""")
 def estimate_revisions(spark, sf):
-    g = V.table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("value").alias("current"), F.lit(100.0).alias("d90"))).alias("t"))
-    none = F.array().cast("array<struct<up30:int,down30:int>>")
-    return r6(g.select("user_id", PIT.revisions(F.col("t"), none)[0].alias("rev_chg")))
+    """Each event's value against the user's one before it, and each day's views against its clicks."""
+    e = V.table(spark, sf, "events")
+    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
+    t = e.select("user_id", F.struct(F.col("value").alias("current"), before.alias("d90")).alias("x")).groupBy("user_id").agg(F.collect_list("x").alias("t"))
+    some = lambda kind: F.nullif(F.count_if(F.col("event_type") == kind), F.lit(0).cast("long"))
+    n = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(some("view").alias("up30"), some("click").alias("down30"))
+    r = n.groupBy("user_id").agg(F.collect_list(F.struct("up30", "down30")).alias("r"))
+    chg, breadth = PIT.revisions(F.col("t"), F.col("r"))
+    return r6(t.join(r, "user_id").select("user_id", chg.alias("rev_chg"), breadth.alias("rev_breadth")))
 
 
 # ---- joins ----
