@@ -106,7 +106,7 @@ def plain_lexical(url, host, path):
 
 def test_lexical_features_equal_plain_ones(spark):
     rng = random.Random(8)
-    urls = [None, "", "x://h", "x://a.b.c/d/e.html?x=1&y=2", "x://q/" + "z9" * 5000, *("http://" + "".join(rng.choice("ab1-.é漢/?&=") for _ in range(rng.randint(0, 60))) for _ in range(150))]
+    urls = [None, "", "x://h", "x://a.b.c/d/e.html?x=1&y=2", "x://q/" + "z9" * 5000, *("http://" + "".join(rng.choice("ab1-.é漢😀/?&=\n") for _ in range(rng.randint(0, 60))) for _ in range(150))]
     host, path = url_filter.url_parts(F.col("url"))
     d = url_filter.lexical(spark.createDataFrame(list(enumerate(urls)), "i long, url string").select("i", "url", host.alias("h"), path.alias("p")), "url", "h", "p").orderBy("i")
     for url, r in zip(urls, d.collect(), strict=True):

@@ -47,7 +47,7 @@ def _entropy(text: Column) -> Column:
     """Shannon entropy of the code points, in eighths of a bit: lengths of runs of the sorted code points, in millionths."""
     weight = lambda n: F.floor(n * F.log2(n.cast("double")) * 1_000_000 + 0.5)
     start = F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
-    sorted_points = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    sorted_points = F.array_sort(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))  # whole code points, which a split isn't
     closed = lambda a: a["s"] + F.when(a["n"] > 1, weight(a["n"])).otherwise(0)
     summed = F.aggregate(
         sorted_points, start,
