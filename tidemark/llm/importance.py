@@ -143,6 +143,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda a, x: {_STEP}))"
+# rank has nulls, which pandas holds as doubles.
 ORACLE = f"""
 WITH t AS (SELECT 0 AS kind, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
 w AS (SELECT kind, rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM t),
@@ -156,5 +157,5 @@ d AS (SELECT rid, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM h JOI
 e AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
   floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || coalesce(w.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS g FROM w LEFT JOIN d USING (rid) WHERE kind = 0),
 r AS (SELECT *, weight + g AS score, count(*) FILTER (n_words >= {LEAST}) OVER () AS able, row_number() OVER (PARTITION BY n_words >= {LEAST} ORDER BY weight + g DESC, doc_id NULLS FIRST) AS k FROM e)
-SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= {LEAST} AND k <= {SHARE} * able // 100 THEN k END AS rank FROM r
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= {LEAST} AND k <= {SHARE} * able // 100 THEN k END::DOUBLE AS rank FROM r
 """

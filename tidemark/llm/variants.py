@@ -189,6 +189,7 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda a, x: {_STEP}))"
+# form_n has nulls, which pandas holds as doubles.
 ORACLE = f"""
 WITH RECURSIVE r AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS w FROM documents),
 d AS (SELECT doc_id, w, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS b FROM r WHERE length(w) >= {LEAST_LENGTH} GROUP BY doc_id, w),
@@ -204,5 +205,5 @@ q AS (SELECT word, n, count(*) AS n_near, max(m) AS m FROM pairs GROUP BY word,
 f AS (SELECT q.word, q.n_near, CASE WHEN q.m >= {RATIO} * q.n THEN q.m END AS form_n, CASE WHEN q.m >= {RATIO} * q.n THEN (SELECT min(p.other) FROM pairs p WHERE p.word = q.word AND p.m = q.m) END AS form FROM q),
 c(word, root) AS (SELECT word, word FROM v UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
 t AS (SELECT c.word, c.root FROM c LEFT JOIN f ON f.word = c.root WHERE f.form IS NULL)
-SELECT v.word, f.form, t.root, v.n, coalesce(f.n_near, 0)::BIGINT AS n_near, f.form_n::BIGINT AS form_n FROM v LEFT JOIN f USING (word) JOIN t ON t.word = v.word
+SELECT v.word, f.form, t.root, v.n, coalesce(f.n_near, 0)::BIGINT AS n_near, f.form_n::DOUBLE AS form_n FROM v LEFT JOIN f USING (word) JOIN t ON t.word = v.word
 """
