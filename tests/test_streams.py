@@ -3,8 +3,11 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.plans import catalogue
 from tidemark.streaming import deferral, quotas, shadow, windows
 
 D = dt.date.fromisoformat
@@ -87,6 +90,24 @@ def test_rows_behind_the_watermark_change_nothing(spark, tmp_path):
     assert sorted((r["start"], r["n"], r["total"]) for r in got) == [(at, 1, 1.0), (at + dt.timedelta(days=3), 1, 2.0)]
 
 
+def test_quota_windows_count_to_the_microsecond(spark, tmp_path):
+    """Pairs around an hour apart, in all positions within a second: as counted by hand, and by the query's SQL."""
+    hour, at = 3_600_000_000, 1_704_067_200_000_000
+    gaps = [hour - 1, hour, hour - 800_000, hour - 400_000, hour + 400_000, 0, 1, 300_000]
+    starts = [0, 100_000, 400_000, 499_999, 500_000, 900_000, -200_000]
+    rows = [(u, at + s + g) for u, (s, gap) in enumerate((s, g) for s in starts for g in gaps) for g in (0, gap)] + [(None, at), (None, at + hour - 1), (0, None), (0, None)]
+    want = [2 if t is None else sum(v == u and s is not None and t - hour < s <= t for v, s in rows) for u, t in rows]  # requests without a time are a window of their own
+    src = f"{tmp_path}/events.parquet"
+    for kind in ("timestamp_ntz", "timestamp"):
+        d = spark.createDataFrame([(k, t, u) for k, (u, t) in enumerate(rows)], "event_id long, t long, user_id long")
+        d.select("event_id", F.timestamp_micros("t").cast(kind).alias("ts"), "user_id").write.mode("overwrite").parquet(f"file://{src}")
+        assert [r["in_window"] for r in catalogue.QUERIES["quota_windows"](spark, str(tmp_path)).orderBy("event_id").collect()] == want
+        sql = catalogue.ORACLES["quota_windows"].replace("FROM events", f"FROM (SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM read_parquet('{src}/*.parquet'))")
+        con = duckdb.connect()
+        con.execute("SET TimeZone = 'UTC'")
+        assert [r[1] for r in sorted(con.execute(sql).fetchall())] == want
+
+
 def plain_admissions(rows, quotas, monthly=None):
     out, times, stopped = {}, {}, set()
     for key, seq, ts in sorted(rows, key=lambda r: r[1]):

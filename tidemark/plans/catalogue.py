@@ -1144,7 +1144,7 @@ def event_sessions(spark, sf):
     return windows.sessions(windows.distinct_events(V.table(spark, sf, "events"))).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window FROM events")
 def quota_windows(spark, sf):
     from tidemark.streaming import shadow
 

@@ -51,8 +51,9 @@ def advance(plans: DataFrame, delay: str = "5 days") -> DataFrame:
 
 
 def quota_use(requests: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Adds in_window: requests of the same key in the last `seconds`, this one included."""
+    """Adds in_window: requests of the same key in the last `seconds`, to the microsecond, this one included; one just that old is not."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("key").orderBy(F.unix_timestamp("ts")).rangeBetween(-seconds + 1, 0)
+    micros = F.unix_timestamp("ts") * 1_000_000 + (F.extract(F.lit("SECOND"), "ts") % 1 * 1_000_000).cast("long")  # unix_micros would read a time without zone in the session's
+    w = Window.partitionBy("key").orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
