@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import psutil
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -26,6 +27,31 @@ def test_html(spark):
     assert [r["text"] for r in T.html_to_text_full(d).collect()] == ["A & B C © D", None]
 
 
+def test_all_entities_in_pieces(spark, monkeypatch):
+    """Pieces of any size give each row its own text: long and empty ones, nulls, a piece that ends with its batch."""
+    texts = [None if k % 7 == 0 else "" if k % 5 == 0 else f"<p>{k}&copy;&nbsp;&amp;lt; &notit; &#x20AC" + "x" * (k % 11 * 9) for k in range(200)]
+    want = [None if t is None else t and f"{k}\u00a9 &lt; \u00acit; \u20ac" + "x" * (k % 11 * 9) for k, t in enumerate(texts)]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, html string").repartitionByRange(3, "k")
+    for size in (1, 64, 10_000, T.PIECE):
+        monkeypatch.setattr(T, "PIECE", size)
+        assert [r["text"] for r in T.html_to_text_full(d).orderBy("k").collect()] == want
+
+
+def test_all_entities_hold_no_batch_of_results(spark):
+    """Over 10,000 pages of 4 KB, which are one Arrow batch, a worker grows by less than three times their bytes."""
+    workers = lambda: {p.pid for p in psutil.Process().children(recursive=True) if "python" in p.name()}
+    said = lambda pid, what: next(int(x.split()[1]) >> 10 for x in open(f"/proc/{pid}/status") if x.startswith(what))
+    run = lambda n: T.html_to_text_full(spark.range(0, n, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("a &copy; b "), 400)).alias("html"))).write.format("noop").mode("overwrite").save()
+    run(10)
+    before = {}
+    for pid in workers():
+        with open(f"/proc/{pid}/clear_refs", "w") as f:  # the peak starts anew
+            f.write("5")
+        before[pid] = said(pid, "VmRSS")
+    run(10_000)
+    assert max(said(pid, "VmHWM") - before.get(pid, min(before.values())) for pid in workers()) < 3 * 44
+
+
 def test_keyword_counts_and_threshold(spark):
     text = "Data\n centers and a datacenter, GPUs; HPC. High-performance computing accelerator datacentre " + "w " * 900
     hits = T.count_hits(F.col("t"))
