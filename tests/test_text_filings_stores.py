@@ -76,6 +76,14 @@ def test_symbols_and_form_index(spark):
     assert len(r) == 1 and (r[0]["company"], r[0]["cik"], r[0]["acc"]) == ("Acme Corp  Inc", 123, "0001-20-000001")
 
 
+def test_excerpts_in_pieces(spark, monkeypatch):
+    texts = [None if k % 7 == 0 else f"cover {k} Item 1. Business " + f"w{k} " * (k % 5 * 60) + "Item 2. rest" for k in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartitionByRange(3, "k")
+    for size in (1, 900, T.PIECE):
+        monkeypatch.setattr(T, "PIECE", size)
+        assert [(r["text"], r["excerpt"], r["method"]) for r in T.excerpts(d).orderBy("k").collect()] == [(t, *T.business_section(t or "")) for t in texts]
+
+
 def test_excerpt_and_anonymous(spark):
     body = "word " * 150
     assert T.business_section(f"Item 1. Business 5 Item 1A. Item 1. Business {body}Item 1A. Risk")[1] == "item1"
